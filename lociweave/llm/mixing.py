@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,8 @@ from ..operators.running import running_total
 from ..session import cut
 
 SLOTS = 1000
+#: Rounds in which what is missing at the end of a quota is made up, and how far beyond the end they look, as a multiple of it.
+FILL_ROUNDS, FILL_REACH = 3, 60
 MOST_SOURCES = 500
 
 
@@ -66,14 +69,16 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
 
     Without `total_tokens` the mix is the largest in which every source that has tokens reaches its share without an
     item occurring more than its `most` times; with it, a source that runs out gives what it has. Each source's items
-    come in random order (by hash), again in the same order on a further pass, and end where the source's quota
-    ends, to within half an item. A source without items has nothing to give; the other sources keep their proportions
-    to one another and the report shows what was reached.
+    come in random order (by hash), again in the same order on a further pass; the last pass ends where the quota does,
+    and what the item at the boundary leaves missing is made up from shorter ones. A source without items has nothing to
+    give; the other sources keep their proportions to one another and the report shows what was reached.
 
     Order of the mix: a source's stream is cut into equal blocks of tokens, and blocks of all sources are interleaved by
     Pfair scheduling over a cycle of `slots` slots, which is computed once and repeats; `slot` is the block's slot and
     `place` the token of its source's stream at which the item begins, so ordering by (slot, source, place) gives the
-    mix. Running token counts come from a distributed sort, so a source of any size spreads over many tasks.
+    mix. An item goes with the block that its middle falls into: a prefix of the mix is off a target by less than a block
+    and half the longest item. Running token counts come from a distributed sort, so a source of any size spreads over
+    many tasks.
 
     Defined results: items whose source is null or no target, and items without tokens, take no part; a null or
     non-positive share or `most` gives a source nothing; of repeated target rows of one source the largest counts;
@@ -102,12 +107,34 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
     order = pfair(counts, cycle) if given else []
     timetable = spark.createDataFrame([(live[s].source, b, t) for s, b, t in order], "source string, block bigint, slot bigint")
 
-    shuffled = running_total(rows.withColumn("__h", F.xxhash64(F.lit(seed), *names)), ["source"], ["__h", *names], "tokens", name="upto")
-    once = shuffled.join(F.broadcast(spark.createDataFrame(plan, plan_schema)), "source")
-    passes = once.withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / F.col("have")).cast("bigint"))))
-    placed = passes.withColumn("place", F.col("repeat_no") * F.col("have") + F.col("upto") - F.col("tokens"))
-    taken = placed.where(2 * F.col("place") + F.col("tokens") <= 2 * F.col("quota"))
-    taken = taken.withColumn("block", F.least(F.floor(F.col("place") / F.col("block_tokens")).cast("bigint"), F.col("blocks") - 1))
+    known = F.broadcast(spark.createDataFrame(plan, plan_schema))
+    stream = rows.join(known, "source").withColumn("__h", F.xxhash64(F.lit(seed), *names))
+    run = running_total(stream, ["source"], ["__h", *names], "tokens", name="upto")
+    # Whole passes first; then a part pass of the items up to the rest of the quota.
+    run = cut(run.withColumn("full", F.expr("quota div have")).withColumn("rest", F.expr("quota % have")))
+    fits = run.where("upto <= rest")
+    extra = [fits.select("source", *names, "tokens", F.col("full").alias("repeat_no"), "full", "upto")]
+    # What is missing, less than the item at the boundary, is made up from shorter items that follow it.
+    rest = {w.source: quota[w.source] % have[w.source] for w in live} if given else {}
+    used = {x.source: x.n for x in fits.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    lack = {k: n - used.get(k, 0) for k, n in rest.items()}
+    nearby = run.where("upto > rest")
+    for _ in range(FILL_ROUNDS):
+        if not any(lack.values()):
+            break
+        missing = F.broadcast(spark.createDataFrame([(k, n, rest[k] - n) for k, n in lack.items()], "source string, lack bigint, base bigint"))
+        short = nearby.join(missing, "source").where(f"tokens <= lack AND upto - rest <= {FILL_REACH} * lack")
+        more = running_total(short.select("source", *names, "tokens", "full", "__h"), ["source"], ["__h", *names], "tokens", name="upto2").join(missing, "source")
+        more = cut(more)
+        extra.append(more.where("upto2 <= lack").select("source", *names, "tokens", F.col("full").alias("repeat_no"), "full", (F.col("base") + F.col("upto2")).alias("upto")))
+        got = {x.source: x.n for x in more.where("upto2 <= lack").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+        lack = {k: n - got.get(k, 0) for k, n in lack.items()}
+        nearby = more.where("upto2 > lack").select("source", *names, "tokens", "full", "__h", F.col("upto2").alias("upto"), F.col("lack").alias("rest"))
+    passes = run.where("full > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    taken = reduce(DataFrame.unionByName, [passes.select("source", *names, "tokens", "repeat_no", "full", "upto"), *extra])
+    taken = taken.join(known.select("source", "have", "blocks", "block_tokens"), "source").withColumn("place", F.col("repeat_no") * F.col("have") + F.col("upto") - F.col("tokens"))
+    middle = F.col("place") + F.col("tokens") / 2
+    taken = taken.withColumn("block", F.least(F.floor(middle / F.col("block_tokens")).cast("bigint"), F.col("blocks") - 1))
     final = taken.join(F.broadcast(timetable), ["source", "block"])
     mix = final.select(F.col("source").alias(source), *(F.col(n).alias(c) for n, c in zip(names, item)), F.col("repeat_no"), F.col("tokens").alias("n_tokens"), "slot", "place")
 
