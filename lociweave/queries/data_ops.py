@@ -79,13 +79,13 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The output file of every data file of a fragmented input table."""
-    return _plan(spark, d)
+    """The output file of every data file of a fragmented input table (-1: it is large enough as it is)."""
+    return _plan(spark, d).withColumn("out_file", F.coalesce("out_file", F.lit(-1)))
 
 
 def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
-    """Every stored record with the output file it goes to (null: its table isn't rewritten)."""
-    return consolidated(table(spark, d, "stored_rows"), _plan(spark, d), TABLE)
+    """Every stored record with the output file it goes to (-1: its file isn't rewritten)."""
+    return consolidated(table(spark, d, "stored_rows"), _plan(spark, d), TABLE).withColumn("out_file", F.coalesce("out_file", F.lit(-1)))
 
 
 def p5_compacted(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +154,6 @@ SQL = {
     "p4_found": GRID + "SELECT run_id, p AS period_index FROM j WHERE n = 0",
     "p4_runs": GRID + "SELECT run_id, count(*)::BIGINT AS periods, count(*) FILTER (n = 0)::BIGINT AS filled, sum(n)::BIGINT AS readings FROM j GROUP BY run_id",
     "p5_found": FILES + "SELECT dataset, input_table FROM t",
-    "p5_plan": PLAN + "SELECT dataset, input_table, path, size, out_file, out_files FROM p",
-    "p5_consolidated": PLAN + "SELECT p.dataset, p.input_table, p.out_file, r.* FROM stored_rows r LEFT JOIN p ON p.path = r.path",
+    "p5_plan": PLAN + "SELECT dataset, input_table, path, size, coalesce(out_file, -1) AS out_file, out_files FROM p",
+    "p5_consolidated": PLAN + "SELECT p.dataset, p.input_table, coalesce(p.out_file, -1) AS out_file, r.* FROM stored_rows r LEFT JOIN p ON p.path = r.path",
 }
