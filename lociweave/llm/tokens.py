@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,25 +16,24 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters a call of the tokenizer gets at most, unless one text alone is longer.
 CALL_CHARS = 2_000_000
-_loaded: dict = {}
 
 
 def _tokenizer(path: str):
-    if path not in _loaded:
+    """The tokenizer of a vocabulary file; kept by the process, outside of what is sent to workers."""
+    kept = sys.modules.setdefault("_lociweave_kept", types.ModuleType("_lociweave_kept")).__dict__
+    if path not in kept:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True
         made.no_truncation()
         made.no_padding()
-        _loaded[path] = made
-    return _loaded[path]
+        kept[path] = made
+    return kept[path]
 
 
 def counted(texts: list[str], vocabulary: str) -> list[int]:
     """Tokens of each whole text, without special tokens; an empty or missing text has none."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = _tokenizer(vocabulary)
     out: list[int] = []
