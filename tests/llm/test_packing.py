@@ -79,6 +79,7 @@ def test_tokens_of_whole_texts(spark):
     texts = ["", None, "Hello, world!", "<|endoftext|>", long, "Привет"]
     n = counted(texts, VOCABULARY)
     assert n[:2] == [0, 0] and n[2] == 4 and n[3] > 1 and n[4] >= 4 * 60_000
+    assert counted(texts, VOCABULARY.replace(".tiktoken", ".json")) == n
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, n_tokens string")
     got = {x.id: x.n_tokens for x in with_tokens(df, "text", keep=["id"]).collect()}
     assert [got[i] for i in range(6)] == n
