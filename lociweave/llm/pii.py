@@ -30,16 +30,22 @@ class Detector:
 
     def find(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """Chosen spans (kind, start, end, probability) of a whole text, in order, none overlapping."""
-        if not text:
-            return []
-        candidates = spans(text, self.names)
-        scored = []
-        for kind in KINDS:
-            own = [c for c in candidates if c[0] == kind]
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
+        """`find` for many texts; the trees judge the candidates of all of them at once."""
+        candidates: dict[str, list] = {k: [] for k in KINDS}
+        for i, t in enumerate(texts):
+            for kind, a, b, f in spans(t, self.names) if t else ():
+                candidates[kind].append((i, a, b, f))
+        kept: list[list] = [[] for _ in texts]
+        for kind, own in candidates.items():
             if own:
                 p = self.models[kind].probability(table([c[3] for c in own], kind))
-                scored += [(kind, a, b, float(q)) for (_, a, b, _), q in zip(own, p) if q >= self.thresholds[kind]]
-        return chosen(scored)
+                for (i, a, b, _), q in zip(own, p):
+                    if q >= self.thresholds[kind]:
+                        kept[i].append((kind, a, b, float(q)))
+        return [chosen(k) if k else [] for k in kept]
 
 
 def _labelled(texts, names: Names) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -97,11 +103,11 @@ def found(df: DataFrame, item: list[str], text: str, with_: Detector) -> DataFra
     rows = df.select(*(F.col(f"`{c}`") for c in item), F.col(f"`{text}`").cast("string").alias("__text")).where("__text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detect = sent.value.find
         for batch in batches:
             of, kind, start, piece = [], [], [], []
-            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for k, a, b, _ in detect(t):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for i, (t, hits) in enumerate(zip(texts, sent.value.find_all(texts))):
+                for k, a, b, _ in hits:
                     of.append(i)
                     kind.append(k)
                     start.append(a)
@@ -120,18 +126,19 @@ def redacted(df: DataFrame, item: list[str], text: str, with_: Detector, *, name
     sent = df.sparkSession.sparkContext.broadcast(with_)
     rows = df.select(*(F.col(f"`{c}`") for c in item), F.col(f"`{text}`").cast("string").alias("__text"))
 
-    def clean(t: str | None) -> str | None:
-        if not t:
+    def clean(t: str | None, hits: list) -> str | None:
+        if not hits:
             return t
         out, at = [], 0
-        for kind, a, b, _ in sent.value.find(t):
+        for kind, a, b, _ in hits:
             out += [t[at:a], f"[{kind.upper()}]"]
             at = b
         return "".join([*out, t[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([clean(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            cleaned = pa.array([clean(t, hits) for t, hits in zip(texts, sent.value.find_all(texts))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cleaned], names=[*batch.schema.names[:-1], name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.StringType())]))

@@ -130,12 +130,12 @@ class Names:
 
     def likeness(self, word: str) -> tuple[int, int, int, int]:
         """known given, known family, made like a given name, made like a family name (0, or the length of the ending)."""
-        w = fold(word)
-        if (got := self.seen.get(w)) is None:
+        if (got := self.seen.get(word)) is None:
+            w = fold(word)
             like = [max((len(w) - i for i in range(2, len(w)) if w[:i] in self.starts and w[i:] in self.ends.get(p, ())), default=0) for p in ("given", "family")]
             got = (int(w in self.given), int(w in self.family), *like)
             if len(self.seen) < 200_000:
-                self.seen[w] = got
+                self.seen[word] = got
         return got
 
     def is_like(self, word: str) -> bool:
@@ -146,9 +146,50 @@ def _case(word: str) -> int:
     return 3 if word.isupper() and len(word) > 1 else 2 if word[:1].isupper() else 1
 
 
+#: Where a name may stand though no word of it looks like one: after a cue, or an initial before a capital.
+NAME_PLACE = re.compile(rf"(?:(?<![^\W_])(?:{CUES['name']})[.,:]?{S}*[\"'«(\[<]?{S}*|(?<![\w.])(?-i:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.){S}{{0,3}})(?-i:(?=[A-ZÀ-ÖØ-ÞА-ЯЁ]))", I)
+NAME_REACH = 120
+
+
 def name_spans(text: str, names: Names) -> list[tuple[int, int, tuple]]:
-    """Pairs of given and family name, initial and family name, or family name, comma and given name or initial."""
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    """Pairs of given and family name, initial and family name, or family name, comma and given name or initial.
+
+    Only the surroundings of words made like names, of cues and of initials are read word by word.
+    """
+    places = [(m.start(), m.end()) for m in NAME_PLACE.finditer(text)]
+    for w in set(WORD.findall(text)):
+        if len(w) > 1 and names.is_like(w):
+            at = text.find(w)
+            while at >= 0:
+                places.append((at, at + len(w)))
+                at = text.find(w, at + len(w))
+    found = []
+    for lo, hi in _merged(sorted(places), NAME_REACH, text):
+        found += _name_spans(text, lo, hi, names)
+    return found
+
+
+def _merged(places: list[tuple[int, int]], reach: int, text: str) -> list[tuple[int, int]]:
+    """Stretches within `reach` of the places (in order); they don't overlap, and their ends don't cut words."""
+    out: list[tuple[int, int]] = []
+    for a, b in places:
+        lo, hi = max(0, a - reach), min(len(text), b + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    trimmed = []
+    for lo, hi in out:
+        while lo > 0 and not text[lo - 1].isspace() and text[lo].isalnum():
+            lo -= 1
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        trimmed.append((lo, hi))
+    return trimmed
+
+
+def _name_spans(text: str, lo: int, hi: int, names: Names) -> list[tuple[int, int, tuple]]:
+    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text, lo, hi)]
     found = []
     for i, (a, b, w) in enumerate(words):
         short = len(w) == 1 and w.isupper() and text[b : b + 1] == "."
@@ -205,15 +246,8 @@ DIGIT = re.compile(r"\d")
 
 
 def windows(text: str, cue: re.Pattern, reach: int) -> list[tuple[int, int]]:
-    """Stretches of the text within `reach` of a cue; they don't overlap and begin and end between words where they can."""
-    out: list[tuple[int, int]] = []
-    for m in cue.finditer(text):
-        lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
+    """Stretches of the text within `reach` of a cue; they don't overlap and begin and end between words."""
+    return _merged([m.span() for m in cue.finditer(text)], reach, text)
 
 
 def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:

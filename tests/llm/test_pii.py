@@ -73,7 +73,7 @@ def test_names_learn_parts():
 
 def test_chosen_takes_no_overlaps():
     assert chosen([("a", 0, 5, 0.9), ("b", 3, 9, 0.8), ("c", 9, 12, 0.5)]) == [("a", 0, 5, 0.9), ("c", 9, 12, 0.5)]
-    assert windows("ab1cd 2", DIGIT, 1) == [(1, 4), (5, 7)]
+    assert windows("ab1cd 2", DIGIT, 1) == [(0, 5), (5, 7)] and windows("ab 1d efgh 2", DIGIT, 1) == [(2, 5), (10, 12)]
 
 
 def test_frames(spark, found_by):
