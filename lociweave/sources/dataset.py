@@ -167,7 +167,7 @@ class Dataset:
         if not files:
             empty = self.spark.createDataFrame([], _spark_schema(self.schema))
             return empty.withColumn("s", F.lit(table.samples[0] if table.kind == "single_sample" else None).cast("string"))
-        df = self.spark.read.format(checked_format(self.fmt)).load([f.path for f in files])
+        df = loaded(self.spark, self.fmt, [f.path for f in files])
         if table.kind == "single_sample":
             df = df.select(*kept, F.lit(table.samples[0]).alias("s"))
         else:
@@ -201,6 +201,13 @@ class Dataset:
         return found
 
 
+def loaded(spark: SparkSession, fmt: str, paths: list[str]) -> DataFrame:
+    """The listed files. The engine passes over names that begin with an underscore, so these are refused, not lost."""
+    if lost := [p for p in paths if p.rsplit("/", 1)[-1].startswith("_")]:
+        raise DatasetError(f"the engine reads no names that begin with an underscore: {', '.join(lost)}")
+    return spark.read.format(checked_format(fmt)).load(paths)
+
+
 def interval_predicate(interval: LocusInterval, how: str):
     if how == "packed":
         return interval.predicate(packed=F.col("locus"))
@@ -236,7 +243,7 @@ class LocusTable:
         files = [f.path for f in statistics(Files(self.spark).data_files(self.path, f".{self.fmt}")) if f.rows]
         if not files:
             raise DatasetError(f"{self.path} has no rows")
-        df = self.spark.read.format(checked_format(self.fmt)).load(files)
+        df = loaded(self.spark, self.fmt, files)
         representation(df.columns)
         return df
 
