@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .throughput import SECOND, ProbeSettings, Series, capped_at, checks, decide, stop, stop_reason
+from ..session import partitions_for
+from .throughput import SECOND, Check, ProbeSettings, Series, capped_at, decide, grouped_checks, stop_reason
 
 
 @dataclass(frozen=True)
@@ -44,36 +45,50 @@ def _settings(row) -> ProbeSettings:
     return replace(base, **{k: (float if k == "precision" else int)(row[c]) for k, c in names.items() if not pd.isna(row[c])})
 
 
-def _pairs(pdf: pd.DataFrame, grid: Grid):
-    pdf = pdf.sort_values("elapsed_ns")
-    series = Series(pdf["elapsed_ns"].to_numpy("int64"), pdf["rows_total"].to_numpy("int64"))
-    head = pdf.iloc[0]
-    settings = _settings(head)
-    end = None if pd.isna(head["first_partition_end_ns"]) else int(head["first_partition_end_ns"])
-    for batch, groups in product(grid.batch_durations_ns, grid.window_groups):
-        if batch >= settings.poll_period_ns:
-            yield head["run_id"], replace(settings, batch_duration_ns=batch, window_groups=groups), series, end
+def stop_table(found: list[Check], precisions: tuple[float, ...], consecutive: tuple[int, ...], least: tuple[int, ...], first_partition_end_ns: int | None) -> dict[tuple, Check | None]:
+    """The stop under every combination of settings, from the running length of each precision's streaks."""
+    kept = [c for c in found if first_partition_end_ns is None or c.elapsed_ns < first_partition_end_ns]
+    elapsed = np.array([c.elapsed_ns for c in kept], np.int64)
+    width = np.array([np.inf if c.warmup_end_ns is None or c.relative_half_width is None else c.relative_half_width for c in kept])
+    at = np.arange(len(kept))
+    out = {}
+    for p in precisions:
+        streak = at - np.maximum.accumulate(np.where(width < p, -1, at)) if len(kept) else at
+        for n in consecutive:
+            for m in least:
+                hit = np.flatnonzero((streak >= n) & (elapsed >= m))
+                out[p, n, m] = kept[hit[0]] if len(hit) else None
+    return out
 
 
 def _judge(what: str, grid: Grid):
     names = [c.split()[0] for c in {"checks": CHECKS, "baselines": BASELINES, "replays": REPLAYS}[what].split(", ")]
+    at = ("would_stop_ns", "elapsed_ns", "sample_index")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for run_id, s, series, end in _pairs(pdf, grid):
-            key = (run_id, s.batch_duration_ns, s.window_groups)
-            if what == "checks":
-                out += [(*key, i, c.sample_index, c.elapsed_ns, c.warmup_end_ns, c.steady_state_throughput, c.relative_half_width) for i, c in enumerate(checks(s, series))]
-            elif what == "baselines":
-                d = decide(s, series, end)
-                out.append((*key, *((d.steady_state_throughput, d.relative_half_width, d.warmup_end_ns, d.window_end_ns) if d else (None,) * 4), capped_at(s, series)))
-            else:
-                found, cap = checks(s, series), capped_at(s, series)
-                for precision, consecutive, least in product(grid.precisions, grid.consecutive_checks, grid.min_durations_ns):
-                    c = stop(replace(s, precision=precision, consecutive_checks=consecutive, min_duration_ns=least), found, end)
-                    would = (c.elapsed_ns, c.steady_state_throughput, c.relative_half_width, c.warmup_end_ns) if c else (None,) * 4
-                    out.append((*key, precision, consecutive, least, *would, stop_reason(would[0], cap, end)))
-        return pd.DataFrame(out, columns=names, dtype=object)
+        pdf = pdf.sort_values("elapsed_ns")
+        series = Series(pdf["elapsed_ns"].to_numpy("int64"), pdf["rows_total"].to_numpy("int64"))
+        head = pdf.iloc[0]
+        run_id, settings = head["run_id"], _settings(head)
+        end = None if pd.isna(head["first_partition_end_ns"]) else int(head["first_partition_end_ns"])
+        cap, out = capped_at(settings, series), []
+        for batch in grid.batch_durations_ns:
+            if batch < settings.poll_period_ns:
+                continue
+            found = grouped_checks(batch, list(grid.window_groups), series) if what != "baselines" else {}
+            for groups in grid.window_groups:
+                key = (run_id, batch, groups)
+                if what == "checks":
+                    out += [(*key, i, c.sample_index, c.elapsed_ns, c.warmup_end_ns, c.steady_state_throughput, c.relative_half_width) for i, c in enumerate(found[groups])]
+                elif what == "baselines":
+                    d = decide(replace(settings, batch_duration_ns=batch, window_groups=groups), series, end)
+                    out.append((*key, *((d.steady_state_throughput, d.relative_half_width, d.warmup_end_ns, d.window_end_ns) if d else (None,) * 4), cap))
+                else:
+                    for combination, c in stop_table(found[groups], grid.precisions, grid.consecutive_checks, grid.min_durations_ns, end).items():
+                        would = (c.elapsed_ns, c.steady_state_throughput, c.relative_half_width, c.warmup_end_ns) if c else (None,) * 4
+                        out.append((*key, *combination, *would, stop_reason(would[0], cap, end)))
+        made = pd.DataFrame(out, columns=names)
+        return made.astype({c: "Int64" for c in made.columns if c.endswith("_ns") or c in at})
 
     return run
 
@@ -85,7 +100,9 @@ def replay(series: DataFrame, what: str, grid: Grid | None = None) -> DataFrame:
     shorter than the run's polls is left out.
     """
     schema = {"checks": CHECKS, "baselines": BASELINES, "replays": REPLAYS}[what]
-    return series.groupBy("run_id").applyInPandas(_judge(what, grid or Grid()), schema)
+    # A given width: judging costs far more than the bytes suggest, so small partitions shall not be merged.
+    spread = series.repartition(partitions_for(series.sparkSession), "run_id")
+    return spread.groupBy("run_id").applyInPandas(_judge(what, grid or Grid()), schema)
 
 
 def stops_over_checks(found: DataFrame, settings: DataFrame) -> DataFrame:
