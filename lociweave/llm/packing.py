@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, partitions_for
 
 BLOCK_ITEMS = 40_000
 MOST_PACKS = 1000
@@ -89,9 +89,13 @@ def packed(
     settings = packs.select(F.col(f"`{pack_name}`").cast("string").alias("pack"), F.col(f"`{capacity}`").cast("bigint").alias("cap")).where("cap >= 1").distinct().orderBy("pack", "cap").limit(MOST_PACKS + 1).collect()
     if len(settings) > MOST_PACKS:
         raise ValueError(f"more than {MOST_PACKS} packs")
-    each = F.array(*(F.struct(F.lit(x.pack).cast("string").alias("pack"), F.lit(x.cap).cast("bigint").alias("cap")) for x in settings)) if settings else F.expr("cast(array() as array<struct<pack: string, cap: bigint>>)")
+    each = F.array(*(F.struct(F.lit(x.pack).cast("string").alias("pack"), F.lit(x.cap).cast("bigint").alias("cap"), F.lit(i).alias("at")) for i, x in enumerate(settings))) if settings else F.expr("cast(array() as array<struct<pack: string, cap: bigint, at: int>>)")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).withColumn("pack", F.explode(each)).select(*names, "tokens", "loss", "block", "pack.*")
-    dealt = dealt.repartition("pack", "cap", "block").sortWithinPartitions("pack", "cap", "block", F.desc("tokens"), F.desc("loss"), *names)
+    # One task a block, as far as the session is wide: packing a block costs far more than its bytes suggest, so neither
+    # chance nor size shall put blocks together.
+    tasks = max(1, min(blocks * len(settings), max(partitions_for(items.sparkSession), items.sparkSession.sparkContext.defaultParallelism)))
+    dealt = dealt.repartitionById(tasks, F.pmod(F.col("at") * F.lit(blocks) + F.col("block"), F.lit(tasks)).cast("int")).drop("at")
+    dealt = dealt.sortWithinPartitions("pack", "cap", "block", F.desc("tokens"), F.desc("loss"), *names)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(["pack string, container bigint", *(f"{n} {types[n]}" for n in names), "piece bigint, first_token bigint, n_tokens bigint"])
 
