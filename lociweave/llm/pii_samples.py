@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import random
 
-from .pii_spans import Names
+from .pii_spans import DIGIT_WORDS, Names
 
 #: Sentences around each kind; {x} is the span. The first list has contexts that name the kind, "bare" ones don't.
 CARRIERS = {
     "email": ["Contact: {x}", "Replies go to {x}.", "You should write to {x} before Friday.", "(mail: {x})", "The list still shows <{x}> as the sender.", "Kontakt: {x}", "Antworten gehen an {x}.", "Écrivez à {x} avant la foire.", "(courriel : {x})", "(correo: {x})", "Las respuestas van a {x}.", "Пишите на {x} до ярмарки.", "(почта: {x})", "Контакт: {x}", "{x}"],
-    "phone": ["Call {x} after six.", "Tel. {x}", "The porter answers at {x} all week.", "The number on the gate, {x}, no longer works.", "Rufen Sie nach sechs {x} an.", "Der Pförtner ist unter {x} erreichbar.", "Die Nummer am Tor, {x}, geht nicht mehr.", "Appelez le {x} après six heures.", "Le portier répond au {x}.", "Le numéro du portail, {x}, ne marche plus.", "Llame al {x} después de las seis.", "El portero responde en el {x} toda la semana.", "El número de la verja, {x}, ya no funciona.", "Звоните по {x} после шести.", "Сторож отвечает по {x} всю неделю.", "Номер на воротах, {x}, не работает.", "Тел. {x}", "Phone: {x}", "{x}"],
+    "phone": ["Call {x} after six.", "Tel. {x}", "The porter answers at {x} all week.", "The number on the gate, {x}, no longer works.", "Rufen Sie nach sechs {x} an.", "Bitte nach acht {x} wählen.", "Um neun {x} anrufen.", "Der Pförtner ist unter {x} erreichbar.", "Die Nummer am Tor, {x}, geht nicht mehr.", "Appelez le {x} après six heures.", "Le portier répond au {x}.", "Le numéro du portail, {x}, ne marche plus.", "Llame al {x} después de las seis.", "El portero responde en el {x} toda la semana.", "El número de la verja, {x}, ya no funciona.", "Звоните по {x} после шести.", "Сторож отвечает по {x} всю неделю.", "Номер на воротах, {x}, не работает.", "Тел. {x}", "Phone: {x}", "{x}"],
     "id_number": ["Tax ID {x}", "Personal number: {x}.", "Identity card {x}, copied twice.", "The form gives the insurance number {x} without a stamp.", "Steuer-ID {x}", "Persönliche Nummer: {x}.", "Ausweis {x}, zweimal kopiert.", "Das Formular nennt die Versicherungsnummer {x} ohne Stempel.", "N° fiscal {x}", "Numéro personnel : {x}.", "Carte d'identité {x}, copiée deux fois.", "Le formulaire porte le numéro d'assurance {x} sans tampon.", "Número fiscal {x}", "Número personal: {x}.", "Carné de identidad {x}, copiado dos veces.", "El formulario lleva el número de seguro {x} sin sello.", "ИНН {x}", "Личный номер: {x}.", "Удостоверение {x}, две копии.", "В форме указан страховой номер {x} без печати.", "Passport {x}"],
-    "street_address": ["Address: {x}", "Deliveries to {x}, please.", "The keys are kept at {x}.", "The workshop moved to {x} with all its tools.", "Adresse: {x}", "Lieferungen bitte an {x}, danke.", "Die Schlüssel liegen in: {x}.", "Im Herbst zog die Werkstatt nach {x} mit allen Werkzeugen.", "Livraisons au {x}, merci.", "Les clés sont gardées au {x}.", "L'atelier a déménagé au {x} avec tous ses outils.", "Adresse : {x}", "Entregas en {x}, por favor.", "Las llaves se guardan en {x}.", "El taller se mudó a {x} con todas sus herramientas.", "Dirección: {x}", "Адрес: {x}", "Доставка: {x}, спасибо.", "Ключи хранятся здесь: {x}.", "Мастерская переехала: {x} со всеми инструментами."],
-    "person_name": ["{x} signed the list.", "According to {x}, the lamp was broken.", "Many thanks, {x}", "The parcel is for {x}.", "Dr. {x} opened the meeting.", "present: {x}; absent: none", "The witness ({x}) left early.", "{x} unterschrieb die Liste.", "Laut {x} war die Lampe kaputt.", "Vielen Dank, {x}", "Das Paket ist für {x}.", "anwesend: {x}; abwesend: niemand", "Dr. {x} eröffnete die Sitzung.", "{x} a signé la liste.", "Selon {x}, la lampe était cassée.", "Merci beaucoup, {x}", "Le colis est pour {x}.", "Le Dr {x} a ouvert la séance.", "présents : {x} ; absents : aucun", "{x} firmó la lista.", "Según {x}, la lámpara estaba rota.", "Muchas gracias, {x}", "El paquete es para {x}.", "La Dra. {x} abrió la reunión.", "presentes: {x}; ausentes: nadie", "{x} подписал список.", "По словам свидетеля ({x}), лампа была разбита.", "Большое спасибо, {x}", "Посылка: {x}.", "Доктор {x} открыл собрание.", "присутствует: {x}; отсутствует: никто", "We met {x} there."],
+    "street_address": ["Address: {x}", "Deliveries to {x}, please.", "The keys are kept at {x}.", "The workshop moved to {x} with all its tools.", "Adresse: {x}", "Lieferungen bitte an {x}, danke.", "Bitte an {x} liefern.", "Sie zogen nach {x} um.", "Die Schlüssel liegen in: {x}.", "Im Herbst zog die Werkstatt nach {x} mit allen Werkzeugen.", "Livraisons au {x}, merci.", "Les clés sont gardées au {x}.", "L'atelier a déménagé au {x} avec tous ses outils.", "Adresse : {x}", "Entregas en {x}, por favor.", "Las llaves se guardan en {x}.", "El taller se mudó a {x} con todas sus herramientas.", "Dirección: {x}", "Адрес: {x}", "Доставка: {x}, спасибо.", "Ключи хранятся здесь: {x}.", "Мастерская переехала: {x} со всеми инструментами."],
+    "person_name": ["{x} signed the list.", "According to {x}, the lamp was broken.", "Many thanks, {x}", "The parcel is for {x}.", "Dr. {x} opened the meeting.", "present: {x}; absent: none", "The witness ({x}) left early.", "{x} unterschrieb die Liste.", "Laut {x} war die Lampe kaputt.", "Vielen Dank, {x}", "Das Paket ist für {x}.", "anwesend: {x}; abwesend: niemand", "Dr. {x} eröffnete die Sitzung.", "{x} a signé la liste.", "Selon {x}, la lampe était cassée.", "Merci beaucoup, {x}", "Le colis est pour {x}.", "Le Dr {x} a ouvert la séance.", "présents : {x} ; absents : aucun", "{x} firmó la lista.", "Según {x}, la lámpara estaba rota.", "Muchas gracias, {x}", "El paquete es para {x}.", "La Dra. {x} abrió la reunión.", "presentes: {x}; ausentes: nadie", "{x} подписал список.", "По словам свидетеля ({x}), лампа была разбита.", "Большое спасибо, {x}", "Посылка: {x}.", "Доктор {x} открыл собрание.", "присутствует: {x}; отсутствует: никто", "присутствует {x}; отсутствующих нет", "We met {x} there."],
 }
 #: Sentences without personal information, some of them close to it. {n}: digits as asked, {f}: a family name, {w}: a street without a number.
-PLAIN = ["Order no. {9} is still open.", "Order no. {11} is open.", "Serial {10}-{2}, batch of 2{3}-03-14.", "Serial {8}-{1}, batch of 1999-03-14.", "Bestellnummer {8} ist noch offen.", "Bestellnummer {10} ist offen.", "Serie {9}-{2}, Charge vom 14.03.2{3}.", "La commande n° {11} est encore ouverte.", "La commande n° {9} est ouverte.", "Série {9}-{2}, lot du 14/03/1997.", "El pedido n.º {9} sigue abierto.", "Serie {11}-{2}, lote del 14-03-1998.", "Заказ № {10} ещё открыт.", "Серия {9}-{2}, партия от 14.03.2001.", "Version {1}.{2}.{2} of the chart replaces {1}.{2}.{2}.{1}.", "The buoy lies at {2}.{4}, {2}.{4}, depth {2} m.", "Die Boje liegt bei {2}.{4}, {1}.{4}, Tiefe {2} m.", "La bouée est à {2}.{4}, {2}.{4}, profondeur {2} m.", "La boya está en {2}.{4}, {2}.{4}, profundidad {2} m.", "Буй стоит на {2}.{4}, {2}.{4}, глубина {2} м.", "Part QK-{5}-{2} weighs 12.5 kg.", "Teil QK-{5}-{2} wiegt 12,5 kg.", "Chapter 12, pages 2{2}-3{2}, lines 1990 to 2026.", "Kapitel 12, Seiten 2{2}-3{2}, Zeilen 1990 bis 2026.", "Meet us @kiln7 or ask at the kiln7 stand.", "Treffpunkt @pier oder am Stand pier.", "The {f} valve was closed at 0{1}:3{1}.", "Das {f}-Ventil wurde um 1{1}:2{1} geschlossen.", "La vanne {f} a été fermée à 1{1}:2{1}.", "La válvula {f} se cerró a las 0{1}:1{1}.", "Клапан {f} закрыли в 0{1}:1{1}.", "The fair on {w} was cancelled.", "Das Fest in der Straße {w} fiel aus.", "La fête de {w} est annulée.", "La feria de {w} se canceló.", "Праздник на {w} отменили.", "The {f} bridge is old.", "At the end of March the Market roof leaked.", "In March, Market Street was closed.", "Many thanks, {g}", "Vielen Dank, {g}", "The {g} mill stands by the Canal.", "Kurz nach Mittag am alten Steg.", "On a rainy Monday the School Board met.", "We counted {7} lanterns in 2{3}.", "The boats cost 1 200 345 crowns and {3} pence.", "Am {2}. Mai um 12 Uhr.", "See {4} and {4}.", "Look at the map dot by dot.", "He waited at the gate and looked at mill.works signs.", "In the dry season 20 Road signs fell.", "{3} boats lay in the Way.", "Im Jahr 2{3} am Kai 3 Boote.", "The {f} family, {g} and others.", "{g}, {g} and {g} came.", "The Harbour Works, Millgate.", "Early in March Winterly winds came."]
+PLAIN = ["Order no. {9} is still open.", "Order no. {11} is open.", "Serial {10}-{2}, batch of 2{3}-03-14.", "Serial {8}-{1}, batch of 1999-03-14.", "Bestellnummer {8} ist noch offen.", "Bestellnummer {10} ist offen.", "Serie {9}-{2}, Charge vom 14.03.2{3}.", "La commande n° {11} est encore ouverte.", "La commande n° {9} est ouverte.", "Série {9}-{2}, lot du 14/03/1997.", "El pedido n.º {9} sigue abierto.", "Serie {11}-{2}, lote del 14-03-1998.", "Заказ № {10} ещё открыт.", "Серия {9}-{2}, партия от 14.03.2001.", "Version {1}.{2}.{2} of the chart replaces {1}.{2}.{2}.{1}.", "The buoy lies at {2}.{4}, {2}.{4}, depth {2} m.", "Die Boje liegt bei {2}.{4}, {1}.{4}, Tiefe {2} m.", "La bouée est à {2}.{4}, {2}.{4}, profondeur {2} m.", "La boya está en {2}.{4}, {2}.{4}, profundidad {2} m.", "Буй стоит на {2}.{4}, {2}.{4}, глубина {2} м.", "Part QK-{5}-{2} weighs 12.5 kg.", "Teil QK-{5}-{2} wiegt 12,5 kg.", "Chapter 12, pages 2{2}-3{2}, lines 1990 to 2026.", "Kapitel 12, Seiten 2{2}-3{2}, Zeilen 1990 bis 2026.", "Meet us @kiln7 or ask at the kiln7 stand.", "Treffpunkt @pier oder am Stand pier.", "The {f} valve was closed at 0{1}:3{1}.", "Das {f}-Ventil wurde um 1{1}:2{1} geschlossen.", "La vanne {f} a été fermée à 1{1}:2{1}.", "La válvula {f} se cerró a las 0{1}:1{1}.", "Клапан {f} закрыли в 0{1}:1{1}.", "The fair on {w} was cancelled.", "Das Fest in der Straße {w} fiel aus.", "La fête de {w} est annulée.", "La feria de {w} se canceló.", "Праздник на {w} отменили.", "The {f} bridge is old.", "At the end of March the Market roof leaked.", "In March, Market Street was closed.", "Many thanks, {g}", "Vielen Dank, {g}", "The {g} mill stands by the Canal.", "Kurz nach Mittag am alten Steg.", "On a rainy Monday the School Board met.", "We counted {7} lanterns in 2{3}.", "The boats cost 1 200 345 crowns and {3} pence.", "Am {2}. Mai um 12 Uhr.", "See {4} and {4}.", "Look at the map dot by dot.", "We need one two or three four lanterns.", "Zwei drei vier, dann fünf sechs.", "un deux trois", "uno dos tres cuatro", "раз два три четыре", "He waited at the gate and looked at mill.works signs.", "In the dry season 20 Road signs fell.", "{3} boats lay in the Way.", "Im Jahr 2{3} am Kai 3 Boote.", "The {f} family, {g} and others.", "{g}, {g} and {g} came.", "The Harbour Works, Millgate.", "Early in March Winterly winds came."]
 STREETS = {
     "en": ["Mill Street", "Quay Road", "Alder Lane", "Foxglove Avenue", "Kiln Terrace", "St. Brannoc Close", "Old Tannery Way", "Harbour View Drive", "High Street", "Church Hill", "Long Meadow Court", "St. Mary Square"],
-    "de": ["Lindenweg", "Mühlenstraße", "Glockengasse", "Am Alten Kai", "Platz der Fähren", "An der Salzbrücke", "Hauptstraße", "Erlenstr.", "Birkenallee", "Im Hof", "Bahnhofplatz", "Zum Alten Markt"],
-    "fr": ["rue des Tilleuls", "boulevard du Moulin", "allée des Saules", "chemin des Ruches", "impasse de la Cloche", "place de la Gare", "quai du Port", "rue Haute", "avenue du Vieux Quai", "rue du Grand Pont", "avenue de la Mer", "rue de l'Église"],
+    "de": ["Lindenweg", "Mühlenstraße", "Glockengasse", "Am Alten Kai", "Platz der Fähren", "An der Salzbrücke", "Hauptstraße", "Erlenstr.", "Bergstr.", "Lange Str.", "Neue Allee", "Birkenallee", "Im Hof", "Bahnhofplatz", "Zum Alten Markt"],
+    "fr": ["rue des Tilleuls", "boulevard du Moulin", "allée des Saules", "chemin des Ruches", "impasse de la Cloche", "place de la Gare", "quai du Port", "rue Haute", "avenue du Vieux Quai", "rue du Grand Pont", "chemin du Petit Bois", "rue de la Vieille Tour", "avenue de la Mer", "rue de l'Église"],
     "es": ["Calle del Olmo", "Paseo del Canal", "Avenida del Molino", "C/ Campanas", "Camino Viejo", "Plaza de los Faroles", "Calle Mayor", "Ronda del Puente", "Calle de la Luz"],
     "ru": ["ул. Сосновая", "пер. Колокольный", "наб. Речная", "проспект Паромщиков", "ул. Лесная", "бульвар Садовый", "шоссе Северное", "площадь Мельничная"],
 }
@@ -58,6 +58,9 @@ def styled(r: random.Random, text: str) -> str:
 
 def span(r: random.Random, kind: str, names: Names, pools: dict[str, list[str]]) -> tuple[str, str]:
     """A span of the kind and what follows it without belonging to it."""
+    if kind == "phone" and r.random() < 0.2:
+        words = [w for w in r.choice(list(DIGIT_WORDS.values())).split("|") if w not in ("oh", "zwo", "нуль")]
+        return styled(r, " ".join(words[int(c)] for c in digits(r, r.choice(PHONES)) if c.isdigit())), ""
     if kind == "phone":
         ext = f" {r.choice(['ext.', 'ext.', 'App.', 'poste', 'доб.', 'x'])} {digits(r, '{2}')}" if r.random() < 0.18 else ""
         return styled(r, digits(r, r.choice(PHONES)) + ext), ""

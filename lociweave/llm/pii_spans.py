@@ -45,6 +45,18 @@ IDS = [
     rf"\d{{4}}{_SEP}?\d{{6}}",
     rf"[A-Z]{{1,3}}{_SEP}?\d{{6,9}}",
 ]
+#: The digits as words, from zero. Fixed values.
+DIGIT_WORDS = {
+    "en": "zero|oh|one|two|three|four|five|six|seven|eight|nine",
+    "de": "null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun",
+    "fr": "zéro|un|deux|trois|quatre|cinq|six|sept|huit|neuf",
+    "es": "cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve",
+    "ru": "ноль|нуль|один|два|три|четыре|пять|шесть|семь|восемь|девять",
+}
+SPELLED = [re.compile(rf"(?<![\w@-])(?:(?:plus|más|плюс){S}+)?(?:{w})(?:,?{S}+(?:{w})){{6,}}(?:{_EXT})?(?![\w@-])", I) for w in DIGIT_WORDS.values()]
+SPELLED_VALUES = [[("zero", "oh"), *((x,) for x in DIGIT_WORDS["en"].split("|")[2:])], [("null",), ("eins",), ("zwei", "zwo"), *((x,) for x in DIGIT_WORDS["de"].split("|")[4:])], [(x,) for x in DIGIT_WORDS["fr"].split("|")], [(x,) for x in DIGIT_WORDS["es"].split("|")], [("ноль", "нуль"), *((x,) for x in DIGIT_WORDS["ru"].split("|")[2:])]]
+HOUR = re.compile(rf"(?<![^\W_])(?:after|at|before|until|nach|um|vor|bis|après|à|avant|después de las|a las|las|после|в|до){S}+$", I)
+SPELLED_CUE = re.compile(rf"(?<![\w@-])(?:{'|'.join(DIGIT_WORDS.values())})(?:,?{S}+(?:{'|'.join(DIGIT_WORDS.values())})){{2}}(?![\w-])", I)
 PHONE_RE = [re.compile(f"{_NO_LEFT}{p}(?:{_EXT})?{_NO_RIGHT}", I) for p in PHONES]
 PHONE_RE += [re.compile(f"{_NO_LEFT}{p}{_NO_RIGHT}") for p in PHONES]
 ID_RE = [re.compile(f"{_NO_LEFT}(?:{p}){_NO_RIGHT}") for p in IDS]
@@ -55,6 +67,12 @@ _EN_TYPE = r"(?:street|road|lane|avenue|terrace|way|close|drive|court|square|cre
 _W = r"[^\W\d_](?:[\w'’.-]*[\w])?"
 _DE_STREET = rf"[^\W\d_][\w-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|kai|brücke|markt|hof)"
 _DE_PLACE = rf"(?:(?-i:A[mM]|A[nN]|A[uU][fF]|I[mM]|I[nN]|Z[uU][mMrR]|H[iI][nN][tT][eE][rR]|U[nN][tT][eE][rR]){S}+(?:(?:der|dem|den|alten|neuen|hohen|langen){S}+){{0,2}}[^\W\d_][\w-]+|(?:platz|straße|weg|ufer){S}+(?:der|des|am|zum|zur){S}+[^\W\d_][\w-]+)"
+_DE_TWO = rf"(?-i:[A-ZÄÖÜ])[\w-]+e[rnms]?{S}+(?:str\.|stra(?:ß|ss)e|allee|gasse|platz|weg)"
+#: Before a street that is only the end of a longer one.
+PLACE_BEFORE = re.compile(rf"(?<![^\W_])(?:(?-i:Am|An|Auf|Im|In|Zum|Zur|Hinter|Unter|Platz|AM|AN|AUF|IM|ZUM|ZUR|PLATZ)|der|dem|den|des|alten|neuen|hohen|langen|lange|alte|neue|hohe){S}+$", I)
+#: An adjective that a name rarely ends in.
+HALF_NAME = re.compile(r"(?<!\w)(?:vieux|vieille|grande?|petite?|nouveau|nouvelle|bas(?:se)?|sainte?|beau|belle)$", I)
+CAPITAL = re.compile(r" [A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]")
 _FR_STREET = rf"(?:rue|boulevard|bd|allée|chemin|impasse|place|quai|avenue|av\.|cours|passage|route|sentier|ruelle|square){S}+(?:(?:de{S}+la|de{S}+l['’]|du|des|de|d['’]){S}*)?{_W}"
 _FR_MORE = rf"(?: (?!avec|merci|dans|pour|et|le|la|les|with|please)[^\W\d_][\w'’-]*)"
 _ES_STREET = rf"(?:calle|c/|paseo|p\.º|avenida|avda\.|plaza|pza\.|camino|ronda|callejón|travesía|carretera){S}*(?:(?:de{S}+las|de{S}+los|de{S}+la|del|de){S}+)?{_W}(?:{S}{_W})?"
@@ -67,6 +85,7 @@ STREETS = [
     rf"{_DE_STREET},?{S}+(?:Nr\.{S}*)?{_NUMBER}",
     rf"{_DE_PLACE},?{S}+(?:Nr\.{S}*)?{_NUMBER}(?:,{S}*(?:Whg\.|Wohnung|App\.|Apt\.){S}*\d{{1,4}}[a-z]?)?",
     rf"{_DE_PLACE},?{S}+(?:Nr\.{S}*)?{_NUMBER}",
+    rf"{_DE_TWO},?{S}+(?:Nr\.{S}*)?{_NUMBER}",
     rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}(?:,{S}*(?:appt\.?|apt\.|app\.|bât\.?|appartement){S}*\w{{1,4}})?",
     rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}{_FR_MORE}",
     rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}",
@@ -95,7 +114,7 @@ CUES = {
     "article": r"the|a|an|der|die|das|den|dem|le|la|les|l|un|une|el|los|las|una|du|des|del|of|на|в|с|клапан|vanne|válvula",
 }
 CUE_RE = {k: re.compile(rf"(?<![^\W_])(?:{v})", I) for k, v in CUES.items()}
-NEAR = re.compile(rf"(?<![^\W_])(?:{CUES['name']})[.,:]?{S}*[\"'«(\[<]?{S}*$", I)
+NEAR = re.compile(rf"(?<![^\W_])(?:{CUES['name']}){S}?[.,:]?{S}*[\"'«(\[<]?{S}*$", I)
 ARTICLE = re.compile(rf"(?<![^\W_])(?:{CUES['article']}){S}+$", I)
 
 
@@ -111,6 +130,8 @@ class Names:
     family: set = field(default_factory=set)
     starts: set = field(default_factory=set)
     ends: dict = field(default_factory=dict)
+    strong: set = field(default_factory=set)
+    last: dict = field(default_factory=dict)
     seen: dict = field(default_factory=dict)
 
     @classmethod
@@ -126,13 +147,16 @@ class Names:
                 starts.setdefault(w[:i], set()).add(w[i:])
         known_ends = out.ends["given"] | out.ends["family"]
         out.starts = {s for s, e in starts.items() if len(e & known_ends) >= 2}
+        # An ending of one letter counts only behind a beginning that many names share.
+        out.strong = {s for s, e in starts.items() if len(e & known_ends) >= 3}
+        out.last = {part: {c for c, n in Counter(w[-1] for w in getattr(out, part) if w[:-1] in out.strong).items() if n >= 2} for part in ("given", "family")}
         return out
 
     def likeness(self, word: str) -> tuple[int, int, int, int]:
         """known given, known family, made like a given name, made like a family name (0, or the length of the ending)."""
         if (got := self.seen.get(word)) is None:
             w = fold(word)
-            like = [max((len(w) - i for i in range(2, len(w)) if w[:i] in self.starts and w[i:] in self.ends.get(p, ())), default=0) for p in ("given", "family")]
+            like = [max((len(w) - i for i in range(2, len(w)) if w[:i] in self.starts and w[i:] in self.ends.get(p, ())), default=0) or int(w[:-1] in self.strong and w[-1:] in self.last.get(p, ())) for p in ("given", "family")]
             got = (int(w in self.given), int(w in self.family), *like)
             if len(self.seen) < 200_000:
                 self.seen[word] = got
@@ -147,7 +171,7 @@ def _case(word: str) -> int:
 
 
 #: Where a name may stand though no word of it looks like one: after a cue, or an initial before a capital.
-NAME_PLACE = re.compile(rf"(?:(?<![^\W_])(?:{CUES['name']})[.,:]?{S}*[\"'«(\[<]?{S}*|(?<![\w.])(?-i:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.){S}{{0,3}})(?-i:(?=[A-ZÀ-ÖØ-ÞА-ЯЁ]))", I)
+NAME_PLACE = re.compile(rf"(?:(?<![^\W_])(?:{CUES['name']}){S}?[.,:]?{S}*[\"'«(\[<]?{S}*|(?<![\w.])(?-i:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.){S}{{0,3}})(?-i:(?=[A-ZÀ-ÖØ-ÞА-ЯЁ]))", I)
 NAME_REACH = 120
 
 
@@ -227,7 +251,7 @@ def _name_spans(text: str, lo: int, hi: int, names: Names) -> list[tuple[int, in
     return [(a, b, (words[i][2], words[j][2], comma, initials)) for a, b, (i, j, comma, initials) in found]
 
 
-def _context(text: str, a: int, b: int) -> list[float]:
+def _context(text: str, a: int, b: int, kind: str) -> list[float]:
     before, after = text[max(0, a - 44) : a], text[b : b + 24]
     line = max(before.rfind(". "), before.rfind("\n"), before.rfind("; "))
     own = before[line + 1 :]
@@ -237,6 +261,8 @@ def _context(text: str, a: int, b: int) -> list[float]:
         for m in CUE_RE[k].finditer(before):
             last = m.start() + 1
         out += [float(bool(CUE_RE[k].search(own))), (last and 1 / (1 + len(before) - last)) * 10.0]
+    if kind != "person_name":
+        return out + [0.0] * 4
     out += [float(bool(CUE_RE["after"].match(after.lstrip(" ,;")))), float(bool(CUE_RE["thing"].search(after[:14]))), float(bool(ARTICLE.search(before))), float(bool(NEAR.search(before)))]
     return out
 
@@ -258,7 +284,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
     def add(kind: str, a: int, b: int, own: list[float]) -> None:
         if (kind, a, b) not in have:
             have.add((kind, a, b))
-            out.append((kind, a, b, own + _context(text, a, b)))
+            out.append((kind, a, b, own + _context(text, a, b, kind)))
 
     for lo, hi in windows(text, EMAIL_CUE, 320):
         for m in EMAIL.finditer(text, lo, hi):
@@ -266,7 +292,18 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
             sign = 0 if at.strip() in "@＠" and at.strip() else 1 if at == "&#64;" else 2 if "(" in at or "[" in at else 3
             spelled = len(re.findall(r"dot", domain, I))
             add("email", m.start(), m.end(), [sign, float(at != at.strip()), len(local), domain.count(".") + spelled, spelled, float(local.isdigit()), len(re.split(r"\W+", domain)[-1])])
-    # Every number, identity number and street has a digit, and none is longer than a window reaches.
+    for lo, hi in windows(text, SPELLED_CUE, 240):
+        for number, shape in enumerate(SPELLED):
+            for m in shape.finditer(text, lo, hi):
+                words = list(WORD.finditer(text, m.start(), m.end()))
+                # The first word may be the hour of a sentence such as "call after six ...".
+                for skip in (0, 1):
+                    start, rest = words[skip].start(), [w.group().casefold() for w in words[skip:]]
+                    value = [next((d for d, names in enumerate(SPELLED_VALUES[number]) if w in names), 0) for w in rest[:3]]
+                    hour = float(bool(HOUR.search(text[max(0, start - 14) : start])))
+                    skipped = float(bool(HOUR.search(text[max(0, words[0].start() - 14) : words[0].start()]))) if skip else 0.0
+                    add("phone", start, m.end(), [float(len(PHONES) + number), float(len(rest)), hour, skipped, float(bool(DIGIT.search(m.group()))), float(skip), *[0.0] * 4, 1.0, float(m.end() - start), 1.0, 1.0, float(value[0] * 100 + value[1] * 10 + value[2]), float(value[0] * 10 + value[1]), 0.0, 0.0])
+    # Every other number, identity number and street has a digit, and none is longer than a window reaches.
     for lo, hi in windows(text, DIGIT, 120):
         for kind, shapes in (("phone", PHONE_RE), ("id_number", ID_RE)):
             for number, shape in enumerate(shapes):
@@ -288,7 +325,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
                 words, numbers = WORD.findall(t), re.findall(r"\d+", t)
                 flat_after = bool(re.match(r"\s*,\s*(?:apt|flat|app|кв|\d{1,2}\.[º])", text[m.end() : m.end() + 12], I))
                 flat_before = bool(re.search(r"(?:flat|apt\.?)\s+\d+,\s*$", text[max(0, m.start() - 14) : m.start()], I))
-                own = [number, len(t), len(words), sum(w[:1].isupper() for w in words) / max(1, len(words)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, words)), t[:1].isupper()]
+                own = [number, len(t), len(words), sum(w[:1].isupper() for w in words) / max(1, len(words)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, words)), t[:1].isupper(), bool(PLACE_BEFORE.search(text[max(0, m.start() - 16) : m.start()])), bool(HALF_NAME.search(t)), bool(CAPITAL.match(text, m.end()))]
                 add("street_address", m.start(), m.end(), list(map(float, own)))
     for a, b, (w, v, comma, initials) in name_spans(text, names):
         one = len(w) == 1
@@ -298,7 +335,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
     return out
 
 
-WIDTH = {"email": 7, "phone": 18, "id_number": 18, "street_address": 12, "person_name": 19}
+WIDTH = {"email": 7, "phone": 18, "id_number": 18, "street_address": 15, "person_name": 19}
 
 
 def chosen(candidates: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
