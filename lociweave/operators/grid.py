@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BLOCK, HALO = 512, 64
 
 
@@ -138,24 +140,25 @@ def regular_grid(
     filled in without the mark; at equal times the greater value counts; repeated readings count as readings; null
     sources form a source of their own; a source without any value keeps nulls; an empty table gives no rows.
     """
-    keys = [f"k{i}" for i in range(len(source))]
-    rows = readings.select(*(F.col(f"`{s}`").alias(k) for s, k in zip(source, keys)), F.col(f"`{at}`").cast("bigint").alias("t"), F.col(f"`{value}`").cast("double").alias("v")).where("t >= 0")
+    # One struct holds the source's columns: it is never null itself, so null sources join and group like any other.
+    keys = ["k0"]
+    rows = readings.select(F.struct(*(F.col(f"`{s}`").alias(f"f{i}") for i, s in enumerate(source))).alias("k0"), F.col(f"`{at}`").cast("bigint").alias("t"), F.col(f"`{value}`").cast("double").alias("v")).where("t >= 0")
     seen = rows.groupBy(*keys, F.expr(f"t div {int(period)}").alias("p")).agg(F.max(F.struct(F.col("v").isNotNull().alias("ok"), "t", "v")).alias("x"), F.count("*").alias("n")).select(*keys, "p", F.col("x.v").alias("v"), "n")
-    last = seen.groupBy(*keys).agg(F.max("p").alias("end"))
+    seen = cut(seen)
     b = F.expr(f"p div {block}")
     near = F.array(b, F.when(F.col("p") - b * block < halo, b - 1), F.when((b + 1) * block - F.col("p") <= halo, b + 1))
-    held = seen.withColumn("b", F.explode(F.filter(near, lambda x: x >= 0)))
-    held = held.select(*keys, "b", F.struct("p", "v", "n").alias("x"), F.lit(None).cast("bigint").alias("end"))
-    marks = last.select(*keys, F.explode(F.expr(f"sequence(0L, end div {block})")).alias("b"), F.lit(None).cast(held.schema["x"].dataType).alias("x"), "end")
-    with_value = F.when(F.col("x.v").isNotNull() & (F.expr(f"x.p div {block}") == F.col("b")), F.struct("x.p", "x.v"))
-    blocks = held.unionByName(marks).groupBy(*keys, "b").agg(F.max("end").alias("end"), F.collect_list("x").alias("xs"), F.min(with_value).alias("head"), F.max(with_value).alias("tail")).where("end IS NOT NULL")
-    run = Window.partitionBy(*keys)
-    blocks = blocks.select(
-        *keys, "b", "end", "xs",
-        F.last("tail", ignorenulls=True).over(run.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.last("head", ignorenulls=True).over(run.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
+    held = seen.withColumn("b", F.explode(F.filter(near, lambda x: x >= 0))).groupBy(*keys, "b").agg(F.collect_list(F.struct("p", "v", "n")).alias("xs"))
+    marks = seen.groupBy(*keys).agg(F.max("p").alias("end")).select(*keys, F.explode(F.expr(f"sequence(0L, end div {block})")).alias("b"), "end")
+    # The nearest values outside of each block: one short row a block meets its source's others.
+    valued = seen.where("v IS NOT NULL").groupBy(*keys, b.alias("b")).agg(F.min(F.struct("p", "v")).alias("head"), F.max(F.struct("p", "v")).alias("tail"))
+    sides = marks.join(valued, [*keys, "b"], "left").select(
+        *keys, "b", "end",
+        F.last("tail", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.last("head", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
     )
+    none = F.expr("cast(array() as array<struct<p: bigint, v: double, n: bigint>>)")
+    blocks = sides.join(held, [*keys, "b"], "left").select(*keys, "b", "end", F.coalesce("xs", none).alias("xs"), "before", "after")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "p bigint, v double, n bigint, filled boolean"])
     out = blocks.mapInArrow(_fill(len(keys), block, halo, window, rank, counter), schema)
-    return out.select(*(F.col(k).alias(s) for k, s in zip(keys, source)), *(F.col(c).alias(n) for c, n in zip(("p", "v", "n", "filled"), names)))
+    return out.select(*(F.col(f"k0.f{i}").alias(s) for i, s in enumerate(source)), *(F.col(c).alias(n) for c, n in zip(("p", "v", "n", "filled"), names)))

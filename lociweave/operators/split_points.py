@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, partitions_for
 from .running import located, running_total
 
-HEAVY_SHARE = 0.02
+#: A key is heavy from this share of the loci on, or from half a partition's share on, if that is less.
+HEAVY_SHARE, LEAST_SHARE = 0.02, 1e-4
 TILE_BITS = 12
 
 
@@ -18,7 +19,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
     return sorted(found[0]) if found and found[0] else []
 
 
-def keyed_split_points(rows: DataFrame, key: str, position: str, requests: DataFrame, request_id: str, intervals: str, *, heavy_share: float = HEAVY_SHARE, tile_bits: int = TILE_BITS, most_broadcast: int = 100_000) -> DataFrame:
+def keyed_split_points(rows: DataFrame, key: str, position: str, requests: DataFrame, request_id: str, intervals: str, *, heavy_share: float | None = None, tile_bits: int = TILE_BITS, most_broadcast: int = 100_000) -> DataFrame:
     """For each request (id, key, j = intervals) the positions that split the key's rows into j equal shares.
 
     Gives request_id bigint, k int, the key, position: for k = 1 to j-1 the position of row floor(k*n/j)+1 of the key's
@@ -36,7 +37,8 @@ def keyed_split_points(rows: DataFrame, key: str, position: str, requests: DataF
     loci = cut(loci.groupBy("key", "pos").agg(F.count("*").alias("n")))
     wanted = requests.select(F.col(f"`{request_id}`").cast("bigint").alias("id"), F.col(f"`{key}`").alias("key"), F.col(f"`{intervals}`").cast("bigint").alias("j"))
     wanted = wanted.where("id IS NOT NULL AND key IS NOT NULL AND j >= 2").distinct()
-    heavy = heavy_keys(loci, "key", heavy_share)
+    share = heavy_share or max(LEAST_SHARE, min(HEAVY_SHARE, 1 / (2 * partitions_for(rows.sparkSession))))
+    heavy = heavy_keys(loci, "key", share)
     is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
 
     def targets(totals: DataFrame) -> DataFrame:
