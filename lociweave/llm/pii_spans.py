@@ -55,6 +55,7 @@ DIGIT_WORDS = {
 }
 SPELLED = [re.compile(rf"(?<![\w@-])(?:(?:plus|más|плюс){S}+)?(?:{w})(?:,?{S}+(?:{w})){{6,}}(?:{_EXT})?(?![\w@-])", I) for w in DIGIT_WORDS.values()]
 SPELLED_VALUES = [[("zero", "oh"), *((x,) for x in DIGIT_WORDS["en"].split("|")[2:])], [("null",), ("eins",), ("zwei", "zwo"), *((x,) for x in DIGIT_WORDS["de"].split("|")[4:])], [(x,) for x in DIGIT_WORDS["fr"].split("|")], [(x,) for x in DIGIT_WORDS["es"].split("|")], [("ноль", "нуль"), *((x,) for x in DIGIT_WORDS["ru"].split("|")[2:])]]
+SPELLED_WORDS = {f(w) for names in DIGIT_WORDS.values() for w in names.split("|") for f in (str.lower, str.title, str.upper)}
 HOUR = re.compile(rf"(?<![^\W_])(?:after|at|before|until|nach|um|vor|bis|après|à|avant|después de las|a las|las|после|в|до){S}+$", I)
 SPELLED_CUE = re.compile(rf"(?<![\w@-])(?:{'|'.join(DIGIT_WORDS.values())})(?:,?{S}+(?:{'|'.join(DIGIT_WORDS.values())})){{2}}(?![\w-])", I)
 PHONE_RE = [re.compile(f"{_NO_LEFT}{p}(?:{_EXT})?{_NO_RIGHT}", I) for p in PHONES]
@@ -175,13 +176,13 @@ NAME_PLACE = re.compile(rf"(?:(?<![^\W_])(?:{CUES['name']}){S}?[.,:]?{S}*[\"'«(
 NAME_REACH = 120
 
 
-def name_spans(text: str, names: Names) -> list[tuple[int, int, tuple]]:
+def name_spans(text: str, names: Names, words: set[str] | None = None) -> list[tuple[int, int, tuple]]:
     """Pairs of given and family name, initial and family name, or family name, comma and given name or initial.
 
     Only the surroundings of words made like names, of cues and of initials are read word by word.
     """
     places = [(m.start(), m.end()) for m in NAME_PLACE.finditer(text)]
-    for w in set(WORD.findall(text)):
+    for w in set(WORD.findall(text)) if words is None else words:
         if len(w) > 1 and names.is_like(w):
             at = text.find(w)
             while at >= 0:
@@ -292,16 +293,17 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
             sign = 0 if at.strip() in "@＠" and at.strip() else 1 if at == "&#64;" else 2 if "(" in at or "[" in at else 3
             spelled = len(re.findall(r"dot", domain, I))
             add("email", m.start(), m.end(), [sign, float(at != at.strip()), len(local), domain.count(".") + spelled, spelled, float(local.isdigit()), len(re.split(r"\W+", domain)[-1])])
-    for lo, hi in windows(text, SPELLED_CUE, 240):
+    words = set(WORD.findall(text))
+    for lo, hi in windows(text, SPELLED_CUE, 240) if len(words & SPELLED_WORDS) > 1 else ():
         for number, shape in enumerate(SPELLED):
             for m in shape.finditer(text, lo, hi):
-                words = list(WORD.finditer(text, m.start(), m.end()))
+                said = list(WORD.finditer(text, m.start(), m.end()))
                 # The first word may be the hour of a sentence such as "call after six ...".
                 for skip in (0, 1):
-                    start, rest = words[skip].start(), [w.group().casefold() for w in words[skip:]]
+                    start, rest = said[skip].start(), [w.group().casefold() for w in said[skip:]]
                     value = [next((d for d, names in enumerate(SPELLED_VALUES[number]) if w in names), 0) for w in rest[:3]]
                     hour = float(bool(HOUR.search(text[max(0, start - 14) : start])))
-                    skipped = float(bool(HOUR.search(text[max(0, words[0].start() - 14) : words[0].start()]))) if skip else 0.0
+                    skipped = float(bool(HOUR.search(text[max(0, said[0].start() - 14) : said[0].start()]))) if skip else 0.0
                     add("phone", start, m.end(), [float(len(PHONES) + number), float(len(rest)), hour, skipped, float(bool(DIGIT.search(m.group()))), float(skip), *[0.0] * 4, 1.0, float(m.end() - start), 1.0, 1.0, float(value[0] * 100 + value[1] * 10 + value[2]), float(value[0] * 10 + value[1]), 0.0, 0.0])
     # Every other number, identity number and street has a digit, and none is longer than a window reaches.
     for lo, hi in windows(text, DIGIT, 120):
@@ -322,12 +324,12 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
         for number, shape in enumerate(STREET_RE):
             for m in shape.finditer(text, lo, hi):
                 t = m.group()
-                words, numbers = WORD.findall(t), re.findall(r"\d+", t)
+                parts, numbers = WORD.findall(t), re.findall(r"\d+", t)
                 flat_after = bool(re.match(r"\s*,\s*(?:apt|flat|app|кв|\d{1,2}\.[º])", text[m.end() : m.end() + 12], I))
                 flat_before = bool(re.search(r"(?:flat|apt\.?)\s+\d+,\s*$", text[max(0, m.start() - 14) : m.start()], I))
-                own = [number, len(t), len(words), sum(w[:1].isupper() for w in words) / max(1, len(words)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, words)), t[:1].isupper(), bool(PLACE_BEFORE.search(text[max(0, m.start() - 16) : m.start()])), bool(HALF_NAME.search(t)), bool(CAPITAL.match(text, m.end()))]
+                own = [number, len(t), len(parts), sum(w[:1].isupper() for w in parts) / max(1, len(parts)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, parts)), t[:1].isupper(), bool(PLACE_BEFORE.search(text[max(0, m.start() - 16) : m.start()])), bool(HALF_NAME.search(t)), bool(CAPITAL.match(text, m.end()))]
                 add("street_address", m.start(), m.end(), list(map(float, own)))
-    for a, b, (w, v, comma, initials) in name_spans(text, names):
+    for a, b, (w, v, comma, initials) in name_spans(text, names, words):
         one = len(w) == 1
         lw, lv = names.likeness(w) if not one else (0, 0, 0, 0), names.likeness(v) if len(v) > 1 else (0, 0, 0, 0)
         first, second = (lv, lw) if comma else (lw, lv)
