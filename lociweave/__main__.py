@@ -6,11 +6,17 @@ import argparse
 import sys
 
 from .functions.locus import SplitPoints
+from .operators import reports
 from .operators.compaction import compact
+from .operators.replay import calibration
 from .operators.split_points import row_balanced
+from .plans.ordering import ascending
 from .plans.runs import Collect, CombinerRun, Explain, Formulation, InvalidAction, MetricsDirectory, Outcome, Probe, Write
 from .session import local_session
-from .sources.dataset import LocusTable
+from .sources.conversions import normalized_contigs, pack_loci, scaled
+from .sources.dataset import LocusTable, loaded
+from .sources.files import Files
+from .sources.sinks import check_vacant
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,6 +51,16 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--input-format", default="parquet")
     r = sub.add_parser("replay")
     r.add_argument("metrics_dir")
+    for name in ("pack-loci", "scale"):
+        c = sub.add_parser(name)
+        c.add_argument("path")
+        c.add_argument("dest")
+        if name == "scale":
+            c.add_argument("--factor", type=int, default=10)
+    w = sub.add_parser("sweep-report")
+    w.add_argument("metrics_dir")
+    v = sub.add_parser("calibration")
+    v.add_argument("metrics_dir")
     k = sub.add_parser("compact")
     k.add_argument("source")
     k.add_argument("target")
@@ -101,6 +117,20 @@ def main(argv: list[str] | None = None) -> int:
             print(points_text(table, a.intervals))
         elif a.command == "replay":
             print(f"{len(MetricsDirectory(spark, a.metrics_dir).replay())} shadow runs replayed")
+        elif a.command in ("pack-loci", "scale"):
+            rows = loaded_table(spark, a.path)
+            check_vacant(spark, a.dest)
+            made = pack_loci(rows) if a.command == "pack-loci" else scaled(normalized_contigs(rows), a.factor)
+            keys = [c for c in ("locus", "contig", "position", "s") if c in made.columns]
+            made.repartitionByRange(*ascending(keys)).sortWithinPartitions(*ascending(keys)).write.mode("append").parquet(a.dest)
+            print(f"written to {a.dest}")
+        elif a.command == "sweep-report":
+            print(sweep_text(spark, a.metrics_dir))
+        elif a.command == "calibration":
+            runs = MetricsDirectory(spark, a.metrics_dir).read("runs")
+            if runs is None or not runs.where("action = 'shadow'").limit(1).count():
+                raise ValueError(f"{a.metrics_dir} has no shadow probes")
+            print(calibration(runs).orderBy("run_id").toPandas().to_string(index=False))
         else:
             done = compact(spark, a.source, a.target, target_bytes=a.target_bytes)
             print(f"{done.rows} rows, {done.files_before} files into {done.files_after}")
@@ -110,6 +140,21 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def loaded_table(spark, path: str):
+    return loaded(spark, "parquet", [e.path for e in Files(spark).data_files(path, ".parquet")])
+
+
+def sweep_text(spark, folder: str) -> str:
+    """The report over a metrics directory's runs/ and the runner records (JSON) in its runners/."""
+    records = MetricsDirectory(spark, folder).read("runs")
+    if records is None or not Files(spark).exists(f"{folder}/runners"):
+        raise ValueError(f"{folder} has no run records, or no runner records under runners/")
+    runners = spark.read.schema(reports.RUNNERS).option("multiLine", True).json(f"{folder}/runners")
+    found = reports.cells(runners, records)
+    by = ["cell", "machine_type", "threads_per_core"]
+    return reports.markdown(reports.sweep(found, by), found.where("state = 'failed'"), runners.where("status <> 'done'"), by)
+
+
 def points_text(table: LocusTable, intervals: int) -> str:
     """Split points in the form that --split-points takes."""
     from pyspark.sql import functions as F

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 SHARD_BITS = 16
 BUFFER_ROWS = 400_000
+PIECES = 1 << 20
 
 
 def _merge(keys: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,33 +44,33 @@ def _premerge(n_keys: int, shard_bits: int, buffer_rows: int):
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             columns = [t.column(i).combine_chunks() for i in range(n_keys)]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
             codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
-            first = t.column(n_keys).to_numpy().astype(np.int64)
-            last = t.column(n_keys + 1).to_numpy().astype(np.int64)
-            row, first, last = _merge(codes, first, last)
-            # Clip the merged periods at shard boundaries.
-            pieces = (last >> shard_bits) - (first >> shard_bits) + 1
-            of = np.repeat(np.arange(len(row)), pieces)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            shard = (first >> shard_bits)[of] + step
-            a = np.maximum(first[of], shard << shard_bits)
-            b = np.minimum(last[of], ((shard + 1) << shard_bits) - 1)
-            taken = pa.array(row[of])
-            return pa.RecordBatch.from_arrays([*(c.take(taken) for c in columns), pa.array(shard), pa.array(a), pa.array(b)], names=[*(f"k{i}" for i in range(n_keys)), "shard", "a", "b"])
+            row, first, last = _merge(codes, t.column(n_keys).to_numpy().astype(np.int64), t.column(n_keys + 1).to_numpy().astype(np.int64))
+            # Clip the merged periods at shard boundaries, so many pieces at a time.
+            shard_of_first = first >> shard_bits
+            upto = np.cumsum((last >> shard_bits) - shard_of_first + 1)
+            for lo in range(0, int(upto[-1]), PIECES):
+                piece = np.arange(lo, min(lo + PIECES, int(upto[-1])))
+                of = np.searchsorted(upto, piece, side="right")
+                shard = shard_of_first[of] + piece - np.where(of > 0, upto[of - 1], 0)
+                a = np.maximum(first[of], shard << shard_bits)
+                b = np.minimum(last[of], ((shard + 1) << shard_bits) - 1)
+                taken = pa.array(row[of])
+                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in columns), pa.array(shard), pa.array(a), pa.array(b)], names=[*(f"k{i}" for i in range(n_keys)), "shard", "a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
             if rows >= buffer_rows:
-                yield flush()
+                yield from flush()
                 held, rows = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -93,7 +94,8 @@ def periods_and_gaps(
     merged periods into shards of 2^shard_bits points, so that one entity's work spreads over as many tasks as it has
     shards, and a shard holds at most 2^(shard_bits-1) periods from each buffer. Level 2 merges within a shard; only the
     first and last period of a shard can touch or face a neighbouring shard, so only these are brought together by
-    entity (two rows a shard) to stitch coverage across boundaries and to find the gaps between shards.
+    entity (two rows a shard) to stitch coverage across boundaries and to find the gaps between shards. A period makes
+    one piece a shard, so shard_bits should suit the unit: about a thousand times a usual interval's length.
 
     Defined results: a null `first` or `last`, or last < first, covers nothing; null entity values form an entity of
     their own; repeated rows change nothing; an empty table gives no rows; other columns are ignored and may have any name.

@@ -239,6 +239,12 @@ def test_sweep_report(spark, tmp_path):
     assert "| u | 2 | 1.08 ±9.1% | 1.17 ±0.0% | 1.200 | 2.00 |" in text and "- v-r1: exit status 1, recorded as completed" in text and "- w-r1: exit status 0, no run record" in text and "- r2: running" in text
 
 
+def test_metrics_fold(spark):
+    rows = [("a", "rows", 3), ("a", "rows", 4), ("a", "startTime", 9), ("a", "startTime", 5), ("a", "endTime", 7), ("a", "endTime", 8), ("a", "peakMemory", 2)]
+    got = reports.folded_metrics(spark.createDataFrame(rows, "operator string, metric string, value bigint"), ["operator"])
+    assert {r.metric: r.value for r in got.collect()} == {"rows": 7, "startTime": 5, "endTime": 8, "peakMemory": 2}
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("lociweave.__main__.local_session", lambda *a: spark)
     root = single_samples(tmp_path / "in")
@@ -248,6 +254,14 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     write(f"{tmp_path}/t.parquet", arrow([(1, p, "A") for p in range(1, 11)]))
     capsys.readouterr()
     assert main(["balance-split-points", f"{tmp_path}/t.parquet", "--intervals", "4"]) == 0 and capsys.readouterr().out.strip() == "1:3,1:6,1:8"
+    assert main(["pack-loci", f"{tmp_path}/t.parquet", f"{tmp_path}/packed"]) == 0 and spark.read.parquet(f"{tmp_path}/packed").columns == ["locus", "alleles"]
+    assert main(["scale", f"{tmp_path}/t.parquet", f"{tmp_path}/scaled", "--factor", "3"]) == 0 and spark.read.parquet(f"{tmp_path}/scaled").count() == 30
+    m = str(tmp_path / "m")
+    assert main(["combine-refs", root, "--shadow-probe", "--metrics", m, "--run-id", "u-r1"]) == 0 and main(["replay", m]) == 0 and main(["calibration", m]) == 0
+    os.makedirs(f"{m}/runners")
+    with open(f"{m}/runners/r1.json", "w") as f:
+        json.dump({"runner": "r1", "machine_type": "m", "threads_per_core": 1, "repetition": 1, "cell_order": ["u"], "cells": [{"cell": "u", "run_id": "u-r1", "exit_status": 0, "seconds": 1.0}], "status": "done"}, f)
+    assert main(["sweep-report", m]) == 0 and "| u | m | 1 | 1 |" in capsys.readouterr().out
     for bad in (["combine-refs", root, "--show", "--compression", "zstd"], ["combine-refs", root, "--probe"], ["combine-refs", root, "--show", "--groups", "2"], ["balance-split-points", f"{tmp_path}/t.parquet", "--intervals", "1"]):
         assert main(bad) == 1 and "error:" in capsys.readouterr().err
 
