@@ -17,9 +17,13 @@ INT_MAX = 2**31 - 1
 
 
 def contig_ordinal(contig: Column) -> Column:
-    """Ordinal (int) of a contig name, or null where the name has none or a number beyond an int."""
-    digits = F.regexp_extract(contig, r"^chr0*([0-9]+)$", 1)
-    return F.when(F.length(digits).between(1, 10), digits.try_cast("int"))
+    """Ordinal (int) of a contig name, or null where the name has none or a number beyond an int.
+
+    Plain string functions, which cost a fraction of a regular expression a row: nothing but `chr` may be left once the
+    digits are taken out, and it must come first.
+    """
+    named = contig.startswith("chr") & (F.translate(contig, "0123456789", "") == "chr")
+    return F.when(named, F.substring(contig, 4, INT_MAX).try_cast("int"))
 
 
 def contig_name(ordinal: Column) -> Column:
