@@ -184,16 +184,25 @@ def name_spans(text: str, names: Names, words: set[str] | None = None) -> list[t
     places = [(m.start(), m.end()) for m in NAME_PLACE.finditer(text)]
     for w in set(WORD.findall(text)) if words is None else words:
         if len(w) > 1 and names.is_like(w):
+            small = w[0].islower()
             at = text.find(w)
             while at >= 0:
-                places.append((at, at + len(w)))
-                at = text.find(w, at + len(w))
+                end = at + len(w)
+                # In small letters a name's other part has to look like one too; plain words often do by themselves.
+                if not small or _beside_like(text, at, end, names):
+                    places.append((at, end))
+                at = text.find(w, end)
     found = []
     for lo, hi in _merged(sorted(places), NAME_REACH, text):
         found += _name_spans(text, lo, hi, names)
     return found
 
 
+def _beside_like(text: str, a: int, b: int, names: Names) -> bool:
+    after = WORD.search(text, b, b + NAME_REACH)
+    return bool(after and names.is_like(after.group())) or any(names.is_like(w) for w in WORD.findall(text, max(0, a - 40), a)[-1:])
+
+
 def _merged(places: list[tuple[int, int]], reach: int, text: str) -> list[tuple[int, int]]:
     """Stretches within `reach` of the places (in order); they don't overlap, and their ends don't cut words."""
     out: list[tuple[int, int]] = []
