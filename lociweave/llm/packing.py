@@ -46,6 +46,8 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
             out[queue[at]] = container
             left[k] -= 1
             room -= kinds[k]
+        if (room == limits).all() and (kinds[live] > 0).any(axis=1).all():
+            raise ValueError("an item is above the limits")
         container += 1
         live = live[left[live] > 0]
     return out

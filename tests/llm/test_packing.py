@@ -25,6 +25,11 @@ def test_pack_is_deterministic_and_takes_few_items():
     assert pack(np.repeat(one, 5, axis=0), np.array([10, 4, 10])).tolist() == [0, 0, 1, 1, 2]
 
 
+def test_pack_refuses_what_never_fits():
+    with pytest.raises(ValueError):
+        pack(np.array([[11, 1, 1]]), np.array([10, 4, 10]))
+
+
 def check(rows, cap, most):
     by = {}
     for r in rows:
