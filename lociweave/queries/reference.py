@@ -98,6 +98,13 @@ def sample_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(files, "path").groupBy("dataset", "s").agg(F.count_distinct("input_table").alias("tables"), F.sum("n").alias("n")).where("tables > 1")
 
 
+def sample_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and records of each input table that has stored records."""
+    files = table(spark, d, "stored_files").select("path", "dataset", "input_table").distinct()
+    rows = table(spark, d, "stored_rows").groupBy("path", "s").agg(F.count("*").alias("n"))
+    return rows.join(files, "path").groupBy("dataset", "input_table").agg(F.count_distinct("s").alias("samples"), F.sum("n").alias("n"))
+
+
 def incomplete_tables(spark: SparkSession, d: str) -> DataFrame:
     """Multi-sample input tables without a sample annotation table."""
     files = table(spark, d, "stored_files").where("kind <> 'single_sample'")
@@ -261,7 +268,7 @@ def streamed_stops(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out)
 
 
-NAMES = ["combine_refs_union", "combine_refs_grouped", "combine_refs_interval", "interval_row_counts", "combine_alleles", "locus_pack", "locus_unpack", "locus_filter_contig_position", "locus_filter_packed", "contig_filter", "row_balanced_split_points", "row_numbers", "sample_set", "sample_overlap", "incomplete_tables", "restrict_inputs", "refs_topk", "range_group_count", "range_join", "membership_semi", "membership_anti", "interval_join_loci", "explode_alleles", "entries_defined_counts", "scaled_contigs", "sample_rates", "tightness_checks", "replay_baselines", "replay_stops", "settings_overview", "replay_grid", "stop_over_checks", "probe_stop_reason", "normalized_throughput", "sweep_report", "calibration_errors", "pareto_datasets", "run_status_summary", "order_check_violations", "order_check_sorted", "event_windows", "streamed_stops"]
+NAMES = ["combine_refs_union", "combine_refs_grouped", "combine_refs_interval", "interval_row_counts", "combine_alleles", "locus_pack", "locus_unpack", "locus_filter_contig_position", "locus_filter_packed", "contig_filter", "row_balanced_split_points", "row_numbers", "sample_set", "sample_overlap", "sample_tables", "incomplete_tables", "restrict_inputs", "refs_topk", "range_group_count", "range_join", "membership_semi", "membership_anti", "interval_join_loci", "explode_alleles", "entries_defined_counts", "scaled_contigs", "sample_rates", "tightness_checks", "replay_baselines", "replay_stops", "settings_overview", "replay_grid", "stop_over_checks", "probe_stop_reason", "normalized_throughput", "sweep_report", "calibration_errors", "pareto_datasets", "run_status_summary", "order_check_violations", "order_check_sorted", "event_windows", "streamed_stops"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 REFS = """
@@ -289,6 +296,7 @@ SQL = {
     "row_numbers": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_number FROM orders",
     "sample_set": "SELECT DISTINCT s FROM refs",
     "sample_overlap": "SELECT dataset, s, count(DISTINCT input_table)::BIGINT AS tables, sum(n)::BIGINT AS n FROM (SELECT path, s, count(*) AS n FROM stored_rows GROUP BY ALL) JOIN (SELECT DISTINCT path, dataset, input_table FROM stored_files) USING (path) GROUP BY ALL HAVING count(DISTINCT input_table) > 1",
+    "sample_tables": "SELECT dataset, input_table, count(DISTINCT s)::BIGINT AS samples, count(*)::BIGINT AS n FROM stored_rows JOIN (SELECT DISTINCT path, dataset, input_table FROM stored_files) USING (path) GROUP BY ALL",
     "incomplete_tables": "SELECT dataset, input_table FROM stored_files WHERE kind <> 'single_sample' GROUP BY ALL HAVING NOT bool_or(path LIKE '%.samples.parquet')",
     "restrict_inputs": "SELECT s, count(*)::BIGINT AS n FROM refs WHERE right(s, 1) IN ('0','1','2','6','7') GROUP BY s",
     "refs_topk": REFS + """SELECT * FROM r ORDER BY contig NULLS LAST, position NULLS LAST, DP NULLS LAST, GQ NULLS LAST, "LEN" NULLS LAST, ploidy NULLS LAST, s NULLS LAST LIMIT 100""",
