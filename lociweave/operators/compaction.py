@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,17 +106,60 @@ def _files(spark: SparkSession, path: str, suffix: str) -> list[tuple[str, int]]
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.getFileStatus(root).isFile():
         return [(str(root), fs.getFileStatus(root).getLen())]
-    found, walk = [], fs.listFiles(root, True)
+    found, lost, walk = [], [], fs.listFiles(root, True)
     while walk.hasNext():
         x = walk.next()
         inside = x.getPath().toUri().getPath()[len(root.toUri().getPath()) :]
-        if x.getPath().getName().endswith(suffix) and "/." not in inside and "/_" not in inside:
+        if "/." in inside:
+            continue
+        # As in the engine, a key=value directory may begin with an underscore.
+        if not any(p.startswith("_") and "=" not in p for p in inside.split("/")):
             found.append((x.getPath().toString(), x.getLen()))
+        elif inside.endswith(suffix):
+            lost.append(x.getPath().toString())
+    if lost:
+        raise ValueError(f"the engine reads no names that begin with an underscore: {', '.join(sorted(lost)[:10])}")
     return sorted(found)
 
 
+def _literal(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
+
+
+def _read(spark: SparkSession, source: str, files: list[str], fmt: str) -> list[DataFrame]:
+    """Frames that together have all of `files`, which lie below `source` at any depth; most often one. Keys of key=value
+    directories are columns, and so is every column that only some files have."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    # By the directory below which key=value directories begin; the engine takes one such directory at a time.
+    bases: dict[str | None, list[str]] = {}
+    for f in files:
+        parts = f[len(root) :].split("/")[1:-1]
+        at = next((i for i, p in enumerate(parts) if "=" in p), None)
+        bases.setdefault(None if at is None else "/".join([root, *parts[:at]]), []).append(f)
+    reader = lambda **options: spark.read.format(fmt).options(mergeSchema=True, **options)
+    if list(bases) in ([], [root]):
+        return [reader().load(source)]
+    if list(bases) == [None]:
+        return [reader(recursiveFileLookup=True).load(source)]
+    return [(reader() if base is None else reader(basePath=base)).load(list(map(_literal, own))) for base, own in bases.items()]
+
+
+def _unread(spark: SparkSession, read: list[DataFrame], listed: list[str], fmt: str) -> list[str]:
+    """Some of the `listed` files of which the frames don't have every record; records are counted file by file."""
+    if not listed:
+        return []
+    counts = lambda df, n: df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias(n))
+    got = reduce(DataFrame.unionByName, [counts(df, "got") for df in read])
+    alone = counts(spark.read.format(fmt).load(list(map(_literal, listed))), "n")
+    return [x.file for x in alone.join(got, "file", "left").where("got IS NULL OR got <> n").limit(10).collect()]
+
+
 def compact(spark: SparkSession, source: str, target: str, *, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST, least_mean: int = SMALL_MEAN, fmt: str = "parquet") -> Compaction:
-    """Rewrite the files below `source` as fewer, larger files in the new directory `target`.
+    """Rewrite the files below `source`, at any depth, as fewer, larger files in the new directory `target`.
+
+    Every listed file is held against what is read by its own count of records. Names that begin with a dot are hidden;
+    data files whose name, or a directory's above them, begins with an underscore are refused.
 
     The engine's own split packing does the work: the maximum partition size and the file-open cost are tuned so that
     one split combines as many small files as come near `target_bytes`; a map-only job reads each combined split and
@@ -136,7 +181,10 @@ def compact(spark: SparkSession, source: str, target: str, *, target_bytes: int
     parts = max(1, round(total / target_bytes))
     staging = f"{target.rstrip('/')}-staging-{uuid.uuid4().hex}"
     with _tuned(spark, spark__sql__files__maxPartitionBytes=max(target_bytes, 1), spark__sql__files__openCostInBytes=cost, spark__sql__files__minPartitionNum=1):
-        rows = spark.read.format(fmt).load(source)
+        read = _read(spark, source, [p for p, _ in before], fmt)
+        if lost := _unread(spark, read, [p for p, _ in before], fmt):
+            raise VerificationError(f"records of listed files would be left out: {', '.join(lost)}")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
         rows.coalesce(max(parts, 1)).write.format(fmt).save(staging)
         try:
             was, now = _fingerprint(rows), _fingerprint(spark.read.format(fmt).schema(rows.schema).load(staging))

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave.operators.compaction import VerificationError, _fingerprint, compact, consolidated, data_files, packing_plan, table_report
 
@@ -66,3 +67,37 @@ def test_compact_publishes_nothing_that_differs(spark, tmp_path, monkeypatch):
 def test_compact_empty(spark, tmp_path):
     spark.createDataFrame([], "a int").write.parquet(str(tmp_path / "in"))
     assert compact(spark, str(tmp_path / "in"), str(tmp_path / "out")).rows == 0
+
+
+def test_compact_reads_files_at_any_depth(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for part, inside in enumerate(("", "multi{a}", "multi{a}/deep")):
+        spark.range(part * 10, part * 10 + part + 3).coalesce(1).write.mode("append").parquet(str(source / inside))
+    done = compact(spark, str(source), target)
+    assert (done.files_before, done.rows) == (3, 12)
+    assert sorted(x.id for x in spark.read.parquet(target).collect()) == [0, 1, 2, 10, 11, 12, 13, 20, 21, 22, 23, 24]
+
+
+def test_compact_keeps_keys_of_directories_beside_plain_files(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for n, inside in enumerate(("k=1", "k=2", "sub", "sub/j=5", "")):
+        spark.range(n, n + 1).withColumn(f"c{n % 2}", F.lit(n)).coalesce(1).write.mode("append").parquet(str(source / inside))
+    assert compact(spark, str(source), target).files_before == 5
+    got = {x.id: (x.k and str(x.k), x.j and str(x.j), x.c0, x.c1) for x in spark.read.parquet(target).collect()}
+    assert got == {0: ("1", None, 0, None), 1: ("2", None, None, 1), 2: (None, None, 2, None), 3: (None, "5", None, 3), 4: (None, None, 4, None)}
+
+
+def test_compact_refuses_underscores_and_what_it_does_not_read(spark, tmp_path, monkeypatch):
+    import lociweave.operators.compaction as module
+
+    source = tmp_path / "in"
+    spark.range(3).coalesce(1).write.parquet(str(source))
+    spark.range(4).coalesce(1).write.parquet(str(source / "sub"))
+    monkeypatch.setattr(module, "_read", lambda spark, source, files, fmt: [spark.read.parquet(source)])
+    with pytest.raises(VerificationError):
+        compact(spark, str(source), str(tmp_path / "out"))
+    (source / "_hidden").mkdir()
+    next(source.glob("*.parquet")).rename(source / "_hidden/x.parquet")
+    with pytest.raises(ValueError, match="underscore"):
+        compact(spark, str(source), str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path)) == ["in"]
