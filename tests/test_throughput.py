@@ -4,6 +4,7 @@ import pytest
 
 from lociweave.operators.replay import Grid, calibration, overview, pareto, replay, shadow_series, stops_over_checks
 from lociweave.operators.throughput import SECOND, ProbeSettings, Series, batch_ends, capped_at, checks, decide, nearest, normalized, stop, stop_reason, t_975, warmup_cut, would_stop
+from lociweave.queries.reference import tightness_checks
 
 ONE = ProbeSettings(consecutive_checks=1, min_duration_ns=0)
 
@@ -144,3 +145,13 @@ def test_pareto(spark):
     got = pareto(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a double, b double"), "a", "b").toPandas().set_index("i").pareto
     assert got.sort_index().tolist() == [True, True, True, False, False, True, False, False]
     assert isinstance(got, pd.Series)
+
+
+def test_query_has_the_checks_of_every_pair(spark, tmp_path):
+    record = "run_id string, action string, started_at bigint, " + ", ".join(f"{c} {'double' if c == 'precision' else 'bigint'}" for c in ("poll_period_ns", "batch_duration_ns", "precision", "consecutive_checks", "window_groups", "min_duration_ns", "max_duration_ns", "first_partition_end_ns"))
+    runs = [("fast", SECOND // 10), ("slow", 2 * SECOND)]
+    spark.createDataFrame([(r, "shadow", 1, poll, *[None] * 7) for r, poll in runs], record).write.parquet(str(tmp_path / "run_records.parquet"))
+    samples = [(r, i, i * poll, i * poll // 10**6) for r, poll in runs for i in range(300 * SECOND // poll)]
+    spark.createDataFrame(samples, "run_id string, sample_index bigint, elapsed_ns bigint, rows bigint").write.parquet(str(tmp_path / "progress_samples.parquet"))
+    got = {(x.run_id, x.batch_duration_ns / SECOND, x.window_groups) for x in tightness_checks(spark, str(tmp_path)).collect()}
+    assert got == {(r, b, g) for r, least in (("fast", 0.5), ("slow", 2)) for b in (0.5, 1, 2, 5) if b >= least for g in (5, 10, 20, 40)}
