@@ -66,7 +66,8 @@ _NUMBER = rf"\d{{1,4}}(?:{S}?[a-d]\b)?(?:{DASH}\d{{1,4}})?"
 _FLAT = rf"(?:flat|apt\.?|apartment|unit|suite|room){S}+\d{{1,4}}[a-z]?"
 _EN_TYPE = r"(?:street|road|lane|avenue|terrace|way|close|drive|court|square|crescent|gardens|row|hill|place|quay|walk|grove|mews)"
 _W = r"[^\W\d_](?:[\w'’.-]*[\w])?"
-_DE_STREET = rf"[^\W\d_][\w-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|kai|brücke|markt|hof)"
+_DE_TYPE = r"(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ufer|damm|ring|steig|kai|brücke|markt|hof)"
+_DE_STREET = rf"[^\W\d_][\w-]*{_DE_TYPE}"
 _DE_PLACE = rf"(?:(?-i:A[mM]|A[nN]|A[uU][fF]|I[mM]|I[nN]|Z[uU][mMrR]|H[iI][nN][tT][eE][rR]|U[nN][tT][eE][rR]){S}+(?:(?:der|dem|den|alten|neuen|hohen|langen){S}+){{0,2}}[^\W\d_][\w-]+|(?:platz|straße|weg|ufer){S}+(?:der|des|am|zum|zur){S}+[^\W\d_][\w-]+)"
 _DE_TWO = rf"(?-i:[A-ZÄÖÜ])[\w-]+e[rnms]?{S}+(?:str\.|stra(?:ß|ss)e|allee|gasse|platz|weg)"
 #: Before a street that is only the end of a longer one.
@@ -74,10 +75,13 @@ PLACE_BEFORE = re.compile(rf"(?<![^\W_])(?:(?-i:Am|An|Auf|Im|In|Zum|Zur|Hinter|U
 #: An adjective that a name rarely ends in.
 HALF_NAME = re.compile(r"(?<!\w)(?:vieux|vieille|grande?|petite?|nouveau|nouvelle|bas(?:se)?|sainte?|beau|belle)$", I)
 CAPITAL = re.compile(r" [A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]")
-_FR_STREET = rf"(?:rue|boulevard|bd|allée|chemin|impasse|place|quai|avenue|av\.|cours|passage|route|sentier|ruelle|square){S}+(?:(?:de{S}+la|de{S}+l['’]|du|des|de|d['’]){S}*)?{_W}"
+_FR_TYPE = r"(?:rue|boulevard|bd|allée|chemin|impasse|place|quai|avenue|av\.|cours|passage|route|sentier|ruelle|square)"
+_FR_STREET = rf"{_FR_TYPE}{S}+(?:(?:de{S}+la|de{S}+l['’]|du|des|de|d['’]){S}*)?{_W}"
 _FR_MORE = rf"(?: (?!avec|merci|dans|pour|et|le|la|les|with|please)[^\W\d_][\w'’-]*)"
-_ES_STREET = rf"(?:calle|c/|paseo|p\.º|avenida|avda\.|plaza|pza\.|camino|ronda|callejón|travesía|carretera){S}*(?:(?:de{S}+las|de{S}+los|de{S}+la|del|de){S}+)?{_W}(?:{S}{_W})?"
-_RU_STREET = rf"(?:ул\.|улица|пер\.|переулок|наб\.|набережная|проспект|просп\.|пр\.|пр-т|площадь|пл\.|бульвар|б-р|шоссе|ш\.|аллея|проезд|тупик){S}*[^\W\d_][\w-]*(?:{S}[^\W\d_][\w-]*)?"
+_ES_TYPE = r"(?:calle|c/|paseo|p\.º|avenida|avda\.|plaza|pza\.|camino|ronda|callejón|travesía|carretera)"
+_ES_STREET = rf"{_ES_TYPE}{S}*(?:(?:de{S}+las|de{S}+los|de{S}+la|del|de){S}+)?{_W}(?:{S}{_W})?"
+_RU_TYPE = r"(?:ул\.|улица|пер\.|переулок|наб\.|набережная|проспект|просп\.|пр\.|пр-т|площадь|пл\.|бульвар|б-р|шоссе|ш\.|аллея|проезд|тупик)"
+_RU_STREET = rf"{_RU_TYPE}{S}*[^\W\d_][\w-]*(?:{S}[^\W\d_][\w-]*)?"
 STREETS = [
     rf"(?:{_FLAT},?{S}+)?{_NUMBER},?{S}+(?:(?:St\.|{_W}){S}+){{1,3}}{_EN_TYPE}\b(?:,{S}*{_FLAT})?",
     rf"(?:{_FLAT},?{S}+)?{_NUMBER},?{S}+(?:(?:St\.|{_W}){S}+){{1,3}}{_EN_TYPE}\b",
@@ -96,8 +100,9 @@ STREETS = [
     rf"{_RU_STREET},?{S}+(?:(?:д\.|дом){S}*)?\d{{1,4}}(?:{S}?[а-г]\b)?(?:/\d{{1,3}})?",
 ]
 STREET_RE = [re.compile(rf"(?<![\w@./-]){p}(?![\w@])(?!-\d)", I) for p in STREETS]
-#: What must be near a number for a street pattern to be tried at all; keeps whole texts cheap to scan.
-STREET_CUE = re.compile(rf"\b{_EN_TYPE}\b|stra(?:ß|ss)e|str\.|weg\b|gasse|allee\b|platz\b|ufer|damm\b|\bring\b|steig|kai\b|brücke|markt|hof\b|\b(?:am|an der|auf der|im|zum|zur)\b|\b(?:rue|boulevard|bd|allée|chemin|impasse|place|quai|avenue|av\.|cours|passage|route|sentier|ruelle|square)\b|\b(?:calle|paseo|avenida|avda\.|plaza|pza\.|camino|ronda|callejón|travesía|carretera)\b|\bc/|ул\.|улица|пер\.|переулок|наб\.|набережная|просп|\bпр\.|площадь|\bпл\.|бульвар|шоссе|аллея|проезд|тупик", I)
+#: What must be near a number for a street pattern to be tried at all; keeps whole texts cheap to scan. Made of parts of
+#: the patterns, with no more around them than the patterns have, so that every match holds a cue.
+STREET_CUE = re.compile(rf"(?<={S}){_EN_TYPE}\b|(?<={S}){_FR_TYPE}{S}|(?<=[\w\s-]){_DE_TYPE},?{S}|(?<![\w@./-])(?:{_ES_TYPE}|{_RU_TYPE}|{_DE_PLACE},?{S}+(?:Nr\.{S}*)?\d)", I)
 
 WORD = re.compile(r"[^\W\d_](?:[\w'’]|-(?=[^\W\d_]))*")
 _BETWEEN = re.compile(rf"^(?:{S}{{1,3}}|\.{S}{{0,3}}|,{S}{{1,3}})$")

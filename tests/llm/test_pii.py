@@ -4,7 +4,7 @@ import pytest
 from lociweave.llm.boosting import boost
 from lociweave.llm.pii import calibrated, detector, fit, found, redacted
 from lociweave.llm.pii_samples import sample
-from lociweave.llm.pii_spans import Names, chosen, windows, DIGIT
+from lociweave.llm.pii_spans import DIGIT, STREET_CUE, STREET_RE, Names, chosen, spans, windows
 
 KNOWN = tuple((n, "given") for n in ("Darvan", "Darmira", "Jorvan", "Jormira", "Kalvan", "Kalmira", "Telvan", "Telmira", "March", "Тельван", "Тельмира", "Дарван", "Дармира", "Йорван", "Йормира")) + tuple((n, "family") for n in ("Pellheim", "Pellstad", "Tornheim", "Tornstad", "Velmheim", "Velmstad", "Quillheim", "Market", "Пеллхейм", "Пеллстад", "Торнхейм", "Торнстад", "Вельмхейм", "Вельмстад"))
 
@@ -94,3 +94,24 @@ def test_detector_from_a_table(spark):
     names = spark.createDataFrame([(n, p) for n, p in KNOWN] + [(None, "given"), ("Darvan", "given")], "name string, name_part string")
     assert detector(names, 400).find("Many thanks, Darvan Pellheim")[0][0] == "person_name"
     assert detector(names.where("false"), 400).find("Call 845-555-0112 after six.")[0][0] == "phone"
+
+
+STREETS = ["Unter den Linden 5", "Hinter den Gärten 12", "In den Wiesen 7", "Auf dem Berg 4", "Platz der Fähren 3", "Lange Str. 8", "Erlenstr. 2", "ALTE ALLEE 5", "Markt-Ring, Nr. 6", "12 av. Victor Hugo", "3 bis, rue Haute", "avda. de la Constitución, 5", "pza. Mayor, 3", "p.º de Gracia, 12", "C/ Campanas 4", "c/Campanas 4", "пр-т Мира, 12", "б-р Садовый, 5", "ш. Северное, 8", "пл. Мира 2", "ул.Лесная, д. 3", "Flat 9, 188 Kiln Terrace", "4 St. Brannoc Close"]
+
+
+@pytest.mark.parametrize("street", STREETS)
+def test_streets_are_proposed_without_another_cue(street):
+    text = f"xx {street}"
+    got = [text[a:b] for k, a, b, _ in spans(text, Names()) if k == "street_address"]
+    assert street in got
+
+
+def test_a_street_matches_only_with_a_cue():
+    texts = [t for t, _ in sample(list(KNOWN), 2000, seed=5)] + [f"{a} {x} {b}" for x in STREETS for a, b in (("", ""), ("xx", "7"))]
+    seen = set()
+    for text in texts:
+        for number, shape in enumerate(STREET_RE):
+            for m in shape.finditer(text):
+                seen.add(number)
+                assert STREET_CUE.search(text, m.start(), m.end()), m.group()
+    assert seen == set(range(len(STREET_RE)))
