@@ -4,7 +4,7 @@ import pytest
 from lociweave.llm.boosting import boost
 from lociweave.llm.pii import calibrated, detector, fit, found, redacted
 from lociweave.llm.pii_samples import sample
-from lociweave.llm.pii_spans import DIGIT, STREET_CUE, STREET_RE, Names, chosen, spans, windows
+from lociweave.llm.pii_spans import DIGIT, STREET_CUE, STREET_RE, Names, chosen, name_spans, spans, windows
 
 KNOWN = tuple((n, "given") for n in ("Darvan", "Darmira", "Jorvan", "Jormira", "Kalvan", "Kalmira", "Telvan", "Telmira", "March", "Тельван", "Тельмира", "Дарван", "Дармира", "Йорван", "Йормира")) + tuple((n, "family") for n in ("Pellheim", "Pellstad", "Tornheim", "Tornstad", "Velmheim", "Velmstad", "Quillheim", "Market", "Пеллхейм", "Пеллстад", "Торнхейм", "Торнстад", "Вельмхейм", "Вельмстад"))
 
@@ -115,3 +115,9 @@ def test_a_street_matches_only_with_a_cue():
                 seen.add(number)
                 assert STREET_CUE.search(text, m.start(), m.end()), m.group()
     assert seen == set(range(len(STREET_RE)))
+
+
+@pytest.mark.parametrize("name", ["darvan zorblatt", "J. pellheim", "darvan J. pellheim", "pellheim, zorb", "дарван зорблатт"])
+def test_small_names_with_one_known_part_are_proposed(name):
+    text = f"laut {name} war es so"
+    assert name in [text[a:b] for a, b, _ in name_spans(text, Names.of(list(KNOWN)))]
