@@ -11,7 +11,7 @@ CARRIERS = {
     "email": ["Contact: {x}", "Replies go to {x}.", "You should write to {x} before Friday.", "(mail: {x})", "The list still shows <{x}> as the sender.", "Kontakt: {x}", "Antworten gehen an {x}.", "Écrivez à {x} avant la foire.", "(courriel : {x})", "(correo: {x})", "Las respuestas van a {x}.", "Пишите на {x} до ярмарки.", "(почта: {x})", "Контакт: {x}", "{x}"],
     "phone": ["Call {x} after six.", "Tel. {x}", "The porter answers at {x} all week.", "The number on the gate, {x}, no longer works.", "Rufen Sie nach sechs {x} an.", "Bitte nach acht {x} wählen.", "Um neun {x} anrufen.", "Der Pförtner ist unter {x} erreichbar.", "Die Nummer am Tor, {x}, geht nicht mehr.", "Appelez le {x} après six heures.", "Le portier répond au {x}.", "Le numéro du portail, {x}, ne marche plus.", "Llame al {x} después de las seis.", "El portero responde en el {x} toda la semana.", "El número de la verja, {x}, ya no funciona.", "Звоните по {x} после шести.", "Сторож отвечает по {x} всю неделю.", "Номер на воротах, {x}, не работает.", "Тел. {x}", "Phone: {x}", "{x}"],
     "id_number": ["Tax ID {x}", "Personal number: {x}.", "Identity card {x}, copied twice.", "The form gives the insurance number {x} without a stamp.", "Steuer-ID {x}", "Persönliche Nummer: {x}.", "Ausweis {x}, zweimal kopiert.", "Das Formular nennt die Versicherungsnummer {x} ohne Stempel.", "N° fiscal {x}", "Numéro personnel : {x}.", "Carte d'identité {x}, copiée deux fois.", "Le formulaire porte le numéro d'assurance {x} sans tampon.", "Número fiscal {x}", "Número personal: {x}.", "Carné de identidad {x}, copiado dos veces.", "El formulario lleva el número de seguro {x} sin sello.", "ИНН {x}", "Личный номер: {x}.", "Удостоверение {x}, две копии.", "В форме указан страховой номер {x} без печати.", "Passport {x}"],
-    "street_address": ["Address: {x}", "Deliveries to {x}, please.", "The keys are kept at {x}.", "The workshop moved to {x} with all its tools.", "Adresse: {x}", "Lieferungen bitte an {x}, danke.", "Bitte an {x} liefern.", "Sie zogen nach {x} um.", "Die Schlüssel liegen in: {x}.", "Im Herbst zog die Werkstatt nach {x} mit allen Werkzeugen.", "Livraisons au {x}, merci.", "Les clés sont gardées au {x}.", "L'atelier a déménagé au {x} avec tous ses outils.", "Adresse : {x}", "Entregas en {x}, por favor.", "Las llaves se guardan en {x}.", "El taller se mudó a {x} con todas sus herramientas.", "Dirección: {x}", "Адрес: {x}", "Доставка: {x}, спасибо.", "Ключи хранятся здесь: {x}.", "Мастерская переехала: {x} со всеми инструментами."],
+    "street_address": ["Address: {x}", "Deliveries to {x}, please.", "The keys are kept at {x}.", "The workshop moved to {x} with all its tools.", "Adresse: {x}", "Lieferungen bitte an {x}, danke.", "Bitte an {x} liefern.", "Sie zogen nach {x} um.", "Die Schlüssel liegen in: {x}.", "Im Herbst zog die Werkstatt nach {x} mit allen Werkzeugen.", "Livraisons au {x}, merci.", "Les clés sont gardées au {x}.", "L'atelier a déménagé au {x} avec tous ses outils.", "Adresse : {x}", "Entregas en {x}, por favor.", "Las llaves se guardan en {x}.", "El taller se mudó a {x} con todas sus herramientas.", "Dirección: {x}", "Адрес: {x}", "Доставка: {x}, спасибо.", "Ключи хранятся здесь: {x}.", "Мастерская переехала: {x} со всеми инструментами.", "Мастерская переехала: {x} в субботу.", "Ключи хранятся: {x} у сторожа и в лавке.", "Адрес: {x} и больше ничего.", "Доставка: {x} с утра.", "Entregas en {x} y en el puerto.", "Las llaves se guardan en {x} a la entrada.", "The keys at {x} I lost."],
     "person_name": ["{x} signed the list.", "According to {x}, the lamp was broken.", "Many thanks, {x}", "The parcel is for {x}.", "Dr. {x} opened the meeting.", "present: {x}; absent: none", "The witness ({x}) left early.", "{x} unterschrieb die Liste.", "Laut {x} war die Lampe kaputt.", "Vielen Dank, {x}", "Das Paket ist für {x}.", "anwesend: {x}; abwesend: niemand", "Dr. {x} eröffnete die Sitzung.", "{x} a signé la liste.", "Selon {x}, la lampe était cassée.", "Merci beaucoup, {x}", "Le colis est pour {x}.", "Le Dr {x} a ouvert la séance.", "présents : {x} ; absents : aucun", "{x} firmó la lista.", "Según {x}, la lámpara estaba rota.", "Muchas gracias, {x}", "El paquete es para {x}.", "La Dra. {x} abrió la reunión.", "presentes: {x}; ausentes: nadie", "{x} подписал список.", "По словам свидетеля ({x}), лампа была разбита.", "Большое спасибо, {x}", "Посылка: {x}.", "Доктор {x} открыл собрание.", "присутствует: {x}; отсутствует: никто", "присутствует {x}; отсутствующих нет", "We met {x} there."],
 }
 #: Sentences without personal information, some of them close to it. {n}: digits as asked, {f}: a family name, {w}: a street without a number.
@@ -77,6 +77,11 @@ def span(r: random.Random, kind: str, names: Names, pools: dict[str, list[str]])
         lang = r.choice(list(STREETS))
         street, n = r.choice(STREETS[lang]), str(r.randrange(1, 250))
         letter = r.choice(["", "", "a", "b", "c"])
+        # Long numbers, and letters of all kinds, joined or apart.
+        if r.random() < 0.12:
+            n = str(r.randrange(1000, 10 ** r.randrange(4, 7)))
+        if r.random() < 0.2:
+            letter = r.choice(["", "", " "]) + (r.choice("абвгдежзик") if lang == "ru" else r.choice("abcdefghkmABCDEFGHKM"))
         if lang == "en":
             text = f"{n}{letter} {street}"
             k = r.random()
@@ -84,11 +89,11 @@ def span(r: random.Random, kind: str, names: Names, pools: dict[str, list[str]])
         elif lang == "de":
             text = f"{street} {r.choice([n + letter, n + letter, 'Nr. ' + n, n + '-' + str(int(n) + 2)])}"
         elif lang == "fr":
-            text = f"{n}{r.choice(['', ' bis', ' ter', ''])}{r.choice([' ', ', '])}{street}"
+            text = f"{n}{r.choice(['', ' bis', ' ter', '', letter])}{r.choice([' ', ', '])}{street}"
         elif lang == "es":
-            text = f"{street}{r.choice([' ', ', ', ' n.º '])}{n}" + r.choice(["", f", {r.randrange(1, 9)}.º {r.choice('ABCD')}"])
+            text = f"{street}{r.choice([' ', ', ', ' n.º '])}{n}{letter if r.random() < 0.4 else ''}" + r.choice(["", f", {r.randrange(1, 9)}.º {r.choice('ABCD')}"])
         else:
-            text = f"{street}{r.choice([' ', ', '])}{n}" if r.random() < 0.6 else f"{street}, д. {n}" + r.choice(["", f", кв. {r.randrange(1, 99)}"])
+            text = f"{street}{r.choice([' ', ', '])}{n}{letter if letter.strip() in set('абвгдежзик') else ''}" if r.random() < 0.6 else f"{street}, д. {n}" + r.choice(["", f", кв. {r.randrange(1, 99)}"])
         if lang == "en" and r.random() < 0.12:
             text = text.upper().replace("APT.", "Apt.").replace("FLAT", "Flat")
         return styled(r, text).replace("‑", "-"), (", " + digits(r, TOWNS[lang]) if r.random() < 0.35 else "")

@@ -62,7 +62,9 @@ PHONE_RE = [re.compile(f"{_NO_LEFT}{p}(?:{_EXT})?{_NO_RIGHT}", I) for p in PHONE
 PHONE_RE += [re.compile(f"{_NO_LEFT}{p}{_NO_RIGHT}") for p in PHONES]
 ID_RE = [re.compile(f"{_NO_LEFT}(?:{p}){_NO_RIGHT}") for p in IDS]
 
-_NUMBER = rf"\d{{1,4}}(?:{S}?[a-d]\b)?(?:{DASH}\d{{1,4}})?"
+#: A letter behind a house number. As a word of its own it may belong to the sentence; see HOUSE_LETTER.
+_LETTER = rf"(?:{S}?[^\W\d_]\b)?"
+_NUMBER = rf"\d{{1,6}}{_LETTER}(?:{DASH}\d{{1,6}})?"
 _FLAT = rf"(?:flat|apt\.?|apartment|unit|suite|room){S}+\d{{1,4}}[a-z]?"
 _EN_TYPE = r"(?:street|road|lane|avenue|terrace|way|close|drive|court|square|crescent|gardens|row|hill|place|quay|walk|grove|mews)"
 _W = r"[^\W\d_](?:[\w'’.-]*[\w])?"
@@ -91,19 +93,23 @@ STREETS = [
     rf"{_DE_PLACE},?{S}+(?:Nr\.{S}*)?{_NUMBER}(?:,{S}*(?:Whg\.|Wohnung|App\.|Apt\.){S}*\d{{1,4}}[a-z]?)?",
     rf"{_DE_PLACE},?{S}+(?:Nr\.{S}*)?{_NUMBER}",
     rf"{_DE_TWO},?{S}+(?:Nr\.{S}*)?{_NUMBER}",
-    rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}(?:,{S}*(?:appt\.?|apt\.|app\.|bât\.?|appartement){S}*\w{{1,4}})?",
-    rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}{_FR_MORE}",
-    rf"\d{{1,4}}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}",
-    rf"{_ES_STREET},?{S}+(?:n\.?\s?[º°]\.?{S}*|núm\.{S}*)?\d{{1,4}}(?:{S}?[a-d]\b)?(?:,{S}*\d{{1,2}}[.]?[ºª]{S}*(?:[A-Z]\b|izq\.?|dcha\.?)?)?",
-    rf"{_ES_STREET},?{S}+(?:n\.?\s?[º°]\.?{S}*|núm\.{S}*)?\d{{1,4}}(?:{S}?[a-d]\b)?",
-    rf"{_RU_STREET},?{S}+(?:(?:д\.|дом){S}*)?\d{{1,4}}(?:{S}?[а-г]\b)?(?:/\d{{1,3}})?(?:,{S}*(?:кв\.|квартира|корп\.){S}*\d{{1,4}})?",
-    rf"{_RU_STREET},?{S}+(?:(?:д\.|дом){S}*)?\d{{1,4}}(?:{S}?[а-г]\b)?(?:/\d{{1,3}})?",
+    rf"\d{{1,6}}{_LETTER}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}(?:,{S}*(?:appt\.?|apt\.|app\.|bât\.?|appartement){S}*\w{{1,4}})?",
+    rf"\d{{1,6}}{_LETTER}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}{_FR_MORE}",
+    rf"\d{{1,6}}{_LETTER}(?:{S}+(?:bis|ter|quater))?,?{S}+{_FR_STREET}",
+    rf"{_ES_STREET},?{S}+(?:n\.?\s?[º°]\.?{S}*|núm\.{S}*)?\d{{1,6}}{_LETTER}(?:,{S}*\d{{1,2}}[.]?[ºª]{S}*(?:[A-Z]\b|izq\.?|dcha\.?)?)?",
+    rf"{_ES_STREET},?{S}+(?:n\.?\s?[º°]\.?{S}*|núm\.{S}*)?\d{{1,6}}{_LETTER}",
+    rf"{_RU_STREET},?{S}+(?:(?:д\.|дом){S}*)?\d{{1,6}}{_LETTER}(?:/\d{{1,3}})?(?:,{S}*(?:кв\.|квартира|корп\.){S}*\d{{1,4}})?",
+    rf"{_RU_STREET},?{S}+(?:(?:д\.|дом){S}*)?\d{{1,6}}{_LETTER}(?:/\d{{1,3}})?",
 ]
 STREET_RE = [re.compile(rf"(?<![\w@./-]){p}(?![\w@])(?!-\d)", I) for p in STREETS]
 #: What must be near a number for a street pattern to be tried at all; keeps whole texts cheap to scan. Made of parts of
 #: the patterns, with no more around them than the patterns have, so that every match holds a cue.
 STREET_CUE = re.compile(rf"(?<={S}){_EN_TYPE}\b|(?<={S}){_FR_TYPE}{S}|(?<=[\w\s-]){_DE_TYPE},?{S}|(?<![\w@./-])(?:{_ES_TYPE}|{_RU_TYPE}|{_DE_PLACE},?{S}+(?:Nr\.{S}*)?\d)", I)
 
+#: The end of a street whose last letter stands apart; words of one letter, which it may be instead.
+HOUSE_LETTER = re.compile(rf"(?<=\d){S}[^\W\d_]$")
+LETTER_WORDS = set("aàeéiouyавикосуя")
+
 WORD = re.compile(r"[^\W\d_](?:[\w'’]|-(?=[^\W\d_]))*")
 _BETWEEN = re.compile(rf"^(?:{S}{{1,3}}|\.{S}{{0,3}}|,{S}{{1,3}})$")
 
@@ -328,12 +334,16 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
             continue
         for number, shape in enumerate(STREET_RE):
             for m in shape.finditer(text, lo, hi):
-                t = m.group()
-                parts, numbers = WORD.findall(t), re.findall(r"\d+", t)
-                flat_after = bool(re.match(r"\s*,\s*(?:apt|flat|app|кв|\d{1,2}\.[º])", text[m.end() : m.end() + 12], I))
-                flat_before = bool(re.search(r"(?:flat|apt\.?)\s+\d+,\s*$", text[max(0, m.start() - 14) : m.start()], I))
-                own = [number, len(t), len(parts), sum(w[:1].isupper() for w in parts) / max(1, len(parts)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, parts)), t[:1].isupper(), bool(PLACE_BEFORE.search(text[max(0, m.start() - 16) : m.start()])), bool(HALF_NAME.search(t)), bool(CAPITAL.match(text, m.end()))]
-                add("street_address", m.start(), m.end(), list(map(float, own)))
+                apart = HOUSE_LETTER.search(m.group())
+                # With the letter and without it.
+                for end in (m.end(), m.start() + apart.start()) if apart else (m.end(),):
+                    t = text[m.start() : end]
+                    letter = 0 if end < m.end() or not apart else 2 if t[-1].lower() in LETTER_WORDS else 1
+                    parts, numbers = WORD.findall(t), re.findall(r"\d+", t)
+                    flat_after = bool(re.match(r"\s*,\s*(?:apt|flat|app|кв|\d{1,2}\.[º])", text[end : end + 12], I))
+                    flat_before = bool(re.search(r"(?:flat|apt\.?)\s+\d+,\s*$", text[max(0, m.start() - 14) : m.start()], I))
+                    own = [number, len(t), len(parts), sum(w[:1].isupper() for w in parts) / max(1, len(parts)), len(numbers), "," in t, max(map(len, numbers)), flat_after, flat_before, "\n" in t, sum(map(len, parts)), t[:1].isupper(), bool(PLACE_BEFORE.search(text[max(0, m.start() - 16) : m.start()])), bool(HALF_NAME.search(t)), bool(CAPITAL.match(text, end)), letter, bool(letter and t[-1].isupper()), bool(re.match(r"\s[^\W\d_]\b", text[end : end + 3])), bool(re.match(r"\s[^\W\d_]\s+[^\W\d_]" if not letter else r"\s+[^\W\d_]", text[end : end + 6]))]
+                    add("street_address", m.start(), end, list(map(float, own)))
     for a, b, (w, v, comma, initials) in name_spans(text, names, words):
         one = len(w) == 1
         lw, lv = names.likeness(w) if not one else (0, 0, 0, 0), names.likeness(v) if len(v) > 1 else (0, 0, 0, 0)
@@ -342,7 +352,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
     return out
 
 
-WIDTH = {"email": 7, "phone": 18, "id_number": 18, "street_address": 15, "person_name": 19}
+WIDTH = {"email": 7, "phone": 18, "id_number": 18, "street_address": 19, "person_name": 19}
 
 
 def chosen(candidates: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:

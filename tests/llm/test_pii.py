@@ -121,3 +121,15 @@ def test_a_street_matches_only_with_a_cue():
 def test_small_names_with_one_known_part_are_proposed(name):
     text = f"laut {name} war es so"
     assert name in [text[a:b] for a, b, _ in name_spans(text, Names.of(list(KNOWN)))]
+
+
+@pytest.mark.parametrize("street", ["12345 Oak Road", "12f Mill Street", "Lindenweg 12f", "Lindenweg 12 f", "Lindenweg 12345", "12-14567 Mill Street", "12345 rue Haute", "12f rue Haute", "Calle Mayor, 12345", "Calle Mayor 12f", "ул. Лесная, 12345", "ул. Лесная, 12ж", "ул. Лесная 12 ж"])
+def test_long_house_numbers_and_all_letters(found_by, street):
+    text = f"Address: {street}. The keys are there."
+    assert street in [text[a:b] for k, a, b, _ in spans(text, found_by.names) if k == "street_address"]
+    assert [(k, text[a:b]) for k, a, b, _ in found_by.find(text)] == [("street_address", street)]
+
+
+@pytest.mark.parametrize("text,street", [("Адрес: ул. Лесная, 12 и больше ничего.", "ул. Лесная, 12"), ("Мастерская переехала: ул. Сосновая 7 в субботу.", "ул. Сосновая 7"), ("Entregas en Calle Mayor 5 y en el puerto.", "Calle Mayor 5")])
+def test_words_of_one_letter_stay_outside(found_by, text, street):
+    assert [(k, text[a:b]) for k, a, b, _ in found_by.find(text)] == [("street_address", street)]
