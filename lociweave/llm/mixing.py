@@ -14,6 +14,8 @@ from ..operators.running import running_total
 from ..session import cut
 
 SLOTS = 1000
+#: Most tokens of a cycle of slots, so that a block has about a thousand, whatever the size of the mix.
+CYCLE_TOKENS = 1_000_000
 #: Rounds in which what is missing at the end of a quota is made up, and how far beyond the end they look, as a multiple of it.
 FILL_ROUNDS, FILL_REACH = 3, 60
 MOST_SOURCES = 500
@@ -64,7 +66,7 @@ class Mix:
     shares: DataFrame
 
 
-def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets: DataFrame, *, share: str = "target_share", most: str = "max_repeats", total_tokens: int | None = None, slots: int = SLOTS, seed: int = 17) -> Mix:
+def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets: DataFrame, *, share: str = "target_share", most: str = "max_repeats", total_tokens: int | None = None, slots: int = SLOTS, cycle_tokens: int = CYCLE_TOKENS, seed: int = 17) -> Mix:
     """Mix the items of the sources in `targets` so that each source has its share of all tokens.
 
     Without `total_tokens` the mix is the largest in which every source that has tokens reaches its share without an
@@ -74,9 +76,10 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
     give; the other sources keep their proportions to one another and the report shows what was reached.
 
     Order of the mix: a source's stream is cut into equal blocks of tokens, and blocks of all sources are interleaved by
-    Pfair scheduling over a cycle of `slots` slots, which is computed once and repeats; `slot` is the block's slot and
-    `place` the token of its source's stream at which the item begins, so ordering by (slot, source, place) gives the
-    mix. An item goes with the block that its middle falls into: a prefix of the mix is off a target by less than a block
+    Pfair scheduling over a cycle of `slots` slots, which is computed once and repeats as often as the mix is long. A cycle
+    has at most `cycle_tokens` tokens, all have equally many, so a block doesn't grow with the mix. `slot` is the block's
+    slot, counted on from cycle to cycle, and `place` the token of its source's stream at which the item begins, so
+    ordering by (slot, source, place) gives the mix. An item goes with the block that its middle falls into: a prefix of the mix is off a target by less than a block
     and half the longest item. Running token counts come from a distributed sort, so a source of any size spreads over
     many tasks.
 
@@ -102,7 +105,9 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
     counts = apportion([quota[w.source] for w in live], slots) if given else []
     counts = [max(1, c) for c in counts]
     cycle = sum(counts)
-    plan = [(w.source, have[w.source], quota[w.source], counts[i], max(1.0, quota[w.source] / counts[i])) for i, w in enumerate(live)] if given else []
+    # Every source's quota is spread over all cycles, so the shares hold in each.
+    cycles = max(1, -(-given // cycle_tokens))
+    plan = [(w.source, have[w.source], quota[w.source], counts[i], max(1, quota[w.source]) / (counts[i] * cycles)) for i, w in enumerate(live)] if given else []
     plan_schema = "source string, have bigint, quota bigint, blocks bigint, block_tokens double"
     order = pfair(counts, cycle) if given else []
     timetable = spark.createDataFrame([(live[s].source, b, t) for s, b, t in order], "source string, block bigint, slot bigint")
@@ -134,8 +139,9 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
     taken = reduce(DataFrame.unionByName, [passes.select("source", *names, "tokens", "repeat_no", "full", "upto"), *extra])
     taken = taken.join(known.select("source", "have", "blocks", "block_tokens"), "source").withColumn("place", F.col("repeat_no") * F.col("have") + F.col("upto") - F.col("tokens"))
     middle = F.col("place") + F.col("tokens") / 2
-    taken = taken.withColumn("block", F.least(F.floor(middle / F.col("block_tokens")).cast("bigint"), F.col("blocks") - 1))
-    final = taken.join(F.broadcast(timetable), ["source", "block"])
+    nth = F.least(F.floor(middle / F.col("block_tokens")).cast("bigint"), F.col("blocks") * cycles - 1)
+    taken = taken.withColumn("nth", nth).withColumn("block", F.expr("nth % blocks"))
+    final = taken.join(F.broadcast(timetable), ["source", "block"]).withColumn("slot", F.expr(f"nth div blocks * {cycle}L + slot"))
     mix = final.select(F.col("source").alias(source), *(F.col(n).alias(c) for n, c in zip(names, item)), F.col("repeat_no"), F.col("tokens").alias("n_tokens"), "slot", "place")
 
     got = mix.groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("mixed_items"), (F.max("repeat_no") + 1).alias("passes"))

@@ -54,6 +54,24 @@ def test_shares_repeats_and_prefixes(spark):
             assert abs(done[s] - shares[s].actual_share * seen) < 2 * total / 100 + 60
 
 
+@pytest.mark.parametrize("n", [1000, 10_000])
+def test_the_cycle_repeats_and_blocks_do_not_grow(spark, n):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, r.choice("aaabbc"), r.randrange(1000, 3000)) for i in range(n)], "doc bigint, source string, n bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], TARGETS)
+    mix = mixed(df, ["doc"], "source", "n", targets)
+    rows, shares = mix.rows.collect(), {x.source: x.actual_share for x in mix.shares.collect()}
+    total = sum(x.n_tokens for x in rows)
+    assert len({(x.doc, x.repeat_no) for x in rows}) == len(rows)
+    assert -(-total // 10**6) * 1000 - 20 < max(x.slot for x in rows) + 1 <= -(-(total + 10_000) // 10**6) * 1000
+    done, seen = dict.fromkeys(shares, 0), 0
+    for x in sorted(rows, key=lambda x: (x.slot, x.source, x.place)):
+        done[x.source] += x.n_tokens
+        seen += x.n_tokens
+        for s in shares:
+            assert abs(done[s] - shares[s] * seen) < 2 * 1000 + 2 * 3000
+
+
 def test_total_and_short_sources(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(100)], "doc bigint, source string, n bigint")
     targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1), ("a", 0.2, 1), ("c", None, 1)], TARGETS)
