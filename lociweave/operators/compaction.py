@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
@@ -73,6 +74,9 @@ class Compaction:
     bytes_after: int
     rows: int
     checksum: str
+    #: Rows and checksum of what was written, read again.
+    rows_after: int = 0
+    checksum_after: str = ""
 
 
 class VerificationError(RuntimeError):
@@ -196,4 +200,21 @@ def compact(spark: SparkSession, source: str, target: str, *, target_bytes: int
         finally:
             fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
     after = _files(spark, target, f".{fmt}")
-    return Compaction(len(before), len(after), total, sum(n for _, n in after), was[0], was[1])
+    return Compaction(len(before), len(after), total, sum(n for _, n in after), *was, *now)
+
+
+def laid_out(rows: DataFrame, table: list[str], path: str, folder: str) -> list[tuple]:
+    """Write `rows` below `folder` as one file a path, and return (the table's columns, its directory) of every table.
+
+    Directories are named by hash; the driver holds one entry a table.
+    """
+    key, file = F.concat(F.lit("t"), F.md5(F.to_json(F.struct(*table)))), F.concat(F.lit("f"), F.md5(F.col(path)))
+    named = rows.withColumn("__table", key)
+    named.withColumn("__file", file).repartition(F.col(path)).write.partitionBy("__table", "__file").parquet(folder)
+    return [(*x[:-1], f"{folder}/__table={x[-1]}") for x in named.select(*table, "__table").distinct().collect()]
+
+
+def compact_each(spark: SparkSession, sources: list[str], targets: list[str], *, at_once: int = 8) -> list[Compaction]:
+    """`compact` for each of many directories, several at a time, each in a session of its own, as settings are a session's."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda x: compact(spark.newSession(), *x), zip(sources, targets)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.locus import contig_ordinal
-from ..operators.compaction import compact, consolidated, data_files, packing_plan, table_report
+from ..operators.compaction import compact, compact_each, consolidated, data_files, laid_out, packing_plan, table_report
 from ..operators.grid import regular_grid
 from ..operators.intervals import periods_and_gaps
 from ..operators.split_points import keyed_split_points
@@ -94,6 +94,17 @@ def p5_compacted(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(done.files_before, done.files_after, done.rows, done.checksum)], "files_before bigint, files_after bigint, rows_total bigint, checksum string")
 
 
+def p5_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """The stored records of every fragmented input table, laid out as one small file a path and then compacted and verified:
+    files, rows and checksums before and after, by table. Tables of which no record is stored give no row."""
+    named = _plan(spark, d).select("path", *TABLE)
+    folder = scratch_path(spark, "rewritten")
+    tables = laid_out(table(spark, d, "stored_rows").join(named, "path"), TABLE, "path", f"{folder}/before")
+    done = compact_each(spark, [x[-1] for x in tables], [f"{folder}/after/{i}" for i in range(len(tables))])
+    rows = [(*x[:-1], c.files_before, c.files_after, c.rows, c.rows_after, c.checksum, c.checksum_after) for x, c in zip(tables, done)]
+    return spark.createDataFrame(rows, "dataset string, input_table string, files_before bigint, files_after bigint, rows_before bigint, rows_after bigint, checksum_before string, checksum_after string")
+
+
 BLOCKS = """
 WITH r AS (SELECT s, TRY_CAST(regexp_extract(contig, '^chr0*([0-9]+)$', 1) AS INT) AS o, position::BIGINT AS a, position::BIGINT + "LEN" - 1 AS b
            FROM refs WHERE "LEN" > 0 AND regexp_matches(contig, '^chr[0-9]+$')),
@@ -145,6 +156,7 @@ QUERIES = {
     "p5_plan": p5_plan,
     "p5_consolidated": p5_consolidated,
     "p5_compacted": p5_compacted,
+    "p5_rewritten": p5_rewritten,
 }
 SQL = {
     "p1_found": BLOCKS + "SELECT kind, s, o AS contig_ordinal, a::INT AS first_position, b::INT AS last_position FROM k WHERE kind = 'period' OR b - a < 500000",

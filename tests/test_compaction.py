@@ -101,3 +101,15 @@ def test_compact_refuses_underscores_and_what_it_does_not_read(spark, tmp_path,
     with pytest.raises(ValueError, match="underscore"):
         compact(spark, str(source), str(tmp_path / "out"))
     assert sorted(os.listdir(tmp_path)) == ["in"]
+
+
+def test_query_compacts_the_small_files_of_each_table(spark):
+    from lociweave.queries.data_ops import p5_consolidated, p5_rewritten
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    stored = p5_consolidated(spark, folder).where("dataset IS NOT NULL").groupBy("dataset", "input_table").agg(F.countDistinct("path").alias("files"), F.count("*").alias("n"))
+    got = {(x.dataset, x.input_table): x for x in p5_rewritten(spark, folder).collect()}
+    assert {k: (x.files_before, x.rows_before) for k, x in got.items()} == {(x.dataset, x.input_table): (x.files, x.n) for x in stored.collect()}
+    assert got and all(x.files_after == 1 < x.files_before and (x.rows_before, x.checksum_before) == (x.rows_after, x.checksum_after) for x in got.values())
