@@ -214,7 +214,15 @@ def laid_out(rows: DataFrame, table: list[str], path: str, folder: str) -> list[
     return [(*x[:-1], f"{folder}/__table={x[-1]}") for x in named.select(*table, "__table").distinct().collect()]
 
 
-def compact_each(spark: SparkSession, sources: list[str], targets: list[str], *, at_once: int = 8) -> list[Compaction]:
-    """`compact` for each of many directories, several at a time, each in a session of its own, as settings are a session's."""
+def compact_each(spark: SparkSession, sources: list[str], targets: list[str], *, at_once: int = 4) -> list[Compaction]:
+    """`compact` for each of many directories, several at a time, each worker in one session of its own, as settings are a session's."""
+    pairs, done = list(zip(sources, targets)), {}
+
+    def work(k: int) -> None:
+        own = spark.newSession()
+        for i in range(k, len(pairs), at_once):
+            done[i] = compact(own, *pairs[i])
+
     with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(lambda x: compact(spark.newSession(), *x), zip(sources, targets)))
+        list(pool.map(work, range(at_once)))
+    return [done[i] for i in range(len(pairs))]
