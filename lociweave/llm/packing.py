@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..session import cut, partitions_for
 
 BLOCK_ITEMS = 40_000
+#: Copies of one item that are numbered at a time.
+COPIES = 10_000
 MOST_PACKS = 1000
 
 
@@ -74,57 +76,64 @@ def packed(
     loss-bearing tokens. Only an item of more tokens than the capacity is split: into pieces of just the capacity, each
     with a container of its own, and a rest that is packed like an item; its loss-bearing tokens are shared out by length.
 
-    Gives pack_name, container (bigint), the item's columns, piece, first_token (from 0), n_tokens. Items are dealt at
-    random (by hash of their place) into blocks of at most about `block_items`, so that a block is a fair sample of
-    lengths; each block is packed by itself with the dot-product heuristic and a container number carries its block's.
-    A block leaves no more than its last containers part full.
+    Gives pack_name, container (bigint), the item's columns, piece, first_token (from 0), n_tokens, loss_tokens. Items are
+    dealt at random into blocks of about `block_items`, so that a block is a fair sample of lengths; each block is packed
+    by itself with the dot-product heuristic and a container number carries its block's. A block leaves no more than its
+    last containers part full. An item's block follows from its columns, its weights and the number of its copy alone, so
+    the containers are the same however the input is partitioned.
 
     Defined results: items without tokens (null or empty texts) take no room and come out once for each pack with a null
     container; a null capacity or one below 1 gives nothing; repeated items are packed as often as they come; packs of
-    the same name and capacity count once. With `loss_share` under 1 an unsplit item above that share is a container's
-    only item.
+    the same name and capacity count once. An item or piece whose loss-bearing tokens alone are above their limit isn't
+    split for them: it is its container's only item, and every other container keeps all three limits.
     """
+    spark = items.sparkSession
     names = [f"i{k}" for k in range(len(item))]
     loss = F.col(f"`{loss_tokens}`") if loss_tokens else F.greatest(F.col(f"`{tokens}`") - 1, F.lit(0))
-    rows = cut(items.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(item, names)), F.coalesce(F.col(f"`{tokens}`"), F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(loss, F.lit(0)).cast("bigint").alias("loss")))
-    blocks = max(1, -(-rows.count() // block_items))
+    weighed = items.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(item, names)), F.greatest(F.coalesce(F.col(f"`{tokens}`"), F.lit(0)), F.lit(0)).cast("bigint").alias("tokens"), F.greatest(F.coalesce(loss, F.lit(0)), F.lit(0)).cast("bigint").alias("loss"))
+    # Copies are counted, with partial counts before the exchange, and numbered: a hot item spreads over the blocks.
+    rows = cut(weighed.groupBy(*names, "tokens", "loss").agg(F.count("*").alias("copies")))
+    blocks = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // block_items))
     settings = packs.select(F.col(f"`{pack_name}`").cast("string").alias("pack"), F.col(f"`{capacity}`").cast("bigint").alias("cap")).where("cap >= 1").distinct().orderBy("pack", "cap").limit(MOST_PACKS + 1).collect()
     if len(settings) > MOST_PACKS:
         raise ValueError(f"more than {MOST_PACKS} packs")
-    each = F.array(*(F.struct(F.lit(x.pack).cast("string").alias("pack"), F.lit(x.cap).cast("bigint").alias("cap"), F.lit(i).alias("at")) for i, x in enumerate(settings))) if settings else F.expr("cast(array() as array<struct<pack: string, cap: bigint, at: int>>)")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).withColumn("pack", F.explode(each)).select(*names, "tokens", "loss", "block", "pack.*")
+    each = F.array(*(F.struct(F.lit(x.pack).cast("string").alias("pack"), F.lit(x.cap).cast("bigint").alias("cap"), F.lit(i * blocks).cast("bigint").alias("at")) for i, x in enumerate(settings))) if settings else F.expr("cast(array() as array<struct<pack: string, cap: bigint, at: bigint>>)")
+    tens = rows.withColumn("ten", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    single = tens.withColumn("copy", F.explode(F.expr(f"sequence(ten * {COPIES}, least(copies, (ten + 1) * {COPIES}) - 1)")))
+    dealt = single.withColumn("block", F.pmod(F.xxhash64(*names, "tokens", "loss", "copy"), F.lit(blocks)))
+    dealt = dealt.withColumn("pack", F.explode(each)).select(*names, "tokens", "loss", "block", "pack.*").withColumn("at", F.col("at") + F.col("block"))
     # One task a block, as far as the session is wide: packing a block costs far more than its bytes suggest, so neither
     # chance nor size shall put blocks together.
-    tasks = max(1, min(blocks * len(settings), max(partitions_for(items.sparkSession), items.sparkSession.sparkContext.defaultParallelism)))
-    dealt = dealt.repartitionById(tasks, F.pmod(F.col("at") * F.lit(blocks) + F.col("block"), F.lit(tasks)).cast("int")).drop("at")
-    dealt = dealt.sortWithinPartitions("pack", "cap", "block", F.desc("tokens"), F.desc("loss"), *names)
+    tasks = max(1, min(blocks * len(settings), max(partitions_for(spark), spark.sparkContext.defaultParallelism)))
+    dealt = dealt.repartitionById(tasks, F.pmod(F.col("at"), F.lit(tasks)).cast("int"))
+    dealt = dealt.sortWithinPartitions("at", F.desc("tokens"), F.desc("loss"), *names)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(["pack string, container bigint", *(f"{n} {types[n]}" for n in names), "piece bigint, first_token bigint, n_tokens bigint"])
+    schema = ", ".join(["pack string, container bigint", *(f"{n} {types[n]}" for n in names), "piece bigint, first_token bigint, n_tokens bigint, loss_tokens bigint"])
 
-    def solve(batch: pa.Table) -> pa.RecordBatch:
+    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
         cap, block = batch.column("cap")[0].as_py(), batch.column("block")[0].as_py()
         n, lost = batch.column("tokens").to_numpy(), batch.column("loss").to_numpy()
         pieces = np.maximum(-(-n // cap), 1)
         of = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(n[of] - piece * cap, cap)
-        loss_size = np.where(pieces[of] > 1, lost[of] * size // np.maximum(n[of], 1), lost[of])
+        # Loss-bearing tokens up to a piece's end less those up to its start, so that the pieces' add up to the item's.
+        upto = lambda t: (lost[of] * (t / np.maximum(n[of], 1))).astype(np.int64)
+        loss_size = np.where(pieces[of] > 1, np.where(piece + 1 == pieces[of], lost[of], upto((piece + 1) * cap)) - upto(piece * cap), lost[of])
         limits = np.array([cap, max(4, cap // tokens_per_segment), max(1, int(cap * loss_share))])
         container = np.full(len(of), -1, np.int64)
-        free = np.flatnonzero((size > 0) & (size < cap))
-        full = np.flatnonzero(size == cap)
-        vectors = np.stack([size, np.ones(len(of), np.int64), np.minimum(loss_size, limits[2])], axis=1)[free]
+        alone = (size > 0) & ((size == cap) | (loss_size > limits[2]))
+        free = np.flatnonzero((size > 0) & ~alone)
         used = 0
         if len(free):
-            container[free] = pack(vectors, limits)
+            container[free] = pack(np.stack([size, np.ones(len(of), np.int64), loss_size], axis=1)[free], limits)
             used = int(container[free].max()) + 1
-        container[full] = used + np.arange(len(full))
+        container[alone] = used + np.arange(int(alone.sum()))
         taken = pa.array(of)
         number = pa.array((container * blocks) + block, mask=container < 0)
-        source = batch.combine_chunks()
-        kept = [pa.concat_arrays(source.column(k).chunks) if source.column(k).num_chunks != 1 else source.column(k).chunk(0) for k in names]
-        label = pa.array([batch.column("pack")[0].as_py()] * len(of), pa.string())
-        return pa.RecordBatch.from_arrays([label, number, *(k.take(taken) for k in kept), pa.array(piece), pa.array(piece * cap), pa.array(size)], names=["pack", "container", *names, "piece", "first_token", "n_tokens"])
+        kept = [batch.column(k).take(taken) for k in names]
+        return pa.RecordBatch.from_arrays([batch.column("pack").take(taken), number, *kept, pa.array(piece), pa.array(piece * cap), pa.array(size), pa.array(loss_size)], names=["pack", "container", *names, "piece", "first_token", "n_tokens", "loss_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -132,16 +141,16 @@ def packed(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("pack", "cap", "block"))))
-            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            at = batch.column("at").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for a, b in zip(starts, starts[1:]):
-                if keys[a] != now and held:
-                    yield solve(pa.Table.from_batches(held))
+                if at[a] != now and held:
+                    yield solve(held)
                     held = []
-                now = keys[a]
+                now = at[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield solve(held)
 
     out = dealt.mapInArrow(run, schema)
-    return out.select(F.col("pack").alias(pack_name), "container", *(F.col(n).alias(c) for n, c in zip(names, item)), "piece", "first_token", "n_tokens")
+    return out.select(F.col("pack").alias(pack_name), "container", *(F.col(n).alias(c) for n, c in zip(names, item)), "piece", "first_token", "n_tokens", "loss_tokens")

@@ -37,17 +37,41 @@ def _texts(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return with_tokens(table(spark, d, "documents"), "text", keep=list(keep))
 
 
+#: Most loss-bearing tokens of a container, as a share of its capacity: a counterpart may run longer than its text,
+#: in a language that the vocabulary serves less.
+LOSS_SHARE = 1.75
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    """The container of every text, or of every piece of a text longer than the capacity, for each pack."""
-    return packed(_texts(spark, d, "doc_id"), ["doc_id"], "n_tokens", table(spark, d, "pack_sizes"))
+    """The container of every text, or of every piece of a text longer than the capacity, for each pack.
+
+    A document is an example of instruction data: `text` is the prompt, whose tokens the capacity bounds, and
+    `target_text` the answer, whose tokens bear the loss and have a limit of their own (LOSS_SHARE); the number of
+    segments is the third limit.
+    """
+    sized = with_tokens(table(spark, d, "documents"), "text", keep=["doc_id", "target_text"])
+    sized = with_tokens(sized, "target_text", keep=["doc_id", "n_tokens"], name="n_loss")
+    return packed(sized, ["doc_id"], "n_tokens", table(spark, d, "pack_sizes"), loss_tokens="n_loss", loss_share=LOSS_SHARE)
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and the share of room used, by pack."""
-    full = p6_packed(spark, d).where("container IS NOT NULL").groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
-    sizes = table(spark, d, "pack_sizes")
-    by = full.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.sum("pieces").alias("pieces"), F.max("pieces").alias("most_pieces"))
-    return by.join(sizes, "pack_name").withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    """By pack: containers, tokens, the share of room used, and how many containers each limit stops.
+
+    A container counts as full in a dimension if less than 2 % of that limit is left (of segments: none).
+    """
+    sizes = table(spark, d, "pack_sizes").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
+    full = p6_packed(spark, d).where("container IS NOT NULL").groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("n"), F.sum("loss_tokens").alias("loss"), F.count("*").alias("pieces"))
+    full = full.join(F.broadcast(sizes), "pack_name")
+    by = full.groupBy("pack_name", "capacity_tokens").agg(
+        F.count("*").alias("containers"),
+        F.sum("n").alias("tokens"),
+        F.sum("pieces").alias("pieces"),
+        F.count_if(F.expr("n >= 0.98 * capacity_tokens")).alias("full_of_tokens"),
+        F.count_if(F.expr(f"loss >= 0.98 * {LOSS_SHARE} * capacity_tokens")).alias("full_of_loss"),
+        F.count_if(F.expr("pieces >= greatest(4, capacity_tokens div 16)")).alias("full_of_segments"),
+        F.count_if(F.expr(f"pieces > 1 AND (n > capacity_tokens OR loss > {LOSS_SHARE} * capacity_tokens OR pieces > greatest(4, capacity_tokens div 16))")).alias("over_a_limit"),
+    )
+    return by.withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
 def _mix(spark: SparkSession, d: str) -> Mix:

@@ -64,6 +64,26 @@ def test_items_are_split_only_beyond_the_capacity(spark, block):
     assert {r.pack_name for r in got} == {"p", "q"}
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_the_loss_limit_holds_and_partitions_change_nothing(spark, parts):
+    r = np.random.default_rng(5)
+    data = [(int(i), int(n), int(x)) for i, (n, x) in enumerate(zip(r.integers(1, 90, 600), r.integers(0, 70, 600)))] + [(900, 30, 80), (901, 250, 240), (902, 20, None), (902, 20, None)]
+    df = spark.createDataFrame(data, "id bigint, n bigint, lost bigint").repartition(parts)
+    packs = spark.createDataFrame([("p", 100)], "pack_name string, capacity_tokens int")
+    got = packed(df, ["id"], "n", packs, loss_tokens="lost", loss_share=0.5, block_items=200).collect()
+    by = check(got, 100, 6)
+    for c in by.values():
+        assert len(c) == 1 or sum(x.loss_tokens for x in c) <= 50
+    assert any(len(c) > 1 and sum(x.loss_tokens for x in c) > 40 for c in by.values())
+    of = {}
+    for x in got:
+        of[x.id] = of.get(x.id, 0) + x.loss_tokens
+    assert all(of[i] == (x or 0) for i, _, x in data if i != 902) and sum(x.id == 902 for x in got) == 2
+    once = packed(df.coalesce(1), ["id"], "n", packs, loss_tokens="lost", loss_share=0.5, block_items=200).collect()
+    key = lambda x: (x.id, x.piece, x.container)
+    assert sorted(map(key, got)) == sorted(map(key, once))
+
+
 def test_one_group_of_copies_spreads_over_blocks(spark):
     df = spark.createDataFrame([(1, 9)] * 4000, "id bigint, n bigint").repartition(4)
     got = packed(df, ["id"], "n", spark.createDataFrame([("p", 256)], "pack_name string, capacity_tokens int"), block_items=500).collect()
