@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -13,11 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.running import running_total
 from ..session import cut
 
-SLOTS = 1000
-#: Most tokens of a cycle of slots, so that a block has about a thousand, whatever the size of the mix.
-CYCLE_TOKENS = 1_000_000
-#: Rounds in which what is missing at the end of a quota is made up, and how far beyond the end they look, as a multiple of it.
-FILL_ROUNDS, FILL_REACH = 3, 60
+#: Slots of the cycle that repeats, and tokens of a block: fixed sizes, whatever the length of the mix.
+SLOTS, BLOCK_TOKENS = 1000, 1000
+#: Items of each size class (power of two) that are looked at, by source, to make up what is missing at a quota's end.
+SPARE = 8
 MOST_SOURCES = 500
 
 
@@ -58,6 +56,16 @@ def pfair(quota: list[int], slots: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def made_up(lack: int, spare: list[tuple[int, int]]) -> list[int]:
+    """Places of the spare items (tokens, place) that make up `lack` without passing it: the largest that fits, again and again."""
+    out = []
+    for n, place in sorted(spare, key=lambda x: (-x[0], x[1])):
+        if n <= lack:
+            out.append(place)
+            lack -= n
+    return out
+
+
 @dataclass(frozen=True)
 class Mix:
     """rows: the mix (source, the item's columns, repeat_no from 0, n_tokens, slot, place). shares: the report."""
@@ -66,22 +74,26 @@ class Mix:
     shares: DataFrame
 
 
-def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets: DataFrame, *, share: str = "target_share", most: str = "max_repeats", total_tokens: int | None = None, slots: int = SLOTS, cycle_tokens: int = CYCLE_TOKENS, seed: int = 17) -> Mix:
+def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets: DataFrame, *, share: str = "target_share", most: str = "max_repeats", total_tokens: int | None = None, slots: int = SLOTS, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> Mix:
     """Mix the items of the sources in `targets` so that each source has its share of all tokens.
 
     Without `total_tokens` the mix is the largest in which every source that has tokens reaches its share without an
     item occurring more than its `most` times; with it, a source that runs out gives what it has. Each source's items
-    come in random order (by hash), again in the same order on a further pass; the last pass ends where the quota does,
-    and what the item at the boundary leaves missing is made up from shorter ones. A source without items has nothing to
-    give; the other sources keep their proportions to one another and the report shows what was reached.
-
-    Order of the mix: a source's stream is cut into equal blocks of tokens, and blocks of all sources are interleaved by
-    Pfair scheduling over a cycle of `slots` slots, which is computed once and repeats as often as the mix is long. A cycle
-    has at most `cycle_tokens` tokens, all have equally many, so a block doesn't grow with the mix. `slot` is the block's
-    slot, counted on from cycle to cycle, and `place` the token of its source's stream at which the item begins, so
-    ordering by (slot, source, place) gives the mix. An item goes with the block that its middle falls into: a prefix of the mix is off a target by less than a block
-    and half the longest item. Running token counts come from a distributed sort, so a source of any size spreads over
-    many tasks.
+    come in random order (by hash), again in the same order on a further pass; the last pass ends where the quota does.
+    What the item at the boundary leaves missing, less than that item, is made up from later items: SPARE of each size
+    class, the largest that fits first. What is still missing then stands in the report (`missing_tokens`). A source
+    without items has nothing to give; the other sources keep their proportions to one another.
+
+    Order of the mix: a source's stream is cut into blocks of `block_tokens` tokens (to within the rounding of its weight,
+    so that every source ends with the mix), and blocks of all sources are interleaved by Pfair scheduling over a cycle of
+    `slots` slots. The cycle is computed once, for the weights alone, and repeats as often as the mix is long: `slot` is
+    the cycle's number times its length, and the slot within. `place` is the token of its source's stream at which the
+    item begins, so ordering by (slot, source, place) gives the mix. An item goes with the block that its middle falls
+    into: a prefix of the mix is off a target by less than a block and half the longest item. Running token counts come
+    from a distributed sort, so a source of any size spreads over many tasks.
+
+    The report: source, target_share, max_repeats, available_tokens, quota_tokens, mixed_tokens, missing_tokens (of the
+    quota), mixed_items, passes, actual_share.
 
     Defined results: items whose source is null or no target, and items without tokens, take no part; a null or
     non-positive share or `most` gives a source nothing; of repeated target rows of one source the largest counts;
@@ -94,50 +106,46 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
         raise ValueError("more target sources than slots, or than are allowed")
     names = [f"i{k}" for k in range(len(item))]
     rows = items.select(F.col(f"`{source}`").cast("string").alias("source"), *(F.col(f"`{c}`").alias(n) for c, n in zip(item, names)), F.col(f"`{tokens}`").cast("bigint").alias("tokens")).where("source IS NOT NULL AND tokens > 0")
-    rows = cut(rows.where(F.col("source").isin([w.source for w in wanted])))
+    rows = rows.where(F.col("source").isin([w.source for w in wanted])).withColumn("__h", F.xxhash64(F.lit(seed), *names))
+    # The running total's sort writes the rows once; all that follows reads them from there.
+    run = cut(running_total(rows, ["source"], ["__h", *names], "tokens", name="upto", total="have").drop("__h"))
     # One row a target source.
-    have = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    have = {r.source: r.n for r in run.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     live = [w for w in wanted if have.get(w.source) and w.share > 0 and w.most > 0]
     if total_tokens is None:
         total_tokens = int(min((w.most * have[w.source] / w.share for w in live), default=0))
     quota = {w.source: min(int(w.share * total_tokens), w.most * have[w.source]) for w in live}
     given = sum(quota.values())
-    counts = apportion([quota[w.source] for w in live], slots) if given else []
-    counts = [max(1, c) for c in counts]
+    counts = [max(1, c) for c in apportion([quota[w.source] for w in live], slots)] if given else []
     cycle = sum(counts)
-    # Every source's quota is spread over all cycles, so the shares hold in each.
-    cycles = max(1, -(-given // cycle_tokens))
-    plan = [(w.source, have[w.source], quota[w.source], counts[i], max(1, quota[w.source]) / (counts[i] * cycles)) for i, w in enumerate(live)] if given else []
-    plan_schema = "source string, have bigint, quota bigint, blocks bigint, block_tokens double"
-    order = pfair(counts, cycle) if given else []
-    timetable = spark.createDataFrame([(live[s].source, b, t) for s, b, t in order], "source string, block bigint, slot bigint")
-
-    known = F.broadcast(spark.createDataFrame(plan, plan_schema))
-    stream = rows.join(known, "source").withColumn("__h", F.xxhash64(F.lit(seed), *names))
-    run = running_total(stream, ["source"], ["__h", *names], "tokens", name="upto")
-    # Whole passes first; then a part pass of the items up to the rest of the quota.
-    run = cut(run.withColumn("full", F.expr("quota div have")).withColumn("rest", F.expr("quota % have")))
-    fits = run.where("upto <= rest")
-    extra = [fits.select("source", *names, "tokens", F.col("full").alias("repeat_no"), "full", "upto")]
-    # What is missing, less than the item at the boundary, is made up from shorter items that follow it.
-    rest = {w.source: quota[w.source] % have[w.source] for w in live} if given else {}
-    used = {x.source: x.n for x in fits.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    lack = {k: n - used.get(k, 0) for k, n in rest.items()}
-    nearby = run.where("upto > rest")
-    for _ in range(FILL_ROUNDS):
-        if not any(lack.values()):
-            break
-        missing = F.broadcast(spark.createDataFrame([(k, n, rest[k] - n) for k, n in lack.items()], "source string, lack bigint, base bigint"))
-        short = nearby.join(missing, "source").where(f"tokens <= lack AND upto - rest <= {FILL_REACH} * lack")
-        more = running_total(short.select("source", *names, "tokens", "full", "__h"), ["source"], ["__h", *names], "tokens", name="upto2").join(missing, "source")
-        more = cut(more)
-        extra.append(more.where("upto2 <= lack").select("source", *names, "tokens", F.col("full").alias("repeat_no"), "full", (F.col("base") + F.col("upto2")).alias("upto")))
-        got = {x.source: x.n for x in more.where("upto2 <= lack").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-        lack = {k: n - got.get(k, 0) for k, n in lack.items()}
-        nearby = more.where("upto2 > lack").select("source", *names, "tokens", "full", "__h", F.col("upto2").alias("upto"), F.col("lack").alias("rest"))
-    passes = run.where("full > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
-    taken = reduce(DataFrame.unionByName, [passes.select("source", *names, "tokens", "repeat_no", "full", "upto"), *extra])
-    taken = taken.join(known.select("source", "have", "blocks", "block_tokens"), "source").withColumn("place", F.col("repeat_no") * F.col("have") + F.col("upto") - F.col("tokens"))
+    cycles = max(1, -(-given // (max(1, cycle) * block_tokens)))
+    timetable = spark.createDataFrame([(live[s].source, b, t) for s, b, t in (pfair(counts, cycle) if given else [])], "source string, block bigint, slot bigint")
+    plan = [(w.source, quota[w.source] // have[w.source], quota[w.source] % have[w.source], c, quota[w.source] / (c * cycles)) for w, c in zip(live, counts) if quota[w.source]]
+    known = F.broadcast(spark.createDataFrame(plan, "source string, full bigint, rest bigint, blocks bigint, block_tokens double"))
+    run = run.join(known, "source")
+
+    # Whole passes first; then a part pass of the items up to the rest of the quota, and items that make up what is missing.
+    rest = {x[0]: x[2] for x in plan}
+    used = {x.source: x.n for x in run.where("upto <= rest").groupBy("source").agg(F.max("upto").alias("n")).collect()}
+    lack = {k: n - used.get(k, 0) for k, n in rest.items() if n > used.get(k, 0)}
+    later = run.join(F.broadcast(spark.createDataFrame(list(lack.items()), "source string, lack bigint")), "source").where("upto - tokens >= rest - lack AND tokens <= lack")
+    first = F.row_number().over(Window.partitionBy("source", F.floor(F.log2("tokens"))).orderBy("upto"))
+    # At most SPARE rows a source and power of two.
+    spare: dict[str, list] = {}
+    for x in later.withColumn("nth", first).where(f"nth <= {SPARE}").select("source", "tokens", "upto").collect() if lack else ():
+        spare.setdefault(x.source, []).append((x.tokens, x.upto))
+    extra = []
+    for k, found in spare.items():
+        at, tokens_of = rest[k] - lack[k], {p: n for n, p in found}
+        for place in made_up(lack[k], found):
+            at += tokens_of[place]
+            extra.append((k, place, at))
+    filling = F.broadcast(spark.createDataFrame(extra, "source string, upto bigint, upto_then bigint"))
+    run = run.join(filling, ["source", "upto"], "left")
+    last = F.when(F.col("upto") <= F.col("rest"), F.struct(F.col("full").alias("repeat_no"), F.col("upto").alias("upto"))).when(F.col("upto_then").isNotNull(), F.struct(F.col("full").alias("repeat_no"), F.col("upto_then").alias("upto")))
+    whole = F.transform(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).otherwise(F.expr("cast(array() as array<bigint>)")), lambda n: F.struct(n.alias("repeat_no"), F.col("upto").alias("upto")))
+    taken = run.withColumn("t", F.explode(F.filter(F.concat(whole, F.array(last)), lambda x: x.isNotNull())))
+    taken = taken.select("source", *names, "tokens", F.col("t.repeat_no").alias("repeat_no"), (F.col("t.repeat_no") * F.col("have") + F.col("t.upto") - F.col("tokens")).alias("place"), "blocks", "block_tokens")
     middle = F.col("place") + F.col("tokens") / 2
     nth = F.least(F.floor(middle / F.col("block_tokens")).cast("bigint"), F.col("blocks") * cycles - 1)
     taken = taken.withColumn("nth", nth).withColumn("block", F.expr("nth % blocks"))
@@ -145,10 +153,10 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
     mix = final.select(F.col("source").alias(source), *(F.col(n).alias(c) for n, c in zip(names, item)), F.col("repeat_no"), F.col("tokens").alias("n_tokens"), "slot", "place")
 
     got = mix.groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("mixed_items"), (F.max("repeat_no") + 1).alias("passes"))
-    all_targets = spark.createDataFrame([(w.source, w.share, w.most, have.get(w.source, 0)) for w in wanted], "source string, target_share double, max_repeats bigint, available_tokens bigint")
+    all_targets = spark.createDataFrame([(w.source, w.share, w.most, have.get(w.source, 0), quota.get(w.source, 0)) for w in wanted], "source string, target_share double, max_repeats bigint, available_tokens bigint, quota_tokens bigint")
     zero = F.lit(0).cast("bigint")
-    report = all_targets.join(got, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", *(F.coalesce(c, zero).alias(c) for c in ("mixed_tokens", "mixed_items", "passes")))
+    report = all_targets.join(got, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "quota_tokens", *(F.coalesce(c, zero).alias(c) for c in ("mixed_tokens", "mixed_items", "passes")))
     # One row a target source, at most MOST_SOURCES in all.
-    whole = F.sum("mixed_tokens").over(Window.partitionBy())
-    report = report.withColumn("actual_share", F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0))
+    all_tokens = F.sum("mixed_tokens").over(Window.partitionBy())
+    report = report.withColumn("missing_tokens", F.col("quota_tokens") - F.col("mixed_tokens")).withColumn("actual_share", F.when(all_tokens > 0, F.col("mixed_tokens") / all_tokens).otherwise(0.0))
     return Mix(mix, report)

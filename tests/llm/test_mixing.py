@@ -2,11 +2,16 @@ import random
 
 import pytest
 
-from lociweave.llm.mixing import apportion, mixed, pfair
+from lociweave.llm.mixing import apportion, made_up, mixed, pfair
 
 TARGETS = "source string, target_share double, max_repeats int"
 
 
+def test_made_up_takes_the_largest_that_fits():
+    assert made_up(10, [(7, 1), (4, 2), (2, 3), (2, 4), (1, 5)]) == [1, 3, 5]
+    assert made_up(3, [(4, 1)]) == [] and made_up(5, []) == []
+
+
 def test_apportion():
     assert apportion([0.5, 0.25, 0.25], 8) == [4, 2, 2]
     assert sum(apportion([0.333, 0.333, 0.334], 1000)) == 1000
@@ -39,6 +44,7 @@ def test_shares_repeats_and_prefixes(spark):
     for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.15)):
         assert shares[s].mixed_tokens == sum(x.n_tokens for x in rows if x.source == s)
         assert shares[s].actual_share == pytest.approx(w / 0.95, abs=0.003)
+        assert shares[s].missing_tokens == shares[s].quota_tokens - shares[s].mixed_tokens and 0 <= shares[s].missing_tokens < 60
     most = {"big": 1, "mid": 2, "small": 3}
     count = {}
     for x in rows:
@@ -64,6 +70,8 @@ def test_the_cycle_repeats_and_blocks_do_not_grow(spark, n):
     total = sum(x.n_tokens for x in rows)
     assert len({(x.doc, x.repeat_no) for x in rows}) == len(rows)
     assert -(-total // 10**6) * 1000 - 20 < max(x.slot for x in rows) + 1 <= -(-(total + 10_000) // 10**6) * 1000
+    # A slot has as many tokens at ten times the data.
+    assert 700 < total / (max(x.slot for x in rows) + 1) <= 1000 + 10
     done, seen = dict.fromkeys(shares, 0), 0
     for x in sorted(rows, key=lambda x: (x.slot, x.source, x.place)):
         done[x.source] += x.n_tokens
