@@ -13,6 +13,10 @@ from ..session import partitions_for
 from .throughput import SECOND, Check, ProbeSettings, Series, capped_at, decide, grouped_checks, stop_reason
 
 
+#: Most settings that checks are judged under at once; each check is repeated for each of them.
+MOST_SETTINGS = 10_000
+
+
 @dataclass(frozen=True)
 class Grid:
     batch_durations_ns: tuple[int, ...] = (SECOND // 2, SECOND, 2 * SECOND, 5 * SECOND)
@@ -109,10 +113,14 @@ def stops_over_checks(found: DataFrame, settings: DataFrame) -> DataFrame:
     """The stop of each run under each of a list of settings, from its tightness checks, with window functions only.
 
     `found`: run_id, check_index, elapsed_ns, warmup_end_ns, relative_half_width, first_partition_end_ns. `settings`: a
-    bounded list of precision, consecutive_checks, min_duration_ns. A check ends a streak if no check among the last
+    list of precision, consecutive_checks, min_duration_ns, refused beyond MOST_SETTINGS. A check ends a streak if no check among the last
     `consecutive_checks` failed: the running greatest index of a failed check says so.
     """
-    listed = F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in zip(("precision", "consecutive_checks", "min_duration_ns"), ("double", "bigint", "bigint"), s))) for s in (tuple(x) for x in settings.select("precision", "consecutive_checks", "min_duration_ns").limit(10_000).collect())))
+    names = ("precision", "consecutive_checks", "min_duration_ns")
+    wanted = settings.select(F.col(names[0]).cast("double"), *(F.col(c).cast("bigint") for c in names[1:])).distinct().limit(MOST_SETTINGS + 1).collect()
+    if len(wanted) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    listed = F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in zip(names, ("double", "bigint", "bigint"), s))) for s in wanted)) if wanted else F.expr("cast(array() as array<struct<precision: double, consecutive_checks: bigint, min_duration_ns: bigint>>)")
     each = found.select("*", F.explode(listed).alias("s")).select("*", "s.*").drop("s")
     passes = F.col("warmup_end_ns").isNotNull() & (F.col("relative_half_width") < F.col("precision"))
     run = Window.partitionBy("run_id", "precision", "consecutive_checks", "min_duration_ns").orderBy("check_index").rowsBetween(Window.unboundedPreceding, 0)
