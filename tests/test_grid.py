@@ -52,3 +52,36 @@ def test_impute_keeps_what_it_cannot_fill():
     assert np.isnan(impute(np.full(5, np.nan))).all()
     assert impute(np.array([1.0, np.nan, 3.0])).tolist() == [1, 2, 3]
     assert impute(np.array([5.0] * 5 + [np.nan] * 2 + [5.0] * 5)).tolist() == [5.0] * 12
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_imputation_ends_by_itself(seed):
+    r = np.random.default_rng(seed)
+    for n in (2, 3, 5, 9, 40, 300):
+        x = np.cumsum(r.exponential(100, n))
+        x[r.random(n) < 0.6] = np.nan
+        if not np.isnan(x).all():
+            known = ~np.isnan(x)
+            got = impute(x)
+            assert not np.isnan(got).any() and np.allclose(got[known], x[known])
+
+
+def test_a_far_reading_is_refused_by_name_and_costs_no_other_source(spark):
+    df = spark.createDataFrame([("far", 1, 1.0), ("far", 2**62, 2.0), ("near", 0, 1.0), ("near", 3, 7.0)], "r string, t bigint, v double")
+    got = sorted((x.r, x.period_index is None, x.period_index or 0, x.readings) for x in regular_grid(df, ["r"], "t", "v", 1).collect())
+    assert got == [("far", True, 0, 2), ("near", False, 0, 1), ("near", False, 1, 0), ("near", False, 2, 0), ("near", False, 3, 1)]
+    long = spark.createDataFrame([("x", 0, 0.0), ("x", 2_000_000, 4e6)], "r string, t bigint, v double")
+    found = regular_grid(long, ["r"], "t", "v", 1)
+    assert found.count() == 2_000_001 and found.where("abs(value - 2 * period_index) > 1").count() == 0
+
+
+def test_blocks_without_readings_follow_the_coarser_series(spark):
+    # A reading in each block but for a gap, on a slow wave that a line across the gap misses.
+    wave = lambda p: 1e5 + 1000 * np.sin(p / 900)
+    seen = [p for p in range(0, 60_000, 64) if not 23_500 < p < 24_600]
+    df = spark.createDataFrame([("x", p, float(wave(p))) for p in seen], "r string, t bigint, v double")
+    got = {x.period_index: x.value for x in regular_grid(df, ["r"], "t", "v", 1, counter=False, block=64, halo=8, coarse=64, rank=3).collect()}
+    hidden = np.arange(23_560, 24_570)
+    line = np.interp(hidden, seen, [wave(p) for p in seen])
+    error = lambda y: float(np.sqrt(((np.asarray(y) - wave(hidden)) ** 2).mean()))
+    assert error([got[p] for p in hidden]) < 0.7 * error(line)
