@@ -16,7 +16,7 @@ from ..session import cut, partitions_for
 PART, LOCAL, OFFSET, TOTAL = "__part", "__local", "__offset", "__total"
 
 
-def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+def differs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Where two arrays differ; nulls equal nulls."""
     unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
     return unlike | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
@@ -31,7 +31,7 @@ def _local_totals(n_keys: int, weight: int):
             keys = [batch.column(i) for i in range(n_keys)]
             opens = np.zeros(batch.num_rows, bool)
             for k in keys:
-                opens[1:] |= _differs(k[1:], k[:-1])
+                opens[1:] |= differs(k[1:], k[:-1])
             head = [k[0].as_py() for k in keys]
             sums = np.cumsum(batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64))
             if last is not None and head == last:

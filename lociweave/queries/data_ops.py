@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.locus import contig_ordinal
-from ..operators.compaction import compact, compact_each, consolidated, data_files, laid_out, packing_plan, table_report
+from ..operators.compaction import Compaction, compact, consolidated, data_files, laid_out, listed, packing_plan, table_report
 from ..operators.grid import regular_grid
 from ..operators.intervals import periods_and_gaps
 from ..operators.split_points import keyed_split_points
@@ -68,8 +68,9 @@ TABLE = ["dataset", "input_table"]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Input tables with at least eight data files of under 1 MiB in the mean."""
-    return table_report(data_files(table(spark, d, "stored_files"), TABLE), TABLE).where("fragmented").select(*TABLE)
+    """Input tables with at least eight data files of under 1 MiB in the mean: those that the packing plan of all tables
+    would put together from many small files."""
+    return table_report(packing_plan(data_files(table(spark, d, "stored_files"), TABLE), TABLE), TABLE).where("fragmented").select(*TABLE)
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
@@ -88,21 +89,29 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return consolidated(table(spark, d, "stored_rows"), _plan(spark, d), TABLE).withColumn("out_file", F.coalesce("out_file", F.lit(-1)))
 
 
+def _rewritten(spark: SparkSession, d: str) -> tuple[str, str, Compaction]:
+    """The stored records as one small file a path, in a directory for each input table, and their compaction by table."""
+    of = table(spark, d, "stored_files").groupBy("path").agg(F.min(F.struct(*TABLE)).alias("of"))
+    rows = table(spark, d, "stored_rows").join(of, "path").select("of.*", "path", "locus", "alleles", "s")
+    folder = scratch_path(spark, "rewritten")
+    laid_out(rows, TABLE, "path", f"{folder}/before")
+    return f"{folder}/before", f"{folder}/after", compact(spark, f"{folder}/before", f"{folder}/after", by=TABLE)
+
+
 def p5_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """The files of stored_rows themselves, rewritten to the shared folder and verified: one row of figures."""
-    done = compact(spark, f"{d}/stored_rows.parquet", scratch_path(spark, "compacted"))
-    return spark.createDataFrame([(done.files_before, done.files_after, done.rows, done.checksum)], "files_before bigint, files_after bigint, rows_total bigint, checksum string")
+    """Every stored record, read from the compacted files: each path's records are first written as a small file of their
+    own, then these files are combined in splits, input table by input table, staged, verified and published."""
+    _, after, _ = _rewritten(spark, d)
+    schema = ", ".join(["path string, locus bigint, alleles string, s string", *(f"{c} string" for c in TABLE)])
+    return spark.read.schema(schema).parquet(after).select("path", "locus", "alleles", "s")
 
 
 def p5_rewritten(spark: SparkSession, d: str) -> DataFrame:
-    """The stored records of every fragmented input table, laid out as one small file a path and then compacted and verified:
-    files, rows and checksums before and after, by table. Tables of which no record is stored give no row."""
-    named = _plan(spark, d).select("path", *TABLE)
-    folder = scratch_path(spark, "rewritten")
-    tables = laid_out(table(spark, d, "stored_rows").join(named, "path"), TABLE, "path", f"{folder}/before")
-    done = compact_each(spark, [x[-1] for x in tables], [f"{folder}/after/{i}" for i in range(len(tables))])
-    rows = [(*x[:-1], c.files_before, c.files_after, c.rows, c.rows_after, c.checksum, c.checksum_after) for x, c in zip(tables, done)]
-    return spark.createDataFrame(rows, "dataset string, input_table string, files_before bigint, files_after bigint, rows_before bigint, rows_after bigint, checksum_before string, checksum_after string")
+    """Files before and after the compaction of p5_compacted, by input table; -1 stands for a table that has vanished."""
+    before, after, _ = _rewritten(spark, d)
+    part = lambda c: F.expr(f"url_decode(regexp_extract(path, '/{c}=([^/]*)/', 1))").alias(c)
+    counted = lambda where, name: listed(spark, where).groupBy(*map(part, TABLE)).agg(F.count("*").alias(name))
+    return counted(before, "files_before").join(counted(after, "files_after"), TABLE, "left").select(*TABLE, "files_before", F.coalesce("files_after", F.lit(-1)).alias("files_after"))
 
 
 BLOCKS = """
@@ -167,5 +176,6 @@ SQL = {
     "p4_runs": GRID + "SELECT run_id, count(*)::BIGINT AS periods, count(*) FILTER (n = 0)::BIGINT AS filled, sum(n)::BIGINT AS readings FROM j GROUP BY run_id",
     "p5_found": FILES + "SELECT dataset, input_table FROM t",
     "p5_plan": PLAN + "SELECT dataset, input_table, path, size, coalesce(out_file, -1) AS out_file, out_files FROM p",
+    "p5_compacted": "SELECT path, locus, alleles, s FROM stored_rows",
     "p5_consolidated": PLAN + "SELECT p.dataset, p.input_table, coalesce(p.out_file, -1) AS out_file, r.* FROM stored_rows r LEFT JOIN p ON p.path = r.path",
 }

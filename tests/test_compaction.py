@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators.compaction import VerificationError, _fingerprint, compact, consolidated, data_files, packing_plan, table_report
+from lociweave.operators.compaction import VerificationError, _fingerprint, compact, consolidated, data_files, laid_out, listed, packing_plan, table_report
 
 T0 = dt.datetime(2026, 1, 1)
 LISTING = "d string, t string, path string, n_bytes bigint, listed_at timestamp"
@@ -103,13 +103,35 @@ def test_compact_refuses_underscores_and_what_it_does_not_read(spark, tmp_path,
     assert sorted(os.listdir(tmp_path)) == ["in"]
 
 
-def test_query_compacts_the_small_files_of_each_table(spark):
-    from lociweave.queries.data_ops import p5_consolidated, p5_rewritten
+def test_compact_keeps_tables_apart_in_one_job(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('t ', id % 40, '/=%') AS t", "concat('p', id % 800) AS path", "id").unionByName(spark.createDataFrame([("hot", "p", i % 7) for i in range(900)], "t string, path string, id bigint"))
+    folder = str(tmp_path / "in")
+    assert laid_out(rows, ["t"], "path", folder, most_rows=500) == (802, 4900)
+    assert laid_out(rows, ["t"], "path", folder, most_rows=500) == (802, 4900)
+    done = compact(spark, folder, str(tmp_path / "out"), by=["t"])
+    assert (done.files_before, done.files_after, done.rows, done.rows_after) == (802, 41, 4900, 4900)
+    got = spark.read.schema("path string, id bigint, t string").parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.select("t", "path", "id").collect())) == sorted(map(tuple, rows.collect()))
+    # Splits of a fixed size hold whole directories, or a part of one.
+    done = compact(spark, folder, str(tmp_path / "many"), by=["t"], target_bytes=done.bytes_before // 10)
+    assert 41 < done.files_after <= 41 + 12 and done.rows == 4900
+
+
+def test_a_listing_opens_nothing_and_passes_over_hidden_names(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.parquet", "a/.y.parquet", "z.parquet", "a/_SUCCESS"):
+        (tmp_path / name).write_bytes(b"none")
+    assert {(x.path.rsplit("/", 1)[-1], x.size) for x in listed(spark, str(tmp_path)).collect()} == {("x.parquet", 4), ("z.parquet", 4)}
+
+
+def test_queries_compact_the_small_files_of_each_table(spark):
+    from lociweave.queries.data_ops import p5_compacted, p5_rewritten
 
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
         pytest.skip("no test tables")
-    stored = p5_consolidated(spark, folder).where("dataset IS NOT NULL").groupBy("dataset", "input_table").agg(F.countDistinct("path").alias("files"), F.count("*").alias("n"))
-    got = {(x.dataset, x.input_table): x for x in p5_rewritten(spark, folder).collect()}
-    assert {k: (x.files_before, x.rows_before) for k, x in got.items()} == {(x.dataset, x.input_table): (x.files, x.n) for x in stored.collect()}
-    assert got and all(x.files_after == 1 < x.files_before and (x.rows_before, x.checksum_before) == (x.rows_after, x.checksum_after) for x in got.values())
+    stored = spark.read.parquet(f"{folder}/stored_rows.parquet")
+    assert sorted(map(tuple, p5_compacted(spark, folder).collect())) == sorted(map(tuple, stored.select("path", "locus", "alleles", "s").collect()))
+    got = p5_rewritten(spark, folder).collect()
+    assert sum(x.files_before for x in got) == stored.select("path").distinct().count() > 2 * len(got)
+    assert all(x.files_after == 1 for x in got)
