@@ -16,10 +16,16 @@ POINTS = [0.01, 0.25, 0.5, 0.75, 0.9, 0.99]
 GROUP = ["field", "group_key"]
 
 
-def _parts(spark: SparkSession, d: str) -> DataFrame:
+def _values(spark: SparkSession, d: str) -> list[DataFrame]:
+    """DP and GQ of refs by sample, and run_ns of run_records by data set."""
     blocks = table(spark, d, "refs").select(F.col("s").alias("group_key"), F.expr("stack(2, 'DP', DP, 'GQ', GQ) AS (field, x)"))
     runs = table(spark, d, "run_records").select(F.col("dataset_path").alias("group_key"), F.lit("run_ns").alias("field"), F.col("run_ns").alias("x"))
-    return combine([summarize(blocks, GROUP, "x"), summarize(runs, GROUP, "x")], GROUP)
+    return [blocks.select(*GROUP, F.col("x").cast("bigint").alias("x")), runs.select(*GROUP, "x")]
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    blocks, runs = _values(spark, d)
+    return summarize(blocks.unionByName(runs), GROUP, "x")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +39,15 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*GROUP, "n", *(F.round(F.col("values")[i], 2).alias(f"p{round(p * 100):02d}") for i, p in enumerate(POINTS)))
 
 
+def p2_by_parts(spark: SparkSession, d: str) -> DataFrame:
+    """POINTS of every group from parts that are summarized by themselves and then combined: DP, GQ and the runs of each status."""
+    blocks, _ = _values(spark, d)
+    status = table(spark, d, "run_records").select(F.col("dataset_path").alias("group_key"), F.lit("run_ns").alias("field"), F.col("run_ns").alias("x"), "status")
+    parts = [blocks.where("field = 'DP'"), blocks.where("field = 'GQ'"), status.where("status = 'completed'"), status.where("status <> 'completed' OR status IS NULL")]
+    found = percentiles(combine([summarize(p, GROUP, "x") for p in parts], GROUP), GROUP, POINTS)
+    return found.select(*GROUP, "n", *(F.round(F.col("values")[i], 2).alias(f"p{round(p * 100):02d}") for i, p in enumerate(POINTS)))
+
+
 def _texts(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return with_tokens(table(spark, d, "documents"), "text", keep=list(keep))
 
@@ -105,8 +120,9 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 ALL_VALUES = """
 WITH v AS (SELECT 'DP' AS field, s AS group_key, DP::DOUBLE AS x FROM refs UNION ALL SELECT 'GQ', s, GQ FROM refs UNION ALL SELECT 'run_ns', dataset_path, run_ns FROM run_records)
 """
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_by_parts": p2_by_parts, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL = {
     "p2_found": ALL_VALUES + "SELECT field, group_key FROM v WHERE x IS NOT NULL GROUP BY ALL HAVING quantile_cont(x, 0.99) >= 10 * quantile_cont(x, 0.5)",
     "p2_percentiles": ALL_VALUES + "SELECT field, group_key, count(*)::BIGINT AS n, " + ", ".join(f"round(quantile_cont(x, {p}), 2) AS p{round(p * 100):02d}" for p in POINTS) + " FROM v WHERE x IS NOT NULL GROUP BY ALL",
 }
+SQL["p2_by_parts"] = SQL["p2_percentiles"]

@@ -31,6 +31,17 @@ def test_parts_combine_to_the_whole(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def test_large_whole_numbers_stay_exact(spark):
+    data = [2**53 + 1, 2**53, 2**53 + 2, 2**62 + 1, 2**62]
+    df = spark.createDataFrame([("a", x) for x in data] + [("b", None), ("a", None)], "g string, v bigint")
+    part = summarize(df, ["g"], "v")
+    assert sorted(x.value for x in part.collect()) == sorted(data)
+    got = percentiles(part, ["g"], [0, 0.5, 0.75, 0.8, 1]).collect()[0]
+    assert got.low == [2**53, 2**53 + 2, 2**62, 2**62, 2**62 + 1] and got.high == [2**53, 2**53 + 2, 2**62, 2**62 + 1, 2**62 + 1]
+    with pytest.raises(ValueError):
+        combine([part, summarize(df.selectExpr("g", "v / 2 AS v"), ["g"], "v")], ["g"])
+
+
 def test_empty_and_bad_points(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert percentiles(summarize(df, ["g"], "v"), ["g"], [0.5]).count() == 0
