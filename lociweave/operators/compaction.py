@@ -24,6 +24,10 @@ MIB = 1024 * 1024
 SMALL_MEAN, LEAST_FILES = MIB, 8
 #: Bytes that opening a file costs as much as reading; the engine's 4 MiB would put only 32 tiny files into a split of 128 MiB.
 TARGET_BYTES, OPEN_COST = 128 * MIB, 16 * 1024
+#: Files that one task opens at most; a reader keeps something of each until its task ends.
+MOST_FILES = 1000
+#: For listings, which open no file: about as many tasks as the session has cores.
+LISTING = {"spark__sql__files__maxPartitionBytes": 1 << 50, "spark__sql__files__openCostInBytes": 1 << 27}
 
 
 def is_data_file(path: Column) -> Column:
@@ -202,17 +206,18 @@ def compact(spark: SparkSession, source: str, target: str, *, by: list[str] | No
     root = jvm.org.apache.hadoop.fs.Path(source)
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
     before = listed(spark, root)
-    counted = before.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.max(F.size(F.split("path", "/"))).alias("depth")).first()
+    with _tuned(spark, **LISTING):
+        counted = before.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.max(F.size(F.split("path", "/"))).alias("depth")).first()
     depth = max(1, counted.depth - len(root.split("/"))) if counted.n else 1
     if lost := _unreadable(spark, root, depth, f".{fmt}"):
         raise ValueError(f"the engine reads no names that begin with an underscore: {', '.join(lost[:10])}")
     mean = counted.size / max(1, counted.n)
     # Small files shall meet in a split in such number that the split's data, not its open costs, fills it.
-    cost = max(1, min(open_cost, math.ceil(mean / 8))) if mean < least_mean else open_cost
-    parts = max(1, round(counted.size / target_bytes))
+    cost = max(1, min(open_cost, math.ceil(mean / 8)), target_bytes // MOST_FILES) if mean < least_mean else open_cost
+    parts = max(1, round(counted.size / target_bytes), -(-counted.n // MOST_FILES))
     staging = f"{target.rstrip('/')}-staging-{uuid.uuid4().hex}"
     # The newer reader packs each directory's files together; the older one mixes directories by size of file.
-    with _tuned(spark, spark__sql__files__maxPartitionBytes=max(target_bytes, 1), spark__sql__files__openCostInBytes=cost, spark__sql__files__minPartitionNum=1, spark__sql__sources__useV1SourceList="" if by else fmt):
+    with _tuned(spark, spark__sql__files__maxPartitionBytes=max(target_bytes, 1), spark__sql__files__openCostInBytes=cost, spark__sql__files__minPartitionNum=1, spark__sql__parquet__columnarReaderBatchSize=512 if mean < least_mean else 4096, spark__sql__sources__useV1SourceList="" if by else fmt):
         read = _read(spark, root, before, fmt)
         planned = _planned(read, before, root, counted.n)
         if planned != counted.n:
@@ -229,7 +234,8 @@ def compact(spark: SparkSession, source: str, target: str, *, by: list[str] | No
                 raise VerificationError(f"could not publish {target}")
         finally:
             fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
-    after = listed(spark, target).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    with _tuned(spark, **LISTING):
+        after = listed(spark, target).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     return Compaction(counted.n, after.n, counted.size, after.size, *was, *now)
 
 
