@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .boosting import Boosted, boost
 from .pii_samples import sample
-from .pii_spans import KINDS, Names, chosen, spans, table
+from .pii_spans import FAMILY, GIVEN, KINDS, Names, chosen, spans, table
 
 #: Made-up labelled texts for fitting; half as many others are for calibration.
 SAMPLE_SIZE = 8000
@@ -72,16 +72,18 @@ def calibrated(p: np.ndarray, y: np.ndarray, slack: float = 0.002) -> float:
 def fit(known: tuple[tuple[str, str], ...], size: int = SAMPLE_SIZE, seed: int = 11) -> Detector:
     """Fit one model a kind on a made-up sample of `size` texts, and thresholds on half as many others.
 
-    Features see only 60 % of the known names while fitting, so that the trees learn what names beyond the list look like.
+    Features see only 60 % of the known and common names while fitting, so that the trees learn what names beyond the
+    lists look like.
     """
     r = random.Random(seed)
-    part = Names.of([k for k in known if r.random() < 0.6])
+    common = [(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY]
+    part = Names.of([k for k in known if r.random() < 0.6], [k for k in common if r.random() < 0.6])
     train, held = _labelled(sample(list(known), size, seed), part), _labelled(sample(list(known), size // 2, seed + 1), part)
     models, thresholds = {}, {}
     for kind in KINDS:
         models[kind] = boost(*train[kind])
         thresholds[kind] = calibrated(models[kind].probability(held[kind][0]), held[kind][1])
-    return Detector(models, thresholds, Names.of(list(known)))
+    return Detector(models, thresholds, Names.of(list(known), common))
 
 
 def detector(known_names: DataFrame, size: int = SAMPLE_SIZE) -> Detector:

@@ -3,9 +3,12 @@ import pytest
 
 from lociweave.llm.boosting import boost
 from lociweave.llm.pii import calibrated, detector, fit, found, redacted
+from lociweave.llm import pii_samples
 from lociweave.llm.pii_samples import sample
 from lociweave.llm.pii_spans import DIGIT, STREET_CUE, STREET_RE, Names, chosen, name_spans, spans, windows
 
+from . import held_out
+
 KNOWN = tuple((n, "given") for n in ("Darvan", "Darmira", "Jorvan", "Jormira", "Kalvan", "Kalmira", "Telvan", "Telmira", "March", "Тельван", "Тельмира", "Дарван", "Дармира", "Йорван", "Йормира")) + tuple((n, "family") for n in ("Pellheim", "Pellstad", "Tornheim", "Tornstad", "Velmheim", "Velmstad", "Quillheim", "Market", "Пеллхейм", "Пеллстад", "Торнхейм", "Торнстад", "Вельмхейм", "Вельмстад"))
 
 
@@ -59,15 +62,55 @@ def test_formats(found_by, text, expected):
     assert [(k, text[a:b]) for k, a, b, _ in found_by.find(text)] == expected
 
 
-def test_held_out_sample(found_by):
-    right = wrong = missed = 0
-    for text, true in sample(list(KNOWN), 800, seed=99):
+def measured(found_by, texts):
+    """Right, wrong and missed pieces by kind."""
+    out = {}
+    for text, true in texts:
         got = {(k, text[a:b]) for k, a, b, _ in found_by.find(text)}
         want = {(k, text[a:b]) for k, a, b in true}
-        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+        for kind, n, where in [(k, i, x) for i, s in enumerate((got & want, got - want, want - got)) for k, x in s]:
+            out.setdefault(kind, [0, 0, 0])[n] += 1
+    return out
+
+
+def test_other_texts_of_the_sample(found_by):
+    by = measured(found_by, sample(list(KNOWN), 800, seed=99))
+    right, wrong, missed = map(sum, zip(*by.values()))
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.95
 
 
+def test_held_out_sentences_names_and_streets(found_by, monkeypatch):
+    for part in ("en", "de", "fr", "es", "ru"):
+        monkeypatch.setitem(pii_samples.STREETS, part, (pii_samples.STREETS[part][0], held_out.STREETS[part]))
+    monkeypatch.setattr(pii_samples, "PLACES", held_out.PLACES)
+    fit_names = {n.lower() for n, _ in KNOWN} | {n.lower() for n in (*pii_samples.GIVEN, *pii_samples.FAMILY)}
+    pools = {("given", False): held_out.GIVEN, ("family", False): held_out.FAMILY, ("given", True): held_out.GIVEN_RU, ("family", True): held_out.FAMILY_RU}
+    assert not fit_names & {n.lower() for p in pools.values() for n in p}
+    assert not {f for x in held_out.FRAMES.values() for k in x.values() for f in k} & {f for x in pii_samples.FRAMES.values() for k in x.values() for f in k}
+    # A given name stands in the lists for two of three persons, a family name for none.
+    common = {ru: [n for n in pii_samples.GIVEN if (n[0] > "Ͽ") == ru] for ru in (False, True)}
+    named = lambda r, part, lang: r.choice(common[lang == "ru"] if part == "given" and r.random() < 2 / 3 else pools[part, lang == "ru"])
+    by = measured(found_by, sample(list(KNOWN), 1500, seed=7, frames=held_out.FRAMES, plain=held_out.PLAIN, named=named))
+    print({k: (n, round(n[0] / (n[0] + n[1]), 3), round(n[0] / (n[0] + n[2]), 3)) for k, n in by.items()})
+    right, wrong, missed = map(sum, zip(*by.values()))
+    assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
+    # Names are the hardest: a third of them have no part in any list, some in small letters.
+    for kind, (right, wrong, missed) in by.items():
+        assert right / (right + wrong) > 0.9 and right / (right + missed) > (0.75 if kind == "person_name" else 0.85), kind
+
+
+def test_ordinary_sentences(found_by):
+    right = sum([(k, text[a:b]) for k, a, b, _ in found_by.find(text)] == want for text, want in held_out.ORDINARY)
+    assert right >= 0.9 * len(held_out.ORDINARY)
+
+
+def test_long_words_do_not_widen_windows():
+    text = "".join(f"x{i % 10}" for i in range(200_000))
+    assert all(b - a < 1000 or b - a == len(text) for a, b in windows("y" * 50_000 + "1" + "y" * 50_000, DIGIT, 5))
+    got = windows(text[:20_000] + " 1 " + text, DIGIT, 3)
+    assert all(a < b for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+
 def test_names_learn_parts():
     names = Names.of(list(KNOWN))
     assert names.likeness("Darvan")[0] == 1 and any(names.likeness("Tornvan")) and not any(names.likeness("lantern"))
