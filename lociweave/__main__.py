@@ -152,7 +152,7 @@ def sweep_text(spark, folder: str) -> str:
     runners = spark.read.schema(reports.RUNNERS).option("multiLine", True).json(f"{folder}/runners")
     found = reports.cells(runners, records)
     by = ["cell", "machine_type", "threads_per_core"]
-    return reports.markdown(reports.sweep(found, by), found.where("state = 'failed'"), runners.where("status <> 'done'"), by)
+    return reports.report(reports.sweep(found, by), found, runners, by)
 
 
 def points_text(table: LocusTable, intervals: int) -> str:

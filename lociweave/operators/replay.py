@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import partitions_for
-from .throughput import SECOND, Check, ProbeSettings, Series, capped_at, decide, grouped_checks, stop_reason
+from .throughput import SECOND, Check, ProbeSettings, Series, capped_at, decide, grouped_checks, passing_runs, stop_reason
 
 
 #: Most settings that checks are judged under at once; each check is repeated for each of them.
@@ -54,10 +54,9 @@ def stop_table(found: list[Check], precisions: tuple[float, ...], consecutive: t
     kept = [c for c in found if first_partition_end_ns is None or c.elapsed_ns < first_partition_end_ns]
     elapsed = np.array([c.elapsed_ns for c in kept], np.int64)
     width = np.array([np.inf if c.warmup_end_ns is None or c.relative_half_width is None else c.relative_half_width for c in kept])
-    at = np.arange(len(kept))
     out = {}
     for p in precisions:
-        streak = at - np.maximum.accumulate(np.where(width < p, -1, at)) if len(kept) else at
+        streak = passing_runs(width < p)
         for n in consecutive:
             for m in least:
                 hit = np.flatnonzero((streak >= n) & (elapsed >= m))

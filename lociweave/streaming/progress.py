@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.throughput import ProbeSettings, Series, decide
+from ..operators.throughput import ProbeSettings, Series, batch_ends, decide
 
 JUDGED = "run_id string, stop_reason string, stopped_at_ns bigint, steady_state_throughput double, warmup_end_ns bigint, samples bigint"
 STATE = "elapsed array<bigint>, rows_total array<bigint>, over boolean"
@@ -28,13 +28,18 @@ def judged(samples: DataFrame, settings: ProbeSettings | None = None) -> DataFra
         elapsed, rows, over = state.get if state.exists else ([], [], False)
         elapsed, rows = list(elapsed), list(rows)
         new = pd.concat(list(batches)).sort_values(["elapsed_ns", "rows_total"])
-        for t, n in zip(new["elapsed_ns"], new["rows_total"]):
+        ends = batch_ends(np.array(elapsed, np.int64), settings.batch_duration_ns)
+        begun = elapsed[int(ends[-1])] if len(ends) else elapsed[0] if elapsed else None
+        for t, n in zip(new["elapsed_ns"].tolist(), new["rows_total"].tolist()):
             if over or (elapsed and t <= elapsed[-1]):
                 continue
             elapsed.append(int(t))
             rows.append(int(n))
-            # A decision needs the least duration or the cap, so shorter runs aren't judged.
-            if t < min(settings.min_duration_ns, settings.max_duration_ns):
+            begun = elapsed[0] if begun is None else begun
+            # A run is steady at the end of a batch past the least duration, or capped; other samples decide nothing.
+            ends_batch = t - begun >= max(1, settings.batch_duration_ns) and len(elapsed) > 1
+            begun = elapsed[-1] if ends_batch else begun
+            if not (ends_batch and t >= settings.min_duration_ns) and t < settings.max_duration_ns:
                 continue
             found = decide(settings, Series(np.array(elapsed), np.array(rows)))
             if found:

@@ -22,7 +22,7 @@ from lociweave.streaming.progress import event_rates, judged
 from .data import SAMPLES, arrow, mixed, single_samples, write
 from .test_throughput import series
 
-LOCI = [("chr01", 1), ("chr01", 2), ("chr01", 2), ("chr01", 3), ("chr01", 4), ("chr02", 1), ("chr02", 2), ("chr02", 3)]
+LOCI = [("chr01", 10), ("chr01", 12), ("chr01", 12), ("chr01", 17), ("chr03", 4), ("chr03", 9), ("chr03", 9), ("chr04", 2)]
 
 
 def loci(table):
@@ -34,7 +34,7 @@ def test_groups(n, groups, expected):
     assert combine.grouped(n, groups) == expected
 
 
-@pytest.mark.parametrize("how", [Formulation(), Formulation("grouped-merge", 3), Formulation("interval-merge", points=SplitPoints.parse("1:3,2:2"))])
+@pytest.mark.parametrize("how", [Formulation(), Formulation("grouped-merge", 3), Formulation("interval-merge", points=SplitPoints.parse("1:17,3:9"))])
 def test_formulations_give_the_same_rows(spark, tmp_path, how):
     out = CombinerRun(spark, mixed(tmp_path), "locus", how, Collect(None)).execute()
     assert out.rows == 32 and loci(out.table) == [x for x in LOCI for _ in SAMPLES]
@@ -42,7 +42,7 @@ def test_formulations_give_the_same_rows(spark, tmp_path, how):
 
 def test_alleles_with_ranks(spark, tmp_path):
     out = CombinerRun(spark, single_samples(tmp_path), "locus,alleles", Formulation("alleles"), Collect()).execute()
-    assert out.table["rank"].to_pylist() == [1, 1, 2, 1, 1, 1, 1, 1] and out.table["alleles"].to_pylist()[:3] == ["A,G", "A,C", "A,G"]
+    assert out.table["rank"].to_pylist() == [1, 1, 2, 1, 1, 1, 2, 1] and out.table["alleles"].to_pylist()[:3] == ["T,C", "A,T", "G,T"]
 
 
 def test_one_exchange_for_each_formulation(spark, tmp_path):
@@ -74,9 +74,9 @@ def test_two_levels_give_the_rows_of_one(spark, tmp_path):
     root, second = single_samples(tmp_path / "in"), tmp_path / "second"
     os.makedirs(second)
     CombinerRun(spark, root, "locus", Formulation("grouped-merge", 2), Write(str(second / "g0.parquet")), inputs=[f"s={s}" for s in SAMPLES[:2]]).execute()
-    CombinerRun(spark, root, "locus", Formulation("interval-merge", points=SplitPoints.parse("1:3,2:2,9:9")), Write(str(second / "g1")), inputs=[f"s={s}" for s in SAMPLES[2:]]).execute()
+    CombinerRun(spark, root, "locus", Formulation("interval-merge", points=SplitPoints.parse("1:17,3:9,9:9")), Write(str(second / "g1")), inputs=[f"s={s}" for s in SAMPLES[2:]]).execute()
     names = [n for n in sorted(os.listdir(second / "g1")) if not n.startswith(".")]
-    assert names == ["0.parquet", "1.parquet", "2.parquet", "3.parquet"] and [pq.read_metadata(second / "g1" / n).num_rows for n in names] == [6, 6, 4, 0]
+    assert names == ["0.parquet", "1.parquet", "2.parquet", "3.parquet"] and [pq.read_metadata(second / "g1" / n).num_rows for n in names] == [6, 4, 6, 0]
     out = CombinerRun(spark, str(second), "locus,s", Formulation(), Collect(None)).execute()
     assert out.rows == 32 and loci(out.table) == [x for x in LOCI for _ in SAMPLES] and out.table["s"].to_pylist()[:4] == sorted(SAMPLES)
 
@@ -235,8 +235,11 @@ def test_sweep_report(spark, tmp_path):
     figures = reports.sweep(found, ["cell"])
     r = figures.first()
     assert r.n == 2 and r.whole_run == pytest.approx(1075806.3, rel=1e-6) and r.whole_run_half_range == pytest.approx(1 / 11) and r.steady_over_whole == pytest.approx(1.2) and r.peak_rss_bytes == 2**31
-    text = reports.markdown(figures, found.where("state = 'failed'"), runners.where("status <> 'done'"), ["cell"])
-    assert "| u | 2 | 1.08 ±9.1% | 1.17 ±0.0% | 1.200 | 2.00 |" in text and "- v-r1: exit status 1, recorded as completed" in text and "- w-r1: exit status 0, no run record" in text and "- r2: running" in text
+    assert [x.asDict() for x in reports.summary(figures, ["cell"]).collect()] == [{"cell": "u", "runs": "2", "rate": "1075.8k", "spread": "9.1 %", "steady rate": "1173.6k", "steady spread": "0.0 %", "steady : whole": "1.20", "memory": "2048 MiB"}]
+    assert {tuple(x) for x in reports.trouble(found).collect()} == {("v-r1", "ended with code 1; record says completed"), ("w-r1", "ended well; left no record")}
+    text = reports.report(figures, found, runners, ["cell"])
+    assert text.startswith("Normalized throughput by cell\ncell  runs  rate ") and "\n\nIn trouble\nrun_id  why\nv-r1" in text and text.endswith("\n\nStill running\nrunner  status\nr2      running\n")
+    assert "Still" not in reports.report(figures, found, runners.where("runner = 'r1'"), ["cell"])
 
 
 def test_metrics_fold(spark):
@@ -250,7 +253,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     root = single_samples(tmp_path / "in")
     assert main(["combine-refs", root, "--show", "--limit", "2"]) == 0 and "chr01" in capsys.readouterr().out
     assert main(["combine-alleles", root, "--write", str(tmp_path / "a.parquet")]) == 0 and "8 rows written" in capsys.readouterr().out
-    assert main(["combine-refs", root, "--write", str(tmp_path / "iv"), "--formulation", "interval-merge", "--split-points", "1:3,2:2"]) == 0
+    assert main(["combine-refs", root, "--write", str(tmp_path / "iv"), "--formulation", "interval-merge", "--split-points", "1:17,3:9"]) == 0
     write(f"{tmp_path}/t.parquet", arrow([(1, p, "A") for p in range(1, 11)]))
     capsys.readouterr()
     assert main(["balance-split-points", f"{tmp_path}/t.parquet", "--intervals", "4"]) == 0 and capsys.readouterr().out.strip() == "1:3,1:6,1:8"
@@ -261,7 +264,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     os.makedirs(f"{m}/runners")
     with open(f"{m}/runners/r1.json", "w") as f:
         json.dump({"runner": "r1", "machine_type": "m", "threads_per_core": 1, "repetition": 1, "cell_order": ["u"], "cells": [{"cell": "u", "run_id": "u-r1", "exit_status": 0, "seconds": 1.0}], "status": "done"}, f)
-    assert main(["sweep-report", m]) == 0 and "| u | m | 1 | 1 |" in capsys.readouterr().out
+    assert main(["sweep-report", m]) == 0 and "Normalized throughput by cell, machine_type" in capsys.readouterr().out
     for bad in (["combine-refs", root, "--show", "--compression", "zstd"], ["combine-refs", root, "--probe"], ["combine-refs", root, "--show", "--groups", "2"], ["balance-split-points", f"{tmp_path}/t.parquet", "--intervals", "1"]):
         assert main(bad) == 1 and "error:" in capsys.readouterr().err
 

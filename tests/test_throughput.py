@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from lociweave.operators.replay import Grid, calibration, overview, pareto, replay, shadow_series, stops_over_checks
-from lociweave.operators.throughput import SECOND, ProbeSettings, Series, batch_ends, capped_at, checks, decide, nearest, normalized, stop, stop_reason, t_975, warmup_cut, would_stop
+from lociweave.operators.throughput import SECOND, ProbeSettings, Series, batch_ends, capped_at, checks, decide, nearest, normalized, passing_runs, stop, stop_reason, t_975, warmup_cut, would_stop
 from lociweave.queries.reference import tightness_checks
 
 ONE = ProbeSettings(consecutive_checks=1, min_duration_ns=0)
@@ -80,6 +80,23 @@ def test_small_parts():
     assert [stop_reason(*x) for x in ((5, None, 9), (5, 5, 5), (6, 5, 9), (None, 5, 5), (None, 5, None), (None, None, 5))] == ["steady", "steady", "capped", "completed", "capped", "completed"]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_of_the_rule_against_plain_loops(seed):
+    r = np.random.default_rng(seed)
+    rates = r.choice([r.normal(50, 9, 40), np.repeat(7.0, 40), np.arange(40.0)])[: r.integers(0, 41)]
+    errors = [((rates[i:] - rates[i:].mean()) ** 2).sum() / (len(rates) - i) ** 2 for i in range(len(rates) - 4)]
+    want = int(np.argmin(errors)) if errors else None
+    assert warmup_cut(rates) == (want if want is not None and want <= len(rates) / 2 else None)
+    elapsed, ends, at = np.cumsum(r.integers(-3, 9, 60)), [], 0
+    for i in range(1, 60):
+        if elapsed[i] - elapsed[at] >= 10:
+            at = i
+            ends.append(i)
+    assert batch_ends(elapsed, 10).tolist() == ends
+    passes, n = r.random(30) < 0.7, 0
+    assert passing_runs(passes).tolist() == [n := n + 1 if p else 0 for p in passes]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_stop_over_all_checks_is_the_first_decision(seed):
     r = np.random.default_rng(seed)
