@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
+from pyarrow import orc
 from pyspark.sql import SparkSession
 
-from .files import Files
-from .statistics import open_parquet
+from .files import Files, arrow_path
+from .statistics import open_footer, read_columns
 
 SCHEMA = pa.schema([pa.field("s", pa.string(), nullable=False)])
 
@@ -27,13 +27,13 @@ def annotation_path(table_path: str, fmt: str = "parquet") -> str:
 
 def read_samples(path: str) -> list[str]:
     """The samples of an annotation table, sorted. Columns besides `s` are ignored."""
-    file = open_parquet(path)
-    schema = file.schema_arrow
+    schema = open_footer(path).schema
     if "s" not in schema.names:
         raise AnnotationError(f"{path} has no column s")
-    if schema.field("s").nullable:
+    # ORC doesn't note whether a column may be null.
+    if schema.field("s").nullable and not path.endswith(".orc"):
         raise AnnotationError(f"{path}: the column s is nullable")
-    samples = file.read(["s"]).column("s").to_pylist()
+    samples = read_columns(path, ["s"]).column("s").to_pylist()
     if not samples:
         raise AnnotationError(f"{path} names no samples")
     if None in samples:
@@ -52,7 +52,7 @@ def annotated(spark: SparkSession, table_path: str, samples: list[str], write: C
         files.delete(path)
     write()
     table = pa.table({"s": pa.array(sorted(set(samples)), pa.string())}, schema=SCHEMA)
-    source, inner = pafs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
+    source, inner = arrow_path(path)
     with source.open_output_stream(inner) as out:
-        pq.write_table(table, out)
+        orc.write_table(table, out) if fmt == "orc" else pq.write_table(table, out)
     return path

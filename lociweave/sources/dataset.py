@@ -14,7 +14,7 @@ from ..functions.locus import LocusInterval
 from ..plans.ordering import RowOrdering, representation
 from .annotation import read_samples
 from .files import Entry, Files, checked_format
-from .statistics import FileStatistics, open_parquet, pruned, recovered_order, statistics
+from .statistics import FileStatistics, open_footer, pruned, recovered_order, statistics
 
 
 class DatasetError(ValueError):
@@ -112,10 +112,10 @@ class Dataset:
         if schema is None:
             first: tuple[InputTable, pa.Schema] | None = None
             for t in tables:
-                for s in statistics(files.data_files(t.path, f".{fmt}")):
+                for s in statistics(files.data_files(t.path, f".{fmt}"), spark):
                     if s.rows:
-                        found = open_parquet(s.path).schema_arrow
-                        if "s" in found.names and (t.kind == "single_sample" or found.field("s").nullable):
+                        found = open_footer(s.path).schema.remove_metadata()
+                        if "s" in found.names and (t.kind == "single_sample" or (found.field("s").nullable and fmt != "orc")):
                             raise DatasetError(f"{t.name}: the column s is {'stored in a single-sample table' if t.kind == 'single_sample' else 'nullable'}")
                         if "s" not in found.names and t.kind != "single_sample":
                             raise DatasetError(f"{t.name} has several samples and no column s")
@@ -153,14 +153,20 @@ class Dataset:
         return replace(self, tables=tuple(t for t in self.tables if t.name in names))
 
     def files(self, table: InputTable) -> list[FileStatistics]:
-        return statistics(Files(self.spark).data_files(table.path, f".{self.fmt}"))
+        return statistics(Files(self.spark).data_files(table.path, f".{self.fmt}"), self.spark)
 
-    def frame(self, table: InputTable, interval: LocusInterval | None = None) -> DataFrame:
+    def frame(self, table: InputTable, interval: LocusInterval | None = None, within: dict[str, tuple] | None = None) -> DataFrame:
         """One input table, `s` last. Single samples get theirs as a constant, on which filters fold at planning time.
 
-        With an interval, files whose footers rule it out are left out of the plan before Spark sees them.
+        With an interval, or with `within` (column: least and greatest value, None for open ends), files whose footers rule
+        all rows out are left out of the plan before Spark sees them; so is a single sample's table by its `s`.
         """
+        within = within or {}
         files = [f for f in self.files(table) if f.rows]
+        low, high = within.get("s", (None, None))
+        if table.kind == "single_sample" and ((low is not None and table.samples[0] < low) or (high is not None and table.samples[0] > high)):
+            files = []
+        files = pruned(files, {c: b for c, b in within.items() if c != "s" or table.kind != "single_sample"})
         if interval is not None and files:
             files = pruned(files, interval_bounds(interval, representation(self.schema.names)))
         kept = [F.col(f"`{c}`") for c in self.schema.names]
@@ -174,11 +180,14 @@ class Dataset:
             df = df.select(*kept, "s")
         if interval is not None:
             df = df.where(interval_predicate(interval, representation(self.schema.names)))
+        for c, (low, high) in within.items():
+            df = df if low is None else df.where(F.col(f"`{c}`") >= F.lit(low))
+            df = df if high is None else df.where(F.col(f"`{c}`") <= F.lit(high))
         return df
 
-    def read(self, interval: LocusInterval | None = None) -> DataFrame:
+    def read(self, interval: LocusInterval | None = None, within: dict[str, tuple] | None = None) -> DataFrame:
         """Union of all input tables, in name order."""
-        return reduce(DataFrame.unionByName, [self.frame(t, interval) for t in self.tables])
+        return reduce(DataFrame.unionByName, [self.frame(t, interval, within) for t in self.tables])
 
     def file_order(self, table: InputTable) -> list[FileStatistics]:
         """The table's files in the order of its rows, as its footers show it."""
@@ -240,7 +249,7 @@ class LocusTable:
     fmt: str = "parquet"
 
     def read(self) -> DataFrame:
-        files = [f.path for f in statistics(Files(self.spark).data_files(self.path, f".{self.fmt}")) if f.rows]
+        files = [f.path for f in statistics(Files(self.spark).data_files(self.path, f".{self.fmt}"), self.spark) if f.rows]
         if not files:
             raise DatasetError(f"{self.path} has no rows")
         df = loaded(self.spark, self.fmt, files)
@@ -251,4 +260,4 @@ class LocusTable:
         return RowOrdering.parse("locus").columns(self.read().columns)
 
     def file_order(self) -> list[FileStatistics]:
-        return recovered_order(statistics(Files(self.spark).data_files(self.path, f".{self.fmt}")), self.ordering())
+        return recovered_order(statistics(Files(self.spark).data_files(self.path, f".{self.fmt}"), self.spark), self.ordering())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 #: Formats and codecs with a Spark writer here. Fixed values.
@@ -65,12 +67,36 @@ class Files:
         self.fs(p).delete(self.path(p), True)
 
     def rename(self, a: str, b: str) -> None:
+        """Move a file to `b`. A file that is there is put aside first and comes back if the move fails."""
         fs = self.fs(b)
         fs.mkdirs(self.path(b).getParent())
+        aside = None
         if fs.exists(self.path(b)) and fs.getFileStatus(self.path(b)).isFile():
-            fs.delete(self.path(b), False)
+            head, _, name = b.rpartition("/")
+            aside = f"{head}/.{name}-{uuid.uuid4().hex}"
+            if not fs.rename(self.path(b), self.path(aside)):
+                raise OSError(f"could not put {b} aside")
         if not fs.rename(self.path(a), self.path(b)):
+            if aside:
+                fs.rename(self.path(aside), self.path(b))
             raise OSError(f"could not move {a} to {b}")
+        if aside:
+            fs.delete(self.path(aside), False)
+
+    def publish(self, staging: str, target: str) -> None:
+        """Move a directory to where nothing is, or an empty directory."""
+        fs = self.fs(target)
+        fs.mkdirs(self.path(target).getParent())
+        if fs.exists(self.path(target)) and not fs.delete(self.path(target), False):
+            raise OSError(f"{target} is not empty")
+        if not fs.rename(self.path(staging), self.path(target)):
+            raise OSError(f"could not move {staging} to {target}")
+
+
+def arrow_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path, for tasks and the driver alike, and the path in it."""
+    path = re.sub(r"^s3a://", "s3://", path)
+    return pafs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:/*", "/", path))
 
 
 def check_scheme(p: str) -> None:
@@ -102,3 +128,10 @@ def compression_options(mode: str | None) -> dict[str, str]:
     if m[2] is not None:
         out[{"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}[m[1]]] = m[2]
     return out
+
+
+def arrow_codec(mode: str | None) -> tuple[str, int | None]:
+    """Arrow's name of a compression mode, and its level."""
+    compression_options(mode)
+    m = re.fullmatch(r"([a-z0-9_]+)(?:\((\d+)\))?", mode or "snappy")
+    return {"uncompressed": "none", "lz4_raw": "lz4"}.get(m[1], m[1]), int(m[2]) if m[2] else None

@@ -6,16 +6,21 @@ import math
 import os
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
+from pyarrow import orc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.locus import SplitPoints, interval_index
 from ..plans.ordering import OrderedFrame, ascending, held, representation
-from .files import Files, checked_format, compression_options
+from .files import Files, arrow_codec, arrow_path, checked_format, compression_options
+from .statistics import open_footer
 
 SETTLE_TRIES, SETTLE_PAUSE = 50, 0.1
 
@@ -92,45 +97,95 @@ def _staging(path: str) -> str:
     return f"{head}/.{name}-{uuid.uuid4().hex}"
 
 
+ROW_GROUP = 1 << 20
+
+
+class _Stream:
+    """One file that batches are appended to, row group by row group, under a hidden name until it is whole."""
+
+    def __init__(self, path: str, schema: pa.Schema, fmt: str, compression: str | None, ordering: list[str]):
+        self.fs, self.path = arrow_path(path)
+        head, _, name = self.path.rpartition("/")
+        self.fs.create_dir(head, recursive=True)
+        self.hidden = f"{head}/.{name}-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.hidden)
+        codec, level = arrow_codec(compression)
+        if fmt == "orc":
+            self.writer = orc.ORCWriter(self.out, compression="uncompressed" if codec == "none" else "zlib" if codec == "gzip" else codec)
+        else:
+            order = pq.SortingColumn.from_ordering(schema, [(c, "ascending") for c in ordering], null_placement="at_end") if ordering else None
+            self.writer = pq.ParquetWriter(self.out, schema, compression=codec, compression_level=level, sorting_columns=order)
+        self.schema, self.held, self.rows, self.total = schema, [], 0, 0
+
+    def append(self, batch: pa.RecordBatch) -> None:
+        self.held.append(pa.RecordBatch.from_arrays(batch.columns, schema=self.schema))
+        self.rows += batch.num_rows
+        if self.rows >= ROW_GROUP:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held or not self.total:
+            t = pa.Table.from_batches(self.held, self.schema)
+            self.writer.write(t) if isinstance(self.writer, orc.ORCWriter) else self.writer.write_table(t, row_group_size=ROW_GROUP)
+        self.total += self.rows
+        self.held, self.rows = [], 0
+
+    def close(self) -> int:
+        self.flush()
+        self.writer.close()
+        self.out.close()
+        self.fs.move(self.hidden, self.path)
+        return self.total
+
+
+def _batches(path: str) -> Iterator[pa.RecordBatch]:
+    fs, inner = arrow_path(path)
+    with fs.open_input_file(inner) as f:
+        if path.endswith(".orc"):
+            file = orc.ORCFile(f)
+            for i in range(file.nstripes):
+                yield file.read_stripe(i)
+        else:
+            yield from pq.ParquetFile(f).iter_batches()
+
+
+def _plain(schema: pa.Schema) -> pa.Schema:
+    """A schema without the engine's notes."""
+    return pa.schema([f.remove_metadata() for f in schema])
+
+
 def write_file(frame: OrderedFrame, path: str, fmt: str = "parquet", compression: str | None = None, *, sort_metadata: bool = True) -> Written:
     """All rows, in order, in exactly the file `path`, which is replaced.
 
-    The sort stays distributed; only its sorted output streams through one writer. A Parquet file notes its sort order.
+    The sort and the encoding of its output are distributed: every task of the sort writes its part to a staging
+    directory. One task, of an executor and not the driver, then appends the parts in their order, a row group at a time;
+    a Parquet file notes its sort order as it is written.
     """
     spark = frame.df.sparkSession
     check_file_path(path, fmt)
-    files, staging, seen = Files(spark), _staging(path), Observation()
+    checked_format(fmt), compression_options(compression)
+    files, staging, ordering = Files(spark), _staging(path), list(frame.ordering) if sort_metadata else []
+    whole = f"{staging}-whole.{fmt}"
     try:
-        rows = held(frame.df, list(frame.ordering)).observe(seen, F.count(F.lit(1)).alias("rows")).coalesce(1)
-        rows.write.format(checked_format(fmt)).options(**compression_options(compression)).save(staging)
-        parts = [e for e in files.entries(staging) if e.name.startswith("part-")]
-        files.rename(parts[0].path, path)
+        held(frame.df, list(frame.ordering)).write.format(checked_format(fmt)).save(staging)
+        parts = [e.path for e in files.entries(staging) if e.name.startswith("part-")]
+
+        def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            listed = [p for b in batches for _, p in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))]
+            if listed:
+                out = _Stream(whole, _plain(open_footer(listed[0]).schema), fmt, compression, ordering)
+                for p in listed:
+                    for batch in _batches(p):
+                        out.append(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([out.close()])], names=["n"])
+
+        order = spark.createDataFrame(list(enumerate(parts)), "i bigint, path string").coalesce(1).sortWithinPartitions("i")
+        n = order.mapInArrow(append, "n bigint").agg(F.sum("n")).first()[0]
+        files.rename(whole, path)
     finally:
         files.delete(staging)
-    if fmt == "parquet" and sort_metadata:
-        note_sort_order(path, list(frame.ordering), compression)
-    return Written(seen.get["rows"], 1)
-
-
-def note_sort_order(path: str, ordering: list[str], compression: str | None = None) -> None:
-    """Rewrite a Parquet file by row groups with `sorting_columns`, which Spark's writer doesn't set."""
-    source, inner = pafs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
-    codec = (compression or "snappy").partition("(")[0]
-    level = int((compression or "").partition("(")[2].rstrip(")") or 0) or None
-    codec = {"uncompressed": "none", "lz4_raw": "lz4"}.get(codec, codec)
-    with source.open_input_file(inner) as f:
-        file = pq.ParquetFile(f)
-        order = pq.SortingColumn.from_ordering(file.schema_arrow, [(c, "ascending") for c in ordering], null_placement="at_end")
-        with source.open_output_stream(f"{inner}.sorting") as out, pq.ParquetWriter(out, file.schema_arrow, compression=codec, compression_level=level if codec in ("zstd", "gzip") else None, sorting_columns=order) as writer:
-            for g in range(file.num_row_groups):
-                writer.write_table(file.read_row_group(g))
-            if not file.num_row_groups:
-                writer.write_table(file.schema_arrow.empty_table())
-    source.move(f"{inner}.sorting", inner)
-    # A local checksum of the file before would now refuse it.
-    head, _, name = inner.rpartition("/")
-    if source.get_file_info(crc := f"{head}/.{name}.crc").type == pafs.FileType.File:
-        source.delete_file(crc)
+        files.delete(whole)
+    return Written(n, 1)
 
 
 def interval_file_names(n: int, fmt: str = "parquet") -> list[str]:
@@ -148,39 +203,34 @@ def by_interval(df: DataFrame, points: SplitPoints, ordering: list[str]) -> Data
 
 
 def write_intervals(df: DataFrame, points: SplitPoints, ordering: list[str], path: str, fmt: str = "parquet", compression: str | None = None) -> Written:
-    """A directory of one ordered file per interval, named by `interval_file_names`; an interval without rows gets an empty file."""
+    """A directory of one ordered file per interval, named by `interval_file_names`; an interval without rows gets an empty file.
+
+    Each task writes its interval's file itself, with its sort order noted; the driver only moves the whole directory into
+    place. A task that runs again replaces its own file.
+    """
     spark = df.sparkSession
     check_directory_path(path)
     check_vacant(spark, path)
-    files, staging, seen = Files(spark), _staging(path), Observation()
+    checked_format(fmt), compression_options(compression)
+    files, staging = Files(spark), _staging(path)
     names = interval_file_names(len(points) + 1, fmt)
+    schema = to_arrow_schema(df.schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = TaskContext.get().partitionId()
+        out = _Stream(f"{staging}/{names[i]}", schema, fmt, compression, ordering)
+        for batch in batches:
+            out.append(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([out.close()])], names=["i", "n"])
+
     try:
-        rows = by_interval(df, points, ordering).observe(seen, F.count(F.lit(1)).alias("rows"))
-        rows.write.format(checked_format(fmt)).options(**compression_options(compression)).save(staging)
-        made = {int(e.name.split("-")[1]): e.path for e in files.entries(staging) if e.name.startswith("part-")}
-        for i, name in enumerate(names):
-            if i in made:
-                files.rename(made[i], f"{path.rstrip('/')}/{name}")
-        missing = [n for i, n in enumerate(names) if i not in made]
-        if missing:
-            hollow = f"{staging}-empty"
-            spark.createDataFrame([], df.schema).coalesce(1).write.format(checked_format(fmt)).options(**compression_options(compression)).save(hollow)
-            part = next(e for e in files.entries(hollow) if e.name.startswith("part-"))
-            for name in missing:
-                _copy(files, part.path, f"{path.rstrip('/')}/{name}")
-            files.delete(hollow)
-        if fmt == "parquet":
-            for name in names:
-                note_sort_order(f"{path.rstrip('/')}/{name}", ordering, compression)
+        done = by_interval(df, points, ordering).mapInArrow(write, "i bigint, n bigint").collect()
+        for i in set(range(len(names))) - {x.i for x in done}:
+            _Stream(f"{staging}/{names[i]}", schema, fmt, compression, ordering).close()
+        files.publish(staging, path)
     finally:
         files.delete(staging)
-    return Written(seen.get["rows"], len(names))
-
-
-def _copy(files: Files, a: str, b: str) -> None:
-    jvm = files.spark.sparkContext._jvm
-    conf = files.spark.sparkContext._jsc.hadoopConfiguration()
-    jvm.org.apache.hadoop.fs.FileUtil.copy(files.fs(a), files.path(a), files.fs(b), files.path(b), False, conf)
+    return Written(sum(x.n for x in done), len(names))
 
 
 def write_one_file(df: DataFrame, path: str, fmt: str = "parquet") -> None:

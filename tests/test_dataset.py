@@ -1,7 +1,9 @@
+import os
+
 import pyarrow as pa
 import pytest
 
-from lociweave.functions.locus import Locus, LocusInterval
+from lociweave.functions.locus import Locus, LocusInterval, SplitPoints
 from lociweave.plans.ordering import RowOrdering, representation
 from lociweave.sources.annotation import AnnotationError, annotated, read_samples
 from lociweave.sources.dataset import Dataset, DatasetError, LocusTable
@@ -160,3 +162,60 @@ def test_locus_table(spark, tmp_path):
     with pytest.raises(DatasetError, match="no rows"):
         write(f"{tmp_path}/e.parquet", arrow([]))
         LocusTable(spark, f"{tmp_path}/e.parquet").read()
+
+
+def test_footers_by_tasks_are_those_by_the_driver(spark, tmp_path, monkeypatch):
+    from lociweave.sources import statistics as module
+    from lociweave.sources.files import Files
+
+    ds = Dataset.discover(spark, single_samples(tmp_path), "locus")
+    entries = [e for t in ds.tables for e in Files(spark).data_files(t.path, ".parquet")]
+    want = module.statistics(entries)
+    monkeypatch.setattr(module, "_cache", {})
+    monkeypatch.setattr(module, "BY_TASKS", 2)
+    assert module.statistics(entries, spark) == want and len(want) == 16 and want[0].bounds["position"].low == 2
+    monkeypatch.setattr(module, "MOST_KEPT", 3)
+    assert module.statistics(entries, spark) == want and len(module._cache) == 3
+
+
+def test_descending_columns_and_unlike_types():
+    names = lambda fs: [f.path for f in fs]
+    files = [stats("low", a=(1, 1), b=(0, 4)), stats("high", a=(1, 1), b=(4, 9)), stats("top", a=(2, 5))]
+    assert names(recovered_order(files, ["a", "b"], {"b"})) == ["high", "low", "top"] and names(recovered_order(files, ["a", "b"], {"a", "b"})) == ["top", "high", "low"]
+    with pytest.raises(OrderRefuted):
+        recovered_order([stats("x", a=(1, 4)), stats("y", a=(3, 5))], ["a"], {"a"})
+    with pytest.raises(UnusableStatistics, match="types"):
+        recovered_order([stats("x", a=(1, 4)), stats("y", a=("b", "c"))], ["a"])
+
+
+def test_pruning_by_any_column_and_by_sample(spark, tmp_path):
+    ds = Dataset.discover(spark, single_samples(tmp_path), "locus")
+    got = ds.read(within={"position": (None, 10), "s": (SAMPLES[1], SAMPLES[2])})
+    assert sorted({(r.s, r.position) for r in got.collect()}) == [(s, p) for s in SAMPLES[1:3] for p in (2, 4, 9, 10)]
+    assert ds.frame(ds.tables[0], within={"position": (15, None)})._jdf.inputFiles()[0].endswith("t.parquet") and len(ds.frame(ds.tables[0], within={"position": (15, None)})._jdf.inputFiles()) == 1
+    assert ds.frame(ds.tables[0], within={"s": (SAMPLES[1], None)}).count() == 0
+
+
+def test_orc_end_to_end(spark, tmp_path):
+    from lociweave.plans.runs import Collect, CombinerRun, Formulation, Write
+
+    rows = [(f"chr{c:02d}", p, a) for part in FILES.values() for c, p, a in part]
+    for s in SAMPLES:
+        spark.createDataFrame(rows, "contig string, position int, alleles string").repartition(2).write.orc(f"{tmp_path}/in/s={s}")
+    for root, dirs, names in os.walk(tmp_path / "in"):
+        for n in names:
+            if n.startswith("_"):
+                os.remove(f"{root}/{n}")
+    ds = Dataset.discover(spark, str(tmp_path / "in"), "locus", "orc")
+    assert ds.read().count() == 32 and ds.samples == list(SAMPLES)
+    out = str(tmp_path / "multi" / "all.orc")
+    CombinerRun(spark, str(tmp_path / "in"), "locus", Formulation(), Write(out, "orc", "zstd"), fmt="orc").execute()
+    CombinerRun(spark, str(tmp_path / "in"), "locus", Formulation("interval-merge", points=SplitPoints.parse("1:17,9:9")), Write(str(tmp_path / "multi2" / "iv"), "orc"), fmt="orc").execute()
+    for folder, name in (("multi", "all"), ("multi2", "iv")):
+        again = CombinerRun(spark, str(tmp_path / folder), "locus", Formulation(), Collect(None), fmt="orc").execute()
+        assert again.rows == 32 and again.table["position"].to_pylist()[:4] == [10] * 4, name
+    assert read_samples(str(tmp_path / "multi" / "all.samples.orc")) == sorted(SAMPLES)
+    t = LocusTable(spark, out, "orc")
+    assert t.read().count() == 32
+    with pytest.raises(UnusableStatistics):
+        t.file_order()
