@@ -45,7 +45,7 @@ def impute(values: np.ndarray, window: int = 24, rank: int = 3, tolerance: float
     kept = max(1, min(rank, length - 1))
     weights = np.convolve(np.ones(length), np.ones(n - length + 1))
     if length == 1:
-        return x * scale + low
+        return np.where(known, values, x * scale + low)
     hankel = np.lib.stride_tricks.sliding_window_view(y, length).T
     rounds, moved = 0, np.inf
     while moved >= tolerance:
@@ -59,10 +59,13 @@ def impute(values: np.ndarray, window: int = 24, rank: int = 3, tolerance: float
         # The Hankel matrix is a view of y.
         y[missing] = now
         rounds += 1
-    return (y + trend) * scale + low
+    return np.where(known, values, (y + trend) * scale + low)
 
 
-def _between(filled: np.ndarray, known: np.ndarray, before: tuple[float, float], after: tuple[float, float]) -> np.ndarray:
+NOWHERE = (np.nan, np.nan)
+
+
+def _between(filled: np.ndarray, known: np.ndarray, before: tuple[float, float] = NOWHERE, after: tuple[float, float] = NOWHERE) -> np.ndarray:
     """Filled values kept between the known values on either side of their gap, and in the gap's direction.
 
     `before` and `after`: place and value of the nearest readings outside of the series' own block, NaN where there are none.

@@ -59,6 +59,19 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
+def p4_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every second with its reading's count of rows; of filled ones, whether the count lies between its neighbours'."""
+    from pyspark.sql import Window
+
+    run = Window.partitionBy("run_id").orderBy("period_index")
+    seen = F.when(~F.col("filled"), F.col("rows_total"))
+    before = F.last(seen, ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(seen, ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))
+    low, high = F.least(before, after), F.greatest(before, after)
+    inside = F.when(before.isNull(), F.col("rows_total") <= after).otherwise(F.col("rows_total").between(low, high))
+    return _grid(spark, d).select("run_id", "period_index", "readings", "filled", seen.cast("bigint").alias("rows_total"), F.when(F.col("filled"), inside).alias("between"))
+
+
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     """Seconds, filled seconds and readings of every shadow run."""
     return _grid(spark, d).groupBy("run_id").agg(F.count("*").alias("periods"), F.count_if("filled").alias("filled"), F.sum("readings").alias("readings"))
@@ -160,6 +173,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_grid": p4_grid,
+    "p4_checked": p4_checked,
     "p4_runs": p4_runs,
     "p5_found": p5_found,
     "p5_plan": p5_plan,
@@ -173,9 +187,12 @@ SQL = {
  sum(CASE WHEN kind = 'period' THEN b - a + 1 ELSE 0 END)::BIGINT AS covered, sum(CASE WHEN kind = 'gap' THEN b - a + 1 ELSE 0 END)::BIGINT AS uncovered FROM k GROUP BY s, o""",
     "p3_found": SPLITS,
     "p4_found": GRID + "SELECT run_id, p AS period_index FROM j WHERE n = 0",
+    "p4_checked": GRID + """, l AS (SELECT run_id, elapsed_ns // 1000000000 AS p, arg_max("rows", (elapsed_ns, "rows")) AS v FROM progress_samples SEMI JOIN sh USING (run_id) WHERE elapsed_ns >= 0 GROUP BY 1, 2)
+ SELECT j.run_id, j.p AS period_index, j.n AS readings, j.n = 0 AS filled, l.v AS rows_total, CASE WHEN j.n = 0 THEN TRUE END AS "between" FROM j LEFT JOIN l USING (run_id, p)""",
     "p4_runs": GRID + "SELECT run_id, count(*)::BIGINT AS periods, count(*) FILTER (n = 0)::BIGINT AS filled, sum(n)::BIGINT AS readings FROM j GROUP BY run_id",
     "p5_found": FILES + "SELECT dataset, input_table FROM t",
     "p5_plan": PLAN + "SELECT dataset, input_table, path, size, coalesce(out_file, -1) AS out_file, out_files FROM p",
     "p5_compacted": "SELECT path, locus, alleles, s FROM stored_rows",
+    "p5_rewritten": "WITH f AS (SELECT path, min((dataset, input_table)) AS t FROM stored_files GROUP BY path) SELECT t[1] AS dataset, t[2] AS input_table, count(DISTINCT path)::BIGINT AS files_before, 1::BIGINT AS files_after FROM stored_rows JOIN f USING (path) GROUP BY ALL",
     "p5_consolidated": PLAN + "SELECT p.dataset, p.input_table, coalesce(p.out_file, -1) AS out_file, r.* FROM stored_rows r LEFT JOIN p ON p.path = r.path",
 }
