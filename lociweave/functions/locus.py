@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INT_MAX = 2**31 - 1
+#: Most ordinals that are looked for by the ends of names.
+MOST_ENDS = 64
 
 
 def contig_ordinal(contig: Column) -> Column:
@@ -26,6 +28,15 @@ def contig_ordinal(contig: Column) -> Column:
     return F.when(named, F.substring(contig, 4, INT_MAX).try_cast("int"))
 
 
+def named_contig(contig: Column, ordinals: range) -> Column:
+    """Whether a contig name, padded or not, has one of the ordinals.
+
+    The exact test is no filter that a file can use, so one that it can stands before it: how such names begin and end.
+    """
+    ends = reduce(or_, (contig.endswith(str(o)) for o in ordinals)) if len(ordinals) <= MOST_ENDS else F.lit(True)
+    return contig.startswith("chr") & ends & contig_ordinal(contig).between(ordinals.start, ordinals.stop - 1)
+
+
 def contig_name(ordinal: Column) -> Column:
     return F.format_string("chr%02d", ordinal)
 

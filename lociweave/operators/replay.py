@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import partitions_for
+from ..session import cut, partitions_for
 from .throughput import SECOND, Check, ProbeSettings, Series, capped_at, decide, grouped_checks, passing_runs, stop_reason
 
 
@@ -165,11 +165,16 @@ def overview(replays: DataFrame, baselines: DataFrame) -> DataFrame:
 def pareto(rows: DataFrame, a: str, b: str, name: str = "pareto") -> DataFrame:
     """Mark rows that no other row matches or beats in both `a` and `b` while beating it in one; null in either is never optimal.
 
-    A sort and a running least value find the frontier; nothing is compared pairwise. For one row a settings combination.
+    Distinct pairs are sorted by a range exchange; the least `b` of all partitions before one, and a running least value
+    inside it, find the frontier. Nothing is compared pairwise and no partition holds everything.
     """
-    order = Window.partitionBy(F.col(a).isNull() | F.col(b).isNull()).orderBy(a, b)
-    before = F.min(b).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__least", before)
-    same = Window.partitionBy(a, b)
-    first = F.max(F.col("__least").isNull() | (F.col(b) < F.col("__least"))).over(same)
-    return marked.withColumn(name, F.coalesce(first & F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(False))).drop("__least")
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+    ranged = cut(pairs.repartitionByRange(partitions_for(rows.sparkSession), "__a", "__b").select("__a", "__b", F.spark_partition_id().alias("__part")))
+    inside = F.min("__b").over(Window.partitionBy("__part").orderBy("__a", "__b").rowsBetween(Window.unboundedPreceding, -1))
+    # One row a partition.
+    parts = ranged.groupBy("__part").agg(F.min("__b").alias("__least"))
+    ahead = parts.select("__part", F.min("__least").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"))
+    least = ranged.withColumn("__inside", inside).join(F.broadcast(ahead), "__part").withColumn("__before", F.least("__inside", "__ahead"))
+    front = least.where(F.col("__before").isNull() | (F.col("__b") < F.col("__before"))).select("__a", "__b", F.lit(True).alias("__front"))
+    marked = rows.join(front, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left")
+    return marked.select(*rows.columns, F.coalesce("__front", F.lit(False)).alias(name))

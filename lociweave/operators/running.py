@@ -70,14 +70,27 @@ def running_total(df: DataFrame, group: list[str], order: list[str | Column], we
 
     at = Window.partitionBy(*keys)
     totals = rows.groupBy(PART, *keys).agg(F.sum(f"`{weight}`").alias(LOCAL))
-    totals = totals.select(PART, *(k.alias(f"__g{i}") for i, k in enumerate(keys)), F.coalesce(F.sum(LOCAL).over(at.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(OFFSET), F.sum(LOCAL).over(at).alias(TOTAL))
+    before = F.coalesce(F.sum(LOCAL).over(at.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = [k.alias(f"__g{i}") for i, k in enumerate(keys)]
     schema = T.StructType([*rows.schema.fields, T.StructField(LOCAL, T.LongType())])
     local = rows.mapInArrow(_local_totals(len(group), len(group) + len(rest)), schema)
-    same = local[PART] == totals[PART]
-    for i, g in enumerate(group):
-        same = same & local[g].eqNullSafe(totals[f"__g{i}"])
-    joined = local.join(totals, same)
-    return joined.select(*(local[c] for c in df.columns), (local[LOCAL] + totals[OFFSET]).alias(name), *([totals[TOTAL].alias(total)] if total else []))
+
+    def joined(df: DataFrame, other: DataFrame, on: Column | None, how: str) -> DataFrame:
+        for i, g in enumerate(group):
+            same = local[g].eqNullSafe(other[f"__g{i}"])
+            on = same if on is None else on & same
+        return df.crossJoin(F.broadcast(other)) if on is None else df.join(other, on, how)
+
+    # Only a partition's first group can go on from another partition: at most one row a partition.
+    carried = F.broadcast(totals.select(PART, *named, before.alias(OFFSET)).where(F.col(OFFSET) != 0))
+    out = joined(local, carried, local[PART] == carried[PART], "left")
+    columns = [*(local[c] for c in df.columns), (local[LOCAL] + F.coalesce(carried[OFFSET], F.lit(0))).alias(name)]
+    if total:
+        # One row a group; the engine broadcasts it or not, as its size has it.
+        sums = totals.groupBy(*named).agg(F.sum(LOCAL).alias(TOTAL))
+        out = joined(out, sums, None, "inner")
+        columns.append(sums[TOTAL].alias(total))
+    return out.select(*columns)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], *, name: str = "row_number", partitions: int | None = None) -> DataFrame:

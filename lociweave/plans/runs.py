@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import resource
 import threading
 import time
@@ -154,15 +155,30 @@ class MetricsDirectory:
         row = self.spark.createDataFrame([tuple(record.get(c.split()[0]) for c in RECORD.split(", "))], RECORD)
         sinks.write_one_file(row, self.file("runs", run_id))
 
+    def _split(self, found: DataFrame, table: str, wanted: list[str]) -> None:
+        """Write one file a run, by one job for all runs; a run without rows gets an empty file."""
+        staging = f"{self.path}/.{table}-{uuid.uuid4().hex}"
+        try:
+            found.withColumn("__run", F.md5("run_id")).repartition("__run").write.partitionBy("__run").parquet(staging)
+            made = {e.name.partition("=")[2]: e.path for e in self.files.entries(staging) if e.is_dir}
+            for run_id in wanted:
+                folder = made.get(hashlib.md5(run_id.encode()).hexdigest())
+                parts = self.files.data_files(folder, ".parquet") if folder else []
+                if len(parts) == 1:
+                    self.files.rename(parts[0].path, self.file(table, run_id))
+                else:
+                    sinks.write_one_file(found.where(F.col("run_id") == run_id), self.file(table, run_id))
+        finally:
+            self.files.delete(staging)
+
     def replay(self, grid: Grid | None = None) -> list[str]:
         """Judge every shadow run again, replace its three tables, and remove those of runs that are no shadow runs any more."""
         runs, progress = self.read("runs"), self.read("progress")
         wanted = [] if runs is None or progress is None else [r.run_id for r in runs.where("action = 'shadow'").select("run_id").distinct().orderBy("run_id").collect()]
         names = {"checks": "checks", "replay-baselines": "baselines", "replays": "replays"}
         for table, what in names.items():
-            found = replay(shadow_series(runs, progress), what, grid) if wanted else None
-            for run_id in wanted:
-                sinks.write_one_file(found.where(F.col("run_id") == run_id), self.file(table, run_id))
+            if wanted:
+                self._split(replay(shadow_series(runs, progress), what, grid), table, wanted)
             folder = f"{self.path}/{table}"
             if self.files.exists(folder):
                 for e in self.files.entries(folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.locus import Locus, LocusInterval, SplitPoints, contig_name, contig_ordinal, pack, packed_ordinal, packed_position
+from ..functions.locus import Locus, LocusInterval, SplitPoints, contig_name, contig_ordinal, named_contig, pack, packed_ordinal, packed_position
 from ..operators import combine, reports
 from ..operators.joins import interval_join
 from ..operators.replay import Grid, calibration, overview, pareto, replay, shadow_series, stops_over_checks
@@ -66,7 +66,9 @@ def locus_unpack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def locus_filter_contig_position(spark: SparkSession, d: str) -> DataFrame:
-    return _refs(spark, d).where(INTERVAL.predicate(contig=F.col("contig"), position=F.col("position"))).select("contig", "position", "s")
+    """Rows of INTERVAL. Its ordinals are asked of the raw names first, in a form that the scan takes."""
+    raw = table(spark, d, "refs").select(*REF_COLUMNS).where(named_contig(F.col("contig"), range(INTERVAL.low.ordinal, INTERVAL.high.ordinal + 1)))
+    return normalized_contigs(raw).where(INTERVAL.predicate(contig=F.col("contig"), position=F.col("position"))).select("contig", "position", "s")
 
 
 def locus_filter_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +76,8 @@ def locus_filter_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contig_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _refs(spark, d).where("contig = 'chr03'").select("contig", "position", "s", "LEN")
+    raw = table(spark, d, "refs").where(named_contig(F.col("contig"), range(3, 4)))
+    return normalized_contigs(raw.select("contig", "position", "s", "LEN"))
 
 
 def row_balanced_split_points(spark: SparkSession, d: str) -> DataFrame:
