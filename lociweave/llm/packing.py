@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, partitions_for
 
-BLOCK_ITEMS = 40_000
+BLOCK_ITEMS = 8000
 #: Copies of one item that are numbered at a time.
 COPIES = 10_000
 MOST_PACKS = 1000
@@ -26,32 +26,39 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """
     kinds, of = np.unique(-sizes, axis=0, return_inverse=True)
     kinds, of = -kinds, of.ravel()
+    if (kinds > limits).any():
+        raise ValueError("an item is above the limits")
     queue = np.argsort(of, kind="stable")
-    counts = np.bincount(of, minlength=len(kinds))
-    upto = np.cumsum(counts) - counts
+    left = np.bincount(of, minlength=len(kinds))
+    at = np.cumsum(left) - left
     share = kinds / limits
-    weight = share.T @ counts
-    weight = weight / max(weight.sum(), 1e-12)
-    scored = share * weight
+    weight = share.T @ left
+    scored = share * (weight / max(weight.sum(), 1e-12))
     out = np.empty(len(sizes), np.int64)
-    left, container = counts.copy(), 0
-    live = np.arange(len(kinds))
-    while len(live):
-        room = limits.astype(float).copy()
-        fit = live
+    # Kinds lie in descending order of the first size, so those whose first size still fits are a tail of the arrays.
+    first, rest, live = -kinds[:, 0], kinds[:, 1:].T.copy(), len(kinds)
+    container = 0
+    while live:
+        room, empty = limits.astype(float), True
         while True:
-            fit = fit[(kinds[fit] <= room).all(axis=1) & (left[fit] > 0)]
-            if not len(fit):
+            tail = int(np.searchsorted(first, -room[0]))
+            score = scored[tail:] @ (room / limits)
+            for size, most in zip(rest, room[1:]):
+                score[size[tail:] > most] = -1
+            score[left[tail:] == 0] = -1
+            if not len(score) or score[k := int(score.argmax())] < 0:
                 break
-            k = fit[np.argmax(scored[fit] @ (room / limits))]
-            at = upto[k] + counts[k] - left[k]
-            out[queue[at]] = container
+            k += tail
+            out[queue[at[k]]] = container
+            at[k] += 1
             left[k] -= 1
+            live -= left[k] == 0
             room -= kinds[k]
-        if (room == limits).all() and (kinds[live] > 0).any(axis=1).all():
-            raise ValueError("an item is above the limits")
-        container += 1
-        live = live[left[live] > 0]
+            empty = False
+        container += not empty
+        if live < 0.7 * len(left):
+            keep = left > 0
+            kinds, scored, first, rest, left, at = kinds[keep], scored[keep], first[keep], rest[:, keep].copy(), left[keep], at[keep]
     return out
 
 
