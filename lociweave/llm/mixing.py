@@ -106,8 +106,8 @@ def mixed(items: DataFrame, item: list[str], source: str, tokens: str, targets:
         raise ValueError("more target sources than slots, or than are allowed")
     names = [f"i{k}" for k in range(len(item))]
     rows = items.select(F.col(f"`{source}`").cast("string").alias("source"), *(F.col(f"`{c}`").alias(n) for c, n in zip(item, names)), F.col(f"`{tokens}`").cast("bigint").alias("tokens")).where("source IS NOT NULL AND tokens > 0")
-    rows = rows.where(F.col("source").isin([w.source for w in wanted])).withColumn("__h", F.xxhash64(F.lit(seed), *names))
-    # The running total's sort writes the rows once; all that follows reads them from there.
+    # Counting tokens costs far more than a write, and the sort below reads its input twice.
+    rows = cut(rows.where(F.col("source").isin([w.source for w in wanted])).withColumn("__h", F.xxhash64(F.lit(seed), *names)))
     run = cut(running_total(rows, ["source"], ["__h", *names], "tokens", name="upto", total="have").drop("__h"))
     # One row a target source.
     have = {r.source: r.n for r in run.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
