@@ -156,6 +156,9 @@ NOUNS = set("street road lane avenue terrace way close drive court square cresce
 #: Words before a name that belong to none. Fixed values.
 TITLES = set("mr mrs ms miss dr prof professor sir lady dear herr frau doktor monsieur madame mademoiselle mme docteur maître cher chère señor señora señorita don doña doctor doctora profesor profesora estimado estimada господин госпожа доктор профессор уважаемый уважаемая professeur".split())
 
+#: Words whose likeness is remembered at a time.
+MOST_READ = 200_000
+
 
 @dataclass
 class Names:
@@ -200,11 +203,10 @@ class Names:
             w = fold(word)
             like = [max((len(w) - i for i in range(2, len(w)) if w[:i] in self.starts and w[i:] in self.ends.get(p, ())), default=0) or int(w[:-1] in self.strong and w[-1:] in self.last.get(p, ())) for p in ("given", "family")]
             got = (int(w in self.given), int(w in self.family), *like)
-            if len(self.seen) < 200_000:
-                self.seen[word] = got
-                self.read.add(word)
-                if any(got):
-                    self.liked.add(word)
+            self.seen[word] = got
+            self.read.add(word)
+            if any(got):
+                self.liked.add(word)
         return got
 
     def is_like(self, word: str) -> bool:
@@ -212,6 +214,9 @@ class Names:
 
     def liked_of(self, words: set[str]) -> set[str]:
         """Those of `words` that look like names; words seen before cost one set operation."""
+        if len(self.seen) >= MOST_READ:
+            # The cache starts anew; what it held is found again.
+            self.seen, self.read, self.liked = {}, set(), set()
         new = words - self.read
         return (words & self.liked) | {w for w in new if self.is_like(w)}
 
@@ -234,26 +239,32 @@ def name_spans(text: str, names: Names, words: set[str] | None = None) -> list[t
 
     Only the surroundings of words made like names, of initials and of two words with capitals are read word by word.
     """
-    places = [m.span() for m in INITIAL.finditer(text)]
-    pairs = set()
-    for m in COMMA_INITIAL.finditer(text):
-        places.append(m.span())
-        pairs.add(m.start())
+    words = set(WORD.findall(text)) if words is None else words
+    places, pairs = [], set()
+    if any(len(w) == 1 and w.isupper() for w in words):
+        places = [m.span() for m in INITIAL.finditer(text)]
+        for m in COMMA_INITIAL.finditer(text):
+            places.append(m.span())
+            pairs.add(m.start())
     at = 0
     while m := TWO_CAPITALS.search(text, at):
         if m[1].lower() not in NOUNS and m[2].lower() not in NOUNS:
             places.append(m.span())
             pairs.add(m.start())
         at = m.start(2)
-    for w in names.liked_of(set(WORD.findall(text)) if words is None else words):
-        if len(w) > 1:
+    # All words of the text are looked up here, those of the windows only among the liked ones.
+    liked = {w for w in names.liked_of(words) if len(w) > 1}
+    weak = {w for w in liked if w[:1].islower() and w in names.common}
+    # Two such words make a name, one does not.
+    for w in liked if len(weak) > 1 else liked - weak:
+        if w:
             at = text.find(w)
             while at >= 0:
                 places.append((at, at + len(w)))
                 at = text.find(w, at + len(w))
     found = []
     for lo, hi in _merged(sorted(places), NAME_REACH, text):
-        found += _name_spans(text, lo, hi, names, pairs)
+        found += _name_spans(text, lo, hi, names, pairs, liked)
     return found
 
 
@@ -282,14 +293,13 @@ def _merged(places: list[tuple[int, int]], reach: int, text: str) -> list[tuple[
     return out
 
 
-def _name_spans(text: str, lo: int, hi: int, names: Names, pairs: set[int] = frozenset()) -> list[tuple[int, int, tuple]]:
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text, lo, hi)]
-    liked = names.liked_of({w for *_, w in words})
+def _name_spans(text: str, lo: int, hi: int, names: Names, pairs: set[int], liked: set[str]) -> list[tuple[int, int, tuple]]:
+    words = [(*m.span(), m[0]) for m in WORD.finditer(text, lo, hi)]
     found = []
     for i, (a, b, w) in enumerate(words):
+        like = len(w) > 1 and w in liked
         short = len(w) == 1 and w.isupper() and text[b : b + 1] == "."
-        like = not short and w in liked
-        if not (short or like or a in pairs) or w.lower() in TITLES:
+        if not (like or short or a in pairs) or w.lower() in TITLES:
             continue
         # What follows: up to two initials, then a word.
         j, initials, end = i + 1, 0, b
@@ -353,8 +363,10 @@ def _context(text: str, a: int, b: int, kind: str) -> list[float]:
 
 
 EMAIL_CUE = re.compile(rf"[@＠]|\(at\)|\[at\]|&\#64;|(?<={S})at{S}[\w.-]+{S}?[\[(]?(?:dot|\.)", I)
+AT = ("at", "At", "aT", "AT")
 DIGIT = re.compile(r"\d")
 LEAST_DIGITS = 5
+DENSE = re.compile(r"\d(?:[\W_]{0,3}[^\W\d_]{0,2}[\W_]{0,3}\d){4}")
 EXTENSION = re.compile(rf"(?<=\d){_EXT}", I)
 
 
@@ -373,13 +385,14 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
             have.add((kind, a, b))
             out.append((kind, a, b, own + _context(text, a, b, kind)))
 
-    for lo, hi in windows(text, EMAIL_CUE, 320):
+    words = set(WORD.findall(text))
+    mailed = "@" in text or "＠" in text or "&#64;" in text or not words.isdisjoint(AT)
+    for lo, hi in windows(text, EMAIL_CUE, 320) if mailed else ():
         for m in EMAIL.finditer(text, lo, hi):
             local, at, domain = m.groups()
             sign = 0 if at.strip() in "@＠" and at.strip() else 1 if at == "&#64;" else 2 if "(" in at or "[" in at else 3
             spelled = len(re.findall(r"dot", domain, I))
             add("email", m.start(), m.end(), [sign, float(at != at.strip()), len(local), domain.count(".") + spelled, spelled, float(local.isdigit()), len(re.split(r"\W+", domain)[-1])])
-    words = set(WORD.findall(text))
     for lo, hi in windows(text, SPELLED_CUE, 240) if len(words & SPELLED_WORDS) > 1 else ():
         for number, shape in enumerate(SPELLED):
             for m in shape.finditer(text, lo, hi):
@@ -391,12 +404,11 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
                     hour = float(bool(HOUR.search(text[max(0, start - 14) : start])))
                     skipped = float(bool(HOUR.search(text[max(0, said[0].start() - 14) : said[0].start()]))) if skip else 0.0
                     add("phone", start, m.end(), [float(len(PHONES) + number), float(len(rest)), hour, skipped, float(bool(DIGIT.search(m.group()))), float(skip), *[0.0] * 4, 1.0, float(m.end() - start), 1.0, 1.0, float(value[0] * 100 + value[1] * 10 + value[2]), float(value[0] * 10 + value[1]), 0.0, 0.0])
-    # Every other number, identity number and street has a digit, and none is longer than a window reaches.
-    for lo, hi in windows(text, DIGIT, 120):
-        # No number of either kind has fewer digits.
-        enough = len(DIGIT.findall(text, lo, hi)) >= LEAST_DIGITS
-        extended = enough and EXTENSION.search(text, lo, hi)
-        for kind, shapes in (("phone", PHONE_RE if extended else PHONE_RE[: len(PHONES)]), ("id_number", ID_RE)) if enough else ():
+    # Every other number has several digits close together, and every street one; none is longer than a window reaches.
+    numbered = DIGIT.search(text) is not None
+    for lo, hi in windows(text, DENSE, 40) if numbered else ():
+        extended = EXTENSION.search(text, lo, hi)
+        for kind, shapes in (("phone", PHONE_RE if extended else PHONE_RE[: len(PHONES)]), ("id_number", ID_RE)):
             for number, shape in enumerate(shapes):
                 for m in shape.finditer(text, lo, hi):
                     t = m.group()
@@ -408,6 +420,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[float]]]:
                     more = bool(re.match(rf"{S}?(?:ext|x|app|poste|доб)\.?{S}*\d", text[m.end() : m.end() + 12], I))
                     own = [number % len(PHONES) if kind == "phone" else number, len(core), len(groups), len(groups[0]), len(digits) > len(core), t[0] == "+" or t[:2] == "(+", "(" in t, "/" in t, "." in t, bool(re.search(DASH, t)), bool(re.search(S, t)), sum(c.isalpha() for c in t), t[:1].isalpha(), t[-1:].isalpha(), int(core[:3] or 0), int(core[:2] or 0), "555" in core[3:8], more]
                     add(kind, m.start(), m.end(), list(map(float, own)))
+    for lo, hi in windows(text, DIGIT, 120) if numbered else ():
         if not STREET_CUE.search(text, lo, hi):
             continue
         for number, shape in enumerate(STREET_RE):
