@@ -260,6 +260,7 @@ class CombinerRun:
             raise InvalidAction(f"the run id {self.run_id} is taken")
 
     def execute(self) -> Outcome:
+        began = time.monotonic_ns()
         self.check()
         dataset = Dataset.discover(self.spark, self.path, self.ordering, self.fmt)
         if self.inputs is not None:
@@ -273,7 +274,7 @@ class CombinerRun:
         if isinstance(a, Collect):
             table = sinks.collected(frame, a.limit)
             return Outcome("rows", table=table, rows=table.num_rows)
-        started, began = dt.datetime.now(dt.timezone.utc), time.monotonic_ns()
+        started, executing = dt.datetime.now(dt.timezone.utc), time.monotonic_ns()
         record = {
             "run_id": self.run_id, "status": "failed", "started_at": started, "formulation": self.formulation.name, "groups": self.formulation.groups,
             "split_points": str(self.formulation.points) if self.formulation.points else None, "row_ordering": str(dataset.ordering), "dataset_path": self.path,
@@ -304,7 +305,7 @@ class CombinerRun:
             record["status"] = "cancelled" if isinstance(error, (KeyboardInterrupt, RunCancelled)) or "cancelled" in str(error).lower() else "failed"
             raise
         finally:
-            record["run_ns"] = record["execute_ns"] = time.monotonic_ns() - began
+            record["run_ns"], record["execute_ns"] = time.monotonic_ns() - began, time.monotonic_ns() - executing
             record["peak_rss_bytes"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
             if self.directory:
                 metrics = self.spark.createDataFrame(plan_metrics(frame.df, self.run_id), METRICS) if record["status"] == "completed" else None

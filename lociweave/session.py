@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", app: str = "lociweave", **conf: str) -
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.memory": "8g",
+        # Files behind cut() go when nothing refers to them any more; clusters should set it too.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -14,7 +15,7 @@ from ..functions.locus import LocusInterval
 from ..plans.ordering import RowOrdering, representation
 from .annotation import read_samples
 from .files import Entry, Files, checked_format
-from .statistics import FileStatistics, open_footer, pruned, recovered_order, statistics
+from .statistics import FileStatistics, file_batches, open_footer, pruned, recovered_order, statistics
 
 
 class DatasetError(ValueError):
@@ -211,10 +212,23 @@ class Dataset:
 
 
 def loaded(spark: SparkSession, fmt: str, paths: list[str]) -> DataFrame:
-    """The listed files. The engine passes over names that begin with an underscore, so these are refused, not lost."""
-    if lost := [p for p in paths if p.rsplit("/", 1)[-1].startswith("_")]:
-        raise DatasetError(f"the engine reads no names that begin with an underscore: {', '.join(lost)}")
-    return spark.read.format(checked_format(fmt)).load(paths)
+    """The listed files. The engine's readers pass over names that begin with an underscore; such files are read by tasks
+    through Arrow, with the others' schema."""
+    own = [p for p in paths if p.rsplit("/", 1)[-1].startswith("_")]
+    rest = [p for p in paths if p not in set(own)]
+    frames = [spark.read.format(checked_format(fmt)).load(rest)] if rest else []
+    if own:
+        schema = frames[0].schema if frames else _spark_schema(open_footer(own[0]).schema)
+        names = schema.names
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for listed in batches:
+                for p in listed.column(0).to_pylist():
+                    for batch in file_batches(p):
+                        yield batch.select(names)
+
+        frames.append(spark.createDataFrame([(p,) for p in own], "path string").repartition(len(own)).mapInArrow(read, schema))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def interval_predicate(interval: LocusInterval, how: str):

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.locus import SplitPoints, interval_index
 from ..plans.ordering import OrderedFrame, ascending, held, representation
 from .files import Files, arrow_codec, arrow_path, checked_format, compression_options
-from .statistics import open_footer
+from .statistics import file_batches, open_footer
 
 SETTLE_TRIES, SETTLE_PAUSE = 50, 0.1
 
@@ -138,17 +138,6 @@ class _Stream:
         return self.total
 
 
-def _batches(path: str) -> Iterator[pa.RecordBatch]:
-    fs, inner = arrow_path(path)
-    with fs.open_input_file(inner) as f:
-        if path.endswith(".orc"):
-            file = orc.ORCFile(f)
-            for i in range(file.nstripes):
-                yield file.read_stripe(i)
-        else:
-            yield from pq.ParquetFile(f).iter_batches()
-
-
 def _plain(schema: pa.Schema) -> pa.Schema:
     """A schema without the engine's notes."""
     return pa.schema([f.remove_metadata() for f in schema])
@@ -175,7 +164,7 @@ def write_file(frame: OrderedFrame, path: str, fmt: str = "parquet", compression
             if listed:
                 out = _Stream(whole, _plain(open_footer(listed[0]).schema), fmt, compression, ordering)
                 for p in listed:
-                    for batch in _batches(p):
+                    for batch in file_batches(p):
                         out.append(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([out.close()])], names=["n"])
 

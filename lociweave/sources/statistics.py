@@ -65,6 +65,18 @@ def read_columns(path: str, columns: list[str]) -> pa.Table:
         return orc.ORCFile(f).read(columns) if path.endswith(".orc") else pq.ParquetFile(f).read(columns)
 
 
+def file_batches(path: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a file in their order, some at a time."""
+    fs, inner = arrow_path(path)
+    with fs.open_input_file(inner) as f:
+        if path.endswith(".orc"):
+            file = orc.ORCFile(f)
+            for i in range(file.nstripes):
+                yield file.read_stripe(i)
+        else:
+            yield from pq.ParquetFile(f).iter_batches()
+
+
 def _read(path: str) -> FileStatistics:
     footer = open_footer(path)
     if footer.parquet is None:

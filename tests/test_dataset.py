@@ -55,10 +55,13 @@ def test_hidden_and_empty_files(spark, tmp_path):
     ds = Dataset.discover(spark, root, "locus")
     assert [(t.name, len(ds.files(t))) for t in ds.tables] == [(f"s={SAMPLES[0]}", 5), ("s=none", 1)]
     assert ds.frame(ds.tables[0]).count() == 8 and ds.frame(ds.tables[1]).count() == 0
-    # The engine would pass over a name that begins with an underscore; its rows must not be lost silently.
+    # The engine would pass over a name that begins with an underscore; only a dot hides.
     write(f"{root}/s={SAMPLES[0]}/_seen.parquet", arrow([(3, 1, "T")]))
-    with pytest.raises(DatasetError, match="underscore"):
-        ds.frame(ds.tables[0])
+    ds = Dataset.discover(spark, root, "locus")
+    rows = ds.frame(ds.tables[0])
+    assert rows.count() == 9 and [tuple(r) for r in rows.where("position = 1").collect()] == [("chr03", 1, "T", SAMPLES[0])]
+    write(f"{root}/s=only/_one.parquet", arrow([(5, 5, "A")]))
+    assert Dataset.discover(spark, root, "locus").read().where("s = 'only'").count() == 1
 
 
 @pytest.mark.parametrize(
