@@ -333,6 +333,9 @@ SQL = {
     "pareto_datasets": """WITH b AS (SELECT dataset_path, min(run_ns) AS least_ns, min(peak_rss_bytes) AS least_rss FROM run_records GROUP BY 1)
  SELECT *, NOT EXISTS (SELECT 1 FROM b o WHERE o.least_ns <= b.least_ns AND o.least_rss <= b.least_rss AND (o.least_ns < b.least_ns OR o.least_rss < b.least_rss)) AS pareto FROM b""",
     "run_status_summary": "SELECT status, action, count(*)::BIGINT AS n, min(epoch_us(started_at)) AS first_us, max(epoch_us(started_at)) AS last_us, coalesce(sum(rows_written), 0)::BIGINT AS rows_written FROM run_records GROUP BY ALL",
+    "order_check_violations": """WITH f AS (SELECT row_number() OVER () - 1 AS i, contig AS c, position AS p, s FROM refs),
+ n AS (SELECT *, lag(c) OVER w AS c0, lag(p) OVER w AS p0, lag(s) OVER w AS s0 FROM f WINDOW w AS (ORDER BY i))
+ SELECT 0::BIGINT AS partition, i AS row_in_partition FROM n WHERE i > 0 AND (c0 > c OR (c0 IS NULL AND c IS NOT NULL) OR (c0 IS NOT DISTINCT FROM c AND (p0 > p OR (p0 IS NULL AND p IS NOT NULL) OR (p0 IS NOT DISTINCT FROM p AND (s0 > s OR (s0 IS NULL AND s IS NOT NULL))))))""",
     "order_check_sorted": "SELECT 0::BIGINT AS partition, 0::BIGINT AS row_in_partition WHERE FALSE",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL",
 }
