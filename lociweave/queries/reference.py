@@ -11,6 +11,7 @@ from ..operators.joins import interval_join
 from ..operators.replay import Grid, calibration, overview, pareto, replay, shadow_series, stops_over_checks
 from ..operators.running import numbered
 from ..operators.split_points import row_balanced
+from ..operators.throughput import t_975
 from ..plans.ordering import OrderedFrame, held, order_violations
 from ..sources.conversions import defined_counts, normalized_contigs, scaled
 from ..sources.generators import grouped_counts, range_table
@@ -174,7 +175,8 @@ def _shadow(spark: SparkSession, d: str) -> DataFrame:
 
 def tightness_checks(spark: SparkSession, d: str) -> DataFrame:
     """The checks of every run under all sixteen pairs of batch duration and window groups (less those below its poll period)."""
-    return replay(_shadow(spark, d), "checks")
+    found = replay(_shadow(spark, d), "checks")
+    return found.withColumns({"steady_state_throughput": F.round("steady_state_throughput", 3), "relative_half_width": F.round("relative_half_width", 6)})
 
 
 def replay_baselines(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +184,9 @@ def replay_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_stops(spark: SparkSession, d: str) -> DataFrame:
-    return replay(_shadow(spark, d), "replays")
+    """When each run would have stopped under each of the 576 settings."""
+    found = replay(_shadow(spark, d), "replays")
+    return found.withColumns({"would_be_steady_state_throughput": F.round("would_be_steady_state_throughput", 3), "would_be_relative_half_width": F.round("would_be_relative_half_width", 6)})
 
 
 def settings_overview(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +287,39 @@ DONE = "status = 'completed' AND run_ns > 0 AND input_tables > 0 AND threads > 0
 _W = "(rows_written / (run_ns / 1e9))"
 _CHECKS = ", ".join(f"('{run}', {i}, {(i + 1) * 10**9}, {'NULL' if i == 0 else 10**9}, {'NULL' if w is None else w / 1000}, {ENDS[run] or 'NULL'})" for run, ws in CHECKS.items() for i, w in enumerate(ws))
 _SETTINGS = ", ".join(str(x) for x in STOP_SETTINGS)
+#: The rule in SQL: batch ends by recursion, every tail of every check's rates, parts snapped to the nearest sample.
+RULE = f"""WITH RECURSIVE l AS (SELECT run_id, arg_max(coalesce(poll_period_ns, 100000000), started_at) AS poll, arg_max(coalesce(max_duration_ns, 300000000000), started_at) AS longest, arg_max(coalesce(first_partition_end_ns, -1), started_at) AS ended FROM run_records WHERE action = 'shadow' GROUP BY run_id),
+ s AS (SELECT run_id, elapsed_ns AS t, max("rows") AS n, row_number() OVER (PARTITION BY run_id ORDER BY elapsed_ns) - 1 AS i FROM progress_samples SEMI JOIN l USING (run_id) WHERE elapsed_ns IS NOT NULL AND "rows" IS NOT NULL GROUP BY run_id, elapsed_ns),
+ z AS (SELECT run_id, min(t) AS t FROM s GROUP BY run_id), b(d) AS (VALUES (500000000::BIGINT), (1000000000), (2000000000), (5000000000)),
+ e AS (SELECT run_id, d, t, 0 AS k FROM z JOIN l USING (run_id), b WHERE d >= poll UNION ALL
+       SELECT e.run_id, e.d, s.t, e.k + 1 FROM e JOIN s ON s.run_id = e.run_id AND s.t >= e.t + e.d QUALIFY row_number() OVER (PARTITION BY e.run_id, e.d ORDER BY s.t) = 1),
+ x AS (SELECT e.run_id, d, k, e.t, s.n, s.i, lag(e.t) OVER w AS t0, lag(s.n) OVER w AS n0 FROM e JOIN s ON s.run_id = e.run_id AND s.t = e.t WINDOW w AS (PARTITION BY e.run_id, d ORDER BY k)),
+ r AS (SELECT run_id, d, k, greatest(n - n0, 0) / ((t - t0) / 1e9) AS rate FROM x WHERE k > 0),
+ v AS (SELECT c.run_id, c.d, c.k, a.k - 1 AS cut, var_pop(r.rate) / count(*) AS err FROM r c JOIN r a ON a.run_id = c.run_id AND a.d = c.d AND a.k <= c.k - 4 JOIN r ON r.run_id = c.run_id AND r.d = c.d AND r.k BETWEEN a.k AND c.k GROUP BY ALL),
+ m AS (SELECT run_id, d, k, arg_min(cut, (err, cut)) AS cut FROM v GROUP BY ALL),
+ g AS (SELECT c.run_id, c.d, c.k, c.t, c.i, c.n, CASE WHEN 2 * m.cut <= c.k THEN m.cut END AS cut FROM x c LEFT JOIN m USING (run_id, d, k) WHERE c.k > 0),
+ o AS (SELECT g.*, a.t AS t1, a.n AS n1, a.i AS i1 FROM g JOIN x a ON a.run_id = g.run_id AND a.d = g.d AND a.k = coalesce(g.cut, 0)),
+ q(q, tt) AS (VALUES {", ".join(f"({n}, {t_975(n - 1)!r}::DOUBLE)" for n in Grid().window_groups)}),
+ p AS (SELECT run_id, d, k, q, tt, h, t1 + (t - t1) * h // q AS aim FROM o, q, (SELECT unnest(generate_series(0, 40)) AS h) WHERE h <= q AND q <= i - i1),
+ f AS (SELECT p.*, s.t AS lt, s.n AS ln FROM p ASOF JOIN s ON s.run_id = p.run_id AND s.t <= p.aim),
+ y AS (SELECT f.*, s.t AS rt, s.n AS rn FROM f ASOF JOIN s ON s.run_id = f.run_id AND s.t >= f.aim),
+ u AS (SELECT run_id, d, k, q, tt, h, CASE WHEN rt - aim < aim - lt THEN rt ELSE lt END AS t, CASE WHEN rt - aim < aim - lt THEN rn ELSE ln END AS n FROM y),
+ j AS (SELECT *, t - lag(t) OVER w AS ns, greatest(n - lag(n) OVER w, 0) AS grown FROM u WINDOW w AS (PARTITION BY run_id, d, k, q ORDER BY h)),
+ w AS (SELECT run_id, d, k, q, any_value(tt) AS tt, min(ns) AS least, avg(grown / (ns / 1e9)) AS mean, var_samp(grown / (ns / 1e9)) AS var FROM j WHERE h > 0 GROUP BY ALL),
+ c AS (SELECT o.run_id, o.d, q.q, o.k - 1 AS check_index, o.i, o.t, CASE WHEN cut IS NOT NULL THEN t1 END AS warm, CASE WHEN o.t > t1 THEN greatest(o.n - n1, 0) / ((o.t - t1) / 1e9) END AS rate, CASE WHEN least > 0 AND mean > 0 THEN w.tt * sqrt(var / q.q) / mean END AS width FROM o CROSS JOIN q LEFT JOIN w ON w.run_id = o.run_id AND w.d = o.d AND w.k = o.k AND w.q = q.q)
+"""
+STOPS = RULE + """, cap AS (SELECT s.run_id, min(t) AS cap FROM s JOIN l USING (run_id) WHERE t >= longest GROUP BY 1),
+ sets AS (SELECT a.p, b.c, e.m FROM (VALUES (0.01::DOUBLE), (0.02), (0.05)) a(p), (VALUES (1::BIGINT), (3), (5), (10)) b(c), (VALUES (10000000000::BIGINT), (20000000000), (60000000000)) e(m)),
+ k AS (SELECT c.*, l.ended FROM c JOIN l USING (run_id) WHERE l.ended < 0 OR t < l.ended),
+ pr AS (SELECT k.*, p, coalesce(max(CASE WHEN NOT coalesce(warm IS NOT NULL AND width < p, FALSE) THEN check_index END) OVER (PARTITION BY run_id, d, q, p ORDER BY check_index), -1) AS failed FROM k, (SELECT DISTINCT p FROM sets)),
+ hit AS (SELECT run_id, d, q, pr.p, sets.c, m, min(check_index) AS check_index FROM pr JOIN sets ON sets.p = pr.p WHERE check_index - failed >= sets.c AND t >= m GROUP BY ALL),
+ every AS (SELECT l.run_id, b.d, q.q, sets.p, sets.c, sets.m, ended FROM l SEMI JOIN s USING (run_id), b, q, sets WHERE b.d >= poll)
+ SELECT v.run_id, v.d AS batch_duration_ns, v.q::BIGINT AS window_groups, v.p AS precision, v.c AS consecutive_checks, v.m AS min_duration_ns, c.t AS would_stop_ns, round(c.rate, 3) AS would_be_steady_state_throughput, round(c.width, 6) AS would_be_relative_half_width, c.warm AS would_be_warmup_end_ns,
+  CASE WHEN c.t IS NOT NULL AND (cap IS NULL OR c.t <= cap) THEN 'steady' WHEN cap IS NOT NULL AND (v.ended < 0 OR cap < v.ended) THEN 'capped' ELSE 'completed' END AS probe_stop_reason
+ FROM every v LEFT JOIN cap USING (run_id) LEFT JOIN hit h ON h.run_id = v.run_id AND h.d = v.d AND h.q = v.q AND h.p = v.p AND h.c = v.c AND h.m = v.m LEFT JOIN c ON c.run_id = h.run_id AND c.d = h.d AND c.q = h.q AND c.check_index = h.check_index"""
 SQL = {
+    "tightness_checks": RULE + "SELECT run_id, d AS batch_duration_ns, q::BIGINT AS window_groups, check_index::BIGINT AS check_index, i AS sample_index, t AS elapsed_ns, warm AS warmup_end_ns, round(rate, 3) AS steady_state_throughput, round(width, 6) AS relative_half_width FROM c",
+    "replay_stops": STOPS,
     "combine_refs_union": REFS + "SELECT * FROM r",
     "combine_refs_grouped": REFS + "SELECT *, CASE WHEN right(s, 1) IN ('0','1','2','3','4','5') THEN 0 WHEN right(s, 1) IN ('6','7') THEN 1 ELSE 2 END AS group_index FROM r",
     "combine_refs_interval": REFS + f"SELECT *, {INDEX} AS interval_index FROM r",
