@@ -180,7 +180,9 @@ def tightness_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_baselines(spark: SparkSession, d: str) -> DataFrame:
-    return replay(_shadow(spark, d), "baselines")
+    """What each run shows at its end under every pair, and when it would have been capped."""
+    found = replay(_shadow(spark, d), "baselines")
+    return found.withColumns({"steady_state_throughput": F.round("steady_state_throughput", 3), "relative_half_width": F.round("relative_half_width", 6)})
 
 
 def replay_stops(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +192,9 @@ def replay_stops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settings_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Runs, stops, errors and coverage of each of the 576 settings."""
     shadow = _shadow(spark, d)
-    return overview(replay(shadow, "replays"), replay(shadow, "baselines"))
+    return overview(replay(shadow, "replays"), replay(shadow, "baselines")).withColumn("worst_error", F.round("worst_error", 6))
 
 
 def replay_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +275,7 @@ def streamed_stops(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_path(spark, "stops")
     run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    return spark.read.schema(found.schema).parquet(out).withColumn("steady_state_throughput", F.round("steady_state_throughput", 3))
 
 
 NAMES = ["combine_refs_union", "combine_refs_grouped", "combine_refs_interval", "interval_row_counts", "combine_alleles", "locus_pack", "locus_unpack", "locus_filter_contig_position", "locus_filter_packed", "contig_filter", "row_balanced_split_points", "row_numbers", "sample_set", "sample_overlap", "sample_tables", "incomplete_tables", "restrict_inputs", "refs_topk", "range_group_count", "range_join", "membership_semi", "membership_anti", "interval_join_loci", "explode_alleles", "entries_defined_counts", "scaled_contigs", "sample_rates", "tightness_checks", "replay_baselines", "replay_stops", "settings_overview", "replay_grid", "stop_over_checks", "probe_stop_reason", "normalized_throughput", "sweep_report", "calibration_errors", "pareto_datasets", "run_status_summary", "order_check_violations", "order_check_sorted", "event_windows", "streamed_stops"]
@@ -317,9 +320,40 @@ STOPS = RULE + """, cap AS (SELECT s.run_id, min(t) AS cap FROM s JOIN l USING (
  SELECT v.run_id, v.d AS batch_duration_ns, v.q::BIGINT AS window_groups, v.p AS precision, v.c AS consecutive_checks, v.m AS min_duration_ns, c.t AS would_stop_ns, round(c.rate, 3) AS would_be_steady_state_throughput, round(c.width, 6) AS would_be_relative_half_width, c.warm AS would_be_warmup_end_ns,
   CASE WHEN c.t IS NOT NULL AND (cap IS NULL OR c.t <= cap) THEN 'steady' WHEN cap IS NOT NULL AND (v.ended < 0 OR cap < v.ended) THEN 'capped' ELSE 'completed' END AS probe_stop_reason
  FROM every v LEFT JOIN cap USING (run_id) LEFT JOIN hit h ON h.run_id = v.run_id AND h.d = v.d AND h.q = v.q AND h.p = v.p AND h.c = v.c AND h.m = v.m LEFT JOIN c ON c.run_id = h.run_id AND c.d = h.d AND c.q = h.q AND c.check_index = h.check_index"""
+ENDS_SQL = RULE + """, at_end AS (SELECT s.run_id, max(t) AS t, max(i) AS i, arg_max(n, t) AS n FROM s JOIN l USING (run_id) WHERE l.ended < 0 OR t <= l.ended GROUP BY s.run_id),
+ kmax AS (SELECT a.run_id, b.d, coalesce(max(x.k), 0) AS k FROM at_end a JOIN l USING (run_id) JOIN b ON b.d >= l.poll LEFT JOIN x ON x.run_id = a.run_id AND x.d = b.d AND x.t <= a.t GROUP BY ALL),
+ bs AS (SELECT kmax.run_id, kmax.d, kmax.k, CASE WHEN 2 * m.cut <= kmax.k THEN m.cut END AS cut FROM kmax LEFT JOIN m ON m.run_id = kmax.run_id AND m.d = kmax.d AND m.k = kmax.k),
+ bo AS (SELECT bs.run_id, bs.d, bs.k, bs.cut, a.t, a.n, a.i, x.t AS t1, x.n AS n1, x.i AS i1 FROM bs JOIN at_end a USING (run_id) JOIN x ON x.run_id = bs.run_id AND x.d = bs.d AND x.k = coalesce(bs.cut, 0)),
+ bp AS (SELECT run_id, d, q, tt, h, t1 + (t - t1) * h // q AS aim FROM bo, q, (SELECT unnest(generate_series(0, 40)) AS h) WHERE h <= q AND q <= i - i1),
+ bf AS (SELECT bp.*, s.t AS lt, s.n AS ln FROM bp ASOF JOIN s ON s.run_id = bp.run_id AND s.t <= bp.aim),
+ bw AS (SELECT bf.*, s.t AS rt, s.n AS rn FROM bf ASOF JOIN s ON s.run_id = bf.run_id AND s.t >= bf.aim),
+ bu AS (SELECT run_id, d, q, tt, h, CASE WHEN rt - aim < aim - lt THEN rt ELSE lt END AS t, CASE WHEN rt - aim < aim - lt THEN rn ELSE ln END AS n FROM bw),
+ bj AS (SELECT *, t - lag(t) OVER w AS ns, greatest(n - lag(n) OVER w, 0) AS grown FROM bu WINDOW w AS (PARTITION BY run_id, d, q ORDER BY h)),
+ bv AS (SELECT run_id, d, q, any_value(tt) AS tt, min(ns) AS least, avg(grown / (ns / 1e9)) AS mean, var_samp(grown / (ns / 1e9)) AS var FROM bj WHERE h > 0 GROUP BY ALL),
+ own AS (SELECT run_id, arg_max(coalesce("precision", 0.02), started_at) AS p, arg_max(coalesce(consecutive_checks, 3), started_at) AS c, arg_max(coalesce(min_duration_ns, 20000000000), started_at) AS m FROM run_records WHERE action = 'shadow' GROUP BY run_id),
+ streak AS (SELECT c.run_id, c.d, c.q, c.check_index, c.i, c.check_index - coalesce(max(CASE WHEN NOT coalesce(warm IS NOT NULL AND width < p, FALSE) THEN check_index END) OVER (PARTITION BY c.run_id, d, q ORDER BY check_index), -1) AS run FROM c JOIN own USING (run_id)),
+ ends AS (SELECT bo.*, q.q, l.ended, l.longest, CASE WHEN bo.t > t1 THEN greatest(bo.n - n1, 0) / ((bo.t - t1) / 1e9) END AS rate, CASE WHEN least > 0 AND mean > 0 THEN bv.tt * sqrt(var / q.q) / mean END AS width,
+   l.ended >= 0 OR bo.t >= l.longest OR coalesce(streak.run >= own.c AND bo.t >= own.m AND streak.i = bo.i, FALSE) AS decided
+  FROM bo CROSS JOIN q JOIN l USING (run_id) JOIN own USING (run_id) LEFT JOIN bv ON bv.run_id = bo.run_id AND bv.d = bo.d AND bv.q = q.q LEFT JOIN streak ON streak.run_id = bo.run_id AND streak.d = bo.d AND streak.q = q.q AND streak.check_index = bo.k - 1),
+ cap0 AS (SELECT s.run_id, min(t) AS cap FROM s JOIN l USING (run_id) WHERE t >= longest GROUP BY 1),
+ pairs AS (SELECT DISTINCT l.run_id, b.d, q.q FROM l SEMI JOIN s USING (run_id), b, q WHERE b.d >= poll),
+ baselines AS (SELECT p.run_id, p.d, p.q, CASE WHEN decided THEN rate END AS rate, CASE WHEN decided THEN width END AS width, CASE WHEN decided AND cut IS NOT NULL THEN t1 END AS warm, CASE WHEN decided THEN e.t END AS t, cap FROM pairs p LEFT JOIN ends e ON e.run_id = p.run_id AND e.d = p.d AND e.q = p.q LEFT JOIN cap0 ON cap0.run_id = p.run_id)
+"""
+OVERVIEW = ENDS_SQL + ", replays AS (" + STOPS.removeprefix(RULE).replace(", cap AS (", "WITH cap AS (", 1).replace("round(c.rate, 3)", "c.rate").replace("round(c.width, 6)", "c.width") + """),
+ joined AS (SELECT r.*, e.rate AS fin, probe_stop_reason = 'steady' AS st, would_be_steady_state_throughput AS wt, would_be_relative_half_width AS wh FROM replays r JOIN baselines e ON e.run_id = r.run_id AND e.d = r.batch_duration_ns AND e.q = r.window_groups),
+ combos AS (SELECT batch_duration_ns, window_groups, precision, consecutive_checks, min_duration_ns, count(*)::BIGINT AS runs, count(*) FILTER (st)::BIGINT AS steady, quantile_cont(CASE WHEN st THEN would_stop_ns::DOUBLE END, 0.5) AS median_stop_ns, max(CASE WHEN st THEN abs(wt / fin - 1) END) AS err,
+   count(*) FILTER (st AND wh IS NOT NULL AND wt * (1 - wh) <= fin AND fin <= wt * (1 + wh))::BIGINT AS covered, count(*) FILTER (st AND wh IS NOT NULL)::BIGINT AS intervals FROM joined GROUP BY 1, 2, 3, 4, 5)
+ SELECT c.* EXCLUDE (err), round(err, 6) AS worst_error, median_stop_ns IS NOT NULL AND err IS NOT NULL AND NOT EXISTS (SELECT 1 FROM combos o WHERE o.median_stop_ns <= c.median_stop_ns AND o.err <= c.err AND (o.median_stop_ns < c.median_stop_ns OR o.err < c.err)) AS pareto FROM combos c"""
+#: The rule over all runs of the stream under the usual settings: the first of samples at one time counts, and stops are
+#: sought at batch ends of a second. Runs of these tables end long before the cap.
+STREAMED = RULE.replace("l AS (SELECT run_id, arg_max(coalesce(poll_period_ns, 100000000), started_at) AS poll, arg_max(coalesce(max_duration_ns, 300000000000), started_at) AS longest, arg_max(coalesce(first_partition_end_ns, -1), started_at) AS ended FROM run_records WHERE action = 'shadow' GROUP BY run_id)", "l AS (SELECT DISTINCT run_id, 1000000000 AS poll FROM progress_samples)").replace('max("rows") AS n', 'min("rows") AS n') + """, k AS (SELECT *, check_index - coalesce(max(CASE WHEN NOT coalesce(warm IS NOT NULL AND width < 0.02, FALSE) THEN check_index END) OVER (PARTITION BY run_id ORDER BY check_index), -1) AS run FROM c WHERE d = 1000000000 AND q = 10)
+ SELECT run_id, 'steady' AS stop_reason, t AS stopped_at_ns, round(rate, 3) AS steady_state_throughput, warm AS warmup_end_ns, i + 1 AS samples FROM k WHERE run >= 3 AND t >= 20000000000 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY t) = 1"""
 SQL = {
     "tightness_checks": RULE + "SELECT run_id, d AS batch_duration_ns, q::BIGINT AS window_groups, check_index::BIGINT AS check_index, i AS sample_index, t AS elapsed_ns, warm AS warmup_end_ns, round(rate, 3) AS steady_state_throughput, round(width, 6) AS relative_half_width FROM c",
     "replay_stops": STOPS,
+    "replay_baselines": ENDS_SQL + "SELECT run_id, d AS batch_duration_ns, q::BIGINT AS window_groups, round(rate, 3) AS steady_state_throughput, round(width, 6) AS relative_half_width, warm AS warmup_end_ns, t AS window_end_ns, cap AS capped_at_ns FROM baselines",
+    "settings_overview": OVERVIEW,
+    "streamed_stops": STREAMED,
     "combine_refs_union": REFS + "SELECT * FROM r",
     "combine_refs_grouped": REFS + "SELECT *, CASE WHEN right(s, 1) IN ('0','1','2','3','4','5') THEN 0 WHEN right(s, 1) IN ('6','7') THEN 1 ELSE 2 END AS group_index FROM r",
     "combine_refs_interval": REFS + f"SELECT *, {INDEX} AS interval_index FROM r",
