@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.locus import Locus, LocusInterval, SplitPoints
+from ..functions.locus import Locus, LocusInterval, SplitPoints, contig_ordinal
 from ..operators import reports
 from ..operators.joins import interval_join
 from ..operators.replay import overview, stops_over_checks
@@ -156,6 +156,28 @@ def metrics_folded(spark: SparkSession, d: str) -> DataFrame:
     return reports.folded_metrics(runs, ["dataset_path"]).select("dataset_path", "metric", "value")
 
 
+def metric_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Steady share of the runs' time and rows a byte of peak memory, by data set."""
+    runs = table(spark, d, "run_records").select("dataset_path", F.expr("stack(4, 'warmup', warmup_end_ns, 'window', window_end_ns, 'rows', rows_written, 'peak', peak_rss_bytes) AS (metric, value)"))
+    found = reports.metric_ratios(runs, ["dataset_path"], {"warmup_share": ("warmup", "window"), "rows_a_byte": ("rows", "peak")})
+    return found.select("dataset_path", "ratio", "part", "whole", F.round("value", 9).alias("value"))
+
+
+def sweep_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by cell and state, joined to what their runners saw; every seventh exit counts as bad here."""
+    runs = table(spark, d, "run_records").where("run_id LIKE '%-%'").groupBy("run_id").agg(F.max(F.struct("status", "run_ns")).alias("x")).select("run_id", "x.*")
+    runs = runs.selectExpr("run_id", "status", "run_ns", "regexp_extract(run_id, '^([^-]+)-', 1) AS cell", "regexp_extract(run_id, '^[^-]+-(.*)$', 1) AS runner")
+    runners = runs.selectExpr("runner", "'m' AS machine_type", "2L AS threads_per_core", "1L AS repetition", "array(cell) AS cell_order", "array(named_struct('cell', cell, 'run_id', run_id, 'exit_status', if(run_ns % 7 = 0, 1L, 0L), 'seconds', run_ns / 1e9D)) AS cells", "'done' AS status")
+    records = runs.selectExpr("run_id", "status", "1L AS input_tables", "1L AS threads", "1L AS rows_written", "run_ns", "1D AS steady_state_throughput", "1L AS peak_rss_bytes")
+    return reports.cells(runners, records).groupBy("cell", "state").agg(F.count("*").alias("n"))
+
+
+def merge_join_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of refs and of locus_rows by contig ordinal, joined by merging their order."""
+    counted = lambda name, n: table(spark, d, name).select(contig_ordinal(F.col("contig")).alias("contig_ordinal")).where("contig_ordinal IS NOT NULL").groupBy("contig_ordinal").agg(F.count("*").alias(n))
+    return counted("refs", "blocks").join(counted("locus_rows", "loci").hint("merge"), "contig_ordinal")
+
+
 SETTINGS = "batch_duration_ns, window_groups, precision, consecutive_checks, min_duration_ns"
 
 
@@ -189,7 +211,7 @@ def files_listed(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t.name, len(Files(spark).data_files(t.path, ".parquet")) > 0) for t in ds.tables], "name string, has_files boolean")
 
 
-NAMES = ["dataset_rows", "dataset_tables", "dataset_restricted", "dataset_interval", "dataset_within", "dataset_reopened", "dataset_samples", "dataset_file_order", "run_written", "run_record", "run_intervals", "run_collected", "run_explained", "run_shadowed_rows", "order_check_strict", "metrics_folded", "recorded_overview", "stops_over_samples", "interval_join_full", "files_listed"]
+NAMES = ["dataset_rows", "dataset_tables", "dataset_restricted", "dataset_interval", "dataset_within", "dataset_reopened", "dataset_samples", "dataset_file_order", "run_written", "run_record", "run_intervals", "run_collected", "run_explained", "run_shadowed_rows", "order_check_strict", "metrics_folded", "metric_ratios", "sweep_cells", "merge_join_contigs", "recorded_overview", "stops_over_samples", "interval_join_full", "files_listed"]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 REFS = """
@@ -216,6 +238,13 @@ SQL = {
     "order_check_strict": """SELECT sum(c - 1)::BIGINT AS n FROM (SELECT count(*) AS c FROM (SELECT coalesce(printf('chr%02d', TRY_CAST(regexp_extract(contig, '^chr0*([0-9]+)$', 1) AS INT)), contig) AS contig, position, s FROM refs) GROUP BY contig, position, s)""",
     "metrics_folded": """WITH m AS (SELECT dataset_path, unnest(['startSample', 'endWarmup', 'peakMemory', 'rowsWritten']) AS metric, unnest([poll_period_ns, warmup_end_ns, peak_rss_bytes, rows_written]) AS value FROM run_records)
  SELECT dataset_path, metric, CASE metric WHEN 'startSample' THEN min(value) WHEN 'rowsWritten' THEN sum(value)::BIGINT ELSE max(value) END AS value FROM m GROUP BY dataset_path, metric""",
+    "metric_ratios": """WITH m AS (SELECT dataset_path, sum(warmup_end_ns)::BIGINT AS w, sum(window_end_ns)::BIGINT AS e, sum(rows_written)::BIGINT AS r, sum(peak_rss_bytes)::BIGINT AS p FROM run_records GROUP BY 1),
+ x AS (SELECT dataset_path, 'warmup_share' AS ratio, w AS part, e AS whole FROM m UNION ALL SELECT dataset_path, 'rows_a_byte', r, p FROM m)
+ SELECT *, round(part::DOUBLE / nullif(whole, 0), 9) AS value FROM x WHERE part IS NOT NULL AND whole IS NOT NULL""",
+    "sweep_cells": """WITH r AS (SELECT run_id, max((status, run_ns)) AS x FROM run_records WHERE run_id LIKE '%-%' GROUP BY run_id)
+ SELECT regexp_extract(run_id, '^([^-]+)-', 1) AS cell, CASE WHEN x[1] <> 'completed' OR x[2] % 7 = 0 THEN 'failed' ELSE 'ok' END AS state, count(*)::BIGINT AS n FROM r GROUP BY ALL""",
+    "merge_join_contigs": """WITH a AS (SELECT TRY_CAST(regexp_extract(contig, '^chr0*([0-9]+)$', 1) AS INT) AS o, count(*) AS n FROM refs GROUP BY 1), b AS (SELECT TRY_CAST(regexp_extract(contig, '^chr0*([0-9]+)$', 1) AS INT) AS o, count(*) AS n FROM locus_rows GROUP BY 1)
+ SELECT a.o AS contig_ordinal, a.n::BIGINT AS blocks, b.n::BIGINT AS loci FROM a JOIN b ON a.o = b.o""",
     "recorded_overview": f"""WITH x AS (SELECT DISTINCT run_id, {SETTINGS}, would_stop_ns AS t, would_be_steady_state_throughput AS w, would_be_relative_half_width AS h, steady_state_throughput AS e0 FROM run_records WHERE action = 'shadow' AND batch_duration_ns IS NOT NULL AND window_groups IS NOT NULL),
  e AS (SELECT run_id, batch_duration_ns, window_groups, max(e0) AS e FROM x GROUP BY ALL), y AS (SELECT x.*, e.e, t IS NOT NULL AS st FROM x JOIN e USING (run_id, batch_duration_ns, window_groups)),
  c AS (SELECT {SETTINGS}, count(*)::BIGINT AS runs, count(*) FILTER (st)::BIGINT AS steady, round(quantile_cont(t::DOUBLE, 0.5), 1) AS median_stop_ns, max(CASE WHEN st THEN abs(w / e - 1) END) AS err, count(*) FILTER (st AND h IS NOT NULL AND w * (1 - h) <= e AND e <= w * (1 + h))::BIGINT AS covered, count(*) FILTER (st AND h IS NOT NULL)::BIGINT AS intervals FROM y GROUP BY {SETTINGS})
