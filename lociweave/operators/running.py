@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -75,20 +77,19 @@ def running_total(df: DataFrame, group: list[str], order: list[str | Column], we
     schema = T.StructType([*rows.schema.fields, T.StructField(LOCAL, T.LongType())])
     local = rows.mapInArrow(_local_totals(len(group), len(group) + len(rest)), schema)
 
-    def joined(df: DataFrame, other: DataFrame, on: Column | None, how: str) -> DataFrame:
-        for i, g in enumerate(group):
-            same = local[g].eqNullSafe(other[f"__g{i}"])
-            on = same if on is None else on & same
-        return df.crossJoin(F.broadcast(other)) if on is None else df.join(other, on, how)
+    def same_group(other: DataFrame) -> list[Column]:
+        return [local[g].eqNullSafe(other[f"__g{i}"]) for i, g in enumerate(group)]
 
     # Only a partition's first group can go on from another partition: at most one row a partition.
     carried = F.broadcast(totals.select(PART, *named, before.alias(OFFSET)).where(F.col(OFFSET) != 0))
-    out = joined(local, carried, local[PART] == carried[PART], "left")
+    out = local.join(carried, reduce(and_, [local[PART] == carried[PART], *same_group(carried)]), "left")
     columns = [*(local[c] for c in df.columns), (local[LOCAL] + F.coalesce(carried[OFFSET], F.lit(0))).alias(name)]
-    if total:
+    if total and not group:
+        columns.append(F.lit(totals.agg(F.sum(LOCAL)).first()[0]).cast("bigint").alias(total))
+    elif total:
         # One row a group; the engine broadcasts it or not, as its size has it.
         sums = totals.groupBy(*named).agg(F.sum(LOCAL).alias(TOTAL))
-        out = joined(out, sums, None, "inner")
+        out = out.join(sums, reduce(and_, same_group(sums)))
         columns.append(sums[TOTAL].alias(total))
     return out.select(*columns)
 

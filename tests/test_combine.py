@@ -242,6 +242,28 @@ def test_sweep_report(spark, tmp_path):
     assert "Still" not in reports.report(figures, found, runners.where("runner = 'r1'"), ["cell"])
 
 
+@pytest.mark.parametrize("width", [4, 1 << 14])
+def test_full_semi_and_anti_interval_joins(spark, width):
+    points = spark.createDataFrame([("a", 5, 1), ("a", 5, 1), ("a", 50, 2), ("b", 7, 3), (None, 5, 4), ("a", None, 5)], "k string, at bigint, i int")
+    blocks = spark.createDataFrame([("a", 0, 9, "x"), ("a", 4, 6, "y"), ("a", 9, 4, "w"), ("c", 0, 9, "z"), (None, 0, 9, "n"), ("a", None, 9, "m")], "k string, low bigint, high bigint, name string")
+    join = lambda how: interval_join(points, blocks, ["k"], "at", "low", "high", bin_width=width, how=how)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    full = sorted(((r.k, r.at, r.i, r.name) for r in join("full").collect()), key=key)
+    matched = [("a", 5, 1, n) for n in "xxyy"]
+    alone = [("a", 50, 2, None), ("b", 7, 3, None), (None, 5, 4, None), ("a", None, 5, None)]
+    assert full == sorted([*matched, *alone, ("a", None, None, "w"), ("c", None, None, "z"), (None, None, None, "n"), ("a", None, None, "m")], key=key)
+    assert sorted(r.i for r in join("left_semi").collect()) == [1, 1] and sorted(r.i for r in join("left_anti").collect()) == [2, 3, 4, 5]
+    assert join("left").count() == 8 and join("inner").count() == 4
+    none = interval_join(points, blocks.where("false"), ["k"], "at", "low", "high", how="full")
+    assert none.count() == 6 and interval_join(points.where("false"), blocks, ["k"], "at", "low", "high", how="full").count() == 6
+
+
+def test_metric_ratios(spark):
+    rows = [("a", "x", 3), ("a", "x", 4), ("a", "y", 2), ("b", "x", 1), ("c", "x", 5), ("c", "y", 0)]
+    got = reports.metric_ratios(spark.createDataFrame(rows, "g string, metric string, value bigint"), ["g"], {"r": ("x", "y")})
+    assert {tuple(r) for r in got.collect()} == {("a", "r", 7, 2, 3.5), ("c", "r", 5, 0, None)}
+
+
 def test_metrics_fold(spark):
     rows = [("a", "rows", 3), ("a", "rows", 4), ("a", "startTime", 9), ("a", "startTime", 5), ("a", "endTime", 7), ("a", "endTime", 8), ("a", "peakMemory", 2)]
     got = reports.folded_metrics(spark.createDataFrame(rows, "operator string, metric string, value bigint"), ["operator"])

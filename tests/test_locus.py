@@ -57,3 +57,17 @@ def test_predicate_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t")).where(LocusInterval(Locus(1, 3)).predicate(contig=F.col("contig"), position=F.col("position"))).select("position")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(GreaterThan(contig,chr01)" in plan and "other" not in plan.split("ReadSchema")[1]
+
+
+def test_named_contigs_reach_the_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lociweave.functions.locus import named_contig
+
+    names = ["chr3", "chr03", "chr003", "chr13", "chr30", "chr", "x3", "chr3a", None, "chr12", "chr99999999999"]
+    spark.createDataFrame([(n,) for n in names], "contig string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = lambda r: sorted(x.contig for x in df.where(named_contig(F.col("contig"), r)).collect())
+    assert got(range(3, 4)) == ["chr003", "chr03", "chr3"] and got(range(12, 14)) == ["chr12", "chr13"] and len(got(range(0, 1000))) == 6
+    plan = df.where(named_contig(F.col("contig"), range(3, 4)))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(contig,chr)" in plan and "StringEndsWith(contig,3)" in plan
