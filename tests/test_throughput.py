@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -157,6 +159,20 @@ def test_calibration(spark):
     assert set(got) == {"a", "b", "c"} and got["a"].error == pytest.approx(0.1) and got["a"].covers and not got["b"].covers and got["c"].error is None and not got["c"].settled
 
 
+def test_a_rate_of_nothing_at_the_end_is_an_infinite_error(spark):
+    """Runs that stand still at their end; the session fails on a division by zero."""
+    setting = (SECOND, 10, 0.02, 3, 10 * SECOND)
+    stops = [(run, *setting, "steady", SECOND * 20, would, 0.1) for run, would in (("moved", 10.0), ("good", 10.0))]
+    stops += [("idle", SECOND, 10, 0.05, 3, 10 * SECOND, "steady", SECOND * 20, 0.0, None), ("good", SECOND, 10, 0.05, 5, 10 * SECOND, "steady", SECOND * 30, 11.0, 0.1)]
+    columns = "run_id string, batch_duration_ns bigint, window_groups bigint"
+    replays = spark.createDataFrame(stops, f"{columns}, precision double, consecutive_checks bigint, min_duration_ns bigint, probe_stop_reason string, would_stop_ns bigint, would_be_steady_state_throughput double, would_be_relative_half_width double")
+    ends = spark.createDataFrame([(r, SECOND, 10, e) for r, e in (("moved", 0.0), ("good", 10.0), ("idle", 0.0))], f"{columns}, steady_state_throughput double")
+    got = {(x.precision, x.consecutive_checks): (x.runs, x.worst_error, x.covered, x.pareto) for x in overview(replays, ends).collect()}
+    assert got[0.02, 3] == (2, math.inf, 1, True)
+    assert got[0.05, 3][0] == 1 and math.isnan(got[0.05, 3][1]) and got[0.05, 3][2:] == (0, False)
+    assert got[0.05, 5] == (1, pytest.approx(0.1), 1, True)
+
+
 def test_pareto(spark):
     rows = [(1.0, 9.0), (2.0, 5.0), (2.0, 5.0), (2.0, 6.0), (3.0, 5.0), (4.0, 1.0), (None, 0.0), (0.5, None)]
     got = pareto(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a double, b double"), "a", "b").toPandas().set_index("i").pareto
