@@ -76,12 +76,12 @@ class Formulation:
             raise InvalidAction("split points belong to the interval-merge formulation, which requires them")
 
     def plan(self, dataset: Dataset) -> OrderedFrame:
-        frames = [dataset.frame(t) for t in dataset.tables]
+        frames = dataset.frames()
         order = dataset.sort_columns()
         if self.name == "alleles":
             return combine.combine_alleles(frames, RowOrdering.parse("locus").columns(dataset.columns))
         if self.name == "grouped-merge":
-            return combine.combine_grouped(frames, order, self.groups or len(frames))
+            return combine.combine_grouped(frames, order, self.groups or len(dataset.tables))
         if self.name == "interval-merge":
             return OrderedFrame(combine.union(frames).orderBy(*[F.col(c).asc_nulls_last() for c in order]), tuple(order), "file-per-interval", tuple(self.points))
         return combine.combine_union(frames, order)

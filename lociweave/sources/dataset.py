@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -112,10 +113,10 @@ class Dataset:
             raise DatasetError(f"{path} has no input tables")
         if schema is None:
             first: tuple[InputTable, pa.Schema] | None = None
-            for t in tables:
-                for s in statistics(files.data_files(t.path, f".{fmt}"), spark):
+            for t, of_table in table_statistics(spark, path, fmt, tables):
+                for s in of_table:
                     if s.rows:
-                        found = open_footer(s.path).schema.remove_metadata()
+                        found = s.schema
                         if "s" in found.names and (t.kind == "single_sample" or (found.field("s").nullable and fmt != "orc")):
                             raise DatasetError(f"{t.name}: the column s is {'stored in a single-sample table' if t.kind == 'single_sample' else 'nullable'}")
                         if "s" not in found.names and t.kind != "single_sample":
@@ -162,14 +163,20 @@ class Dataset:
         With an interval, or with `within` (column: least and greatest value, None for open ends), files whose footers rule
         all rows out are left out of the plan before Spark sees them; so is a single sample's table by its `s`.
         """
-        within = within or {}
-        files = [f for f in self.files(table) if f.rows]
+        return self._frame(table, self._kept(table, self.files(table), interval, within or {}), interval, within or {})
+
+    def _kept(self, table: InputTable, files: list[FileStatistics], interval: LocusInterval | None, within: dict[str, tuple]) -> list[FileStatistics]:
+        """The files of a table that may hold rows of an interval and within bounds."""
+        files = [f for f in files if f.rows]
         low, high = within.get("s", (None, None))
         if table.kind == "single_sample" and ((low is not None and table.samples[0] < low) or (high is not None and table.samples[0] > high)):
             files = []
         files = pruned(files, {c: b for c, b in within.items() if c != "s" or table.kind != "single_sample"})
         if interval is not None and files:
             files = pruned(files, interval_bounds(interval, representation(self.schema.names)))
+        return files
+
+    def _frame(self, table: InputTable, files: list[FileStatistics], interval: LocusInterval | None, within: dict[str, tuple]) -> DataFrame:
         kept = [F.col(f"`{c}`") for c in self.schema.names]
         if not files:
             empty = self.spark.createDataFrame([], _spark_schema(self.schema))
@@ -179,6 +186,9 @@ class Dataset:
             df = df.select(*kept, F.lit(table.samples[0]).alias("s"))
         else:
             df = df.select(*kept, "s")
+        return self._filtered(df, interval, within)
+
+    def _filtered(self, df: DataFrame, interval: LocusInterval | None, within: dict[str, tuple]) -> DataFrame:
         if interval is not None:
             df = df.where(interval_predicate(interval, representation(self.schema.names)))
         for c, (low, high) in within.items():
@@ -186,9 +196,33 @@ class Dataset:
             df = df if high is None else df.where(F.col(f"`{c}`") <= F.lit(high))
         return df
 
+    def frames(self, interval: LocusInterval | None = None, within: dict[str, tuple] | None = None) -> list[DataFrame]:
+        """All input tables in few frames, in name order: one frame a multi-sample table, and one scan for all single samples,
+        in the first one's place, so that a plan doesn't grow with the samples. `s` is a partition column of that scan.
+
+        Single samples that the engine's reader would name or list otherwise have a frame each.
+        """
+        within = within or {}
+        found = [(t, self._kept(t, f, interval, within)) for t, f in table_statistics(self.spark, self.path, self.fmt, self.tables)]
+        found = [x for x in found if x[1]] or found[:1]
+        shared = [f.path for t, files in found if _shareable(t, files) for f in files]
+        out, scanned = [], False
+        for t, files in found:
+            if not _shareable(t, files):
+                out.append(self._frame(t, files, interval, within))
+            elif not scanned:
+                scanned = True
+                schema = self.spark.read.format(checked_format(self.fmt)).load(shared[0]).schema.add("s", "string")
+                with listing_tasks(self.spark):
+                    df = self.spark.read.format(checked_format(self.fmt)).schema(schema).option("basePath", self.path).load(shared)
+                # Never null here, as the constant of a single frame isn't; the coalesce says so in the schema.
+                df = df.select(*(F.col(f"`{c}`") for c in self.schema.names), F.coalesce("s", F.lit("")).alias("s"))
+                out.append(self._filtered(df, interval, within))
+        return out
+
     def read(self, interval: LocusInterval | None = None, within: dict[str, tuple] | None = None) -> DataFrame:
-        """Union of all input tables, in name order."""
-        return reduce(DataFrame.unionByName, [self.frame(t, interval, within) for t in self.tables])
+        """Union of all input tables."""
+        return reduce(DataFrame.unionByName, self.frames(interval, within))
 
     def file_order(self, table: InputTable) -> list[FileStatistics]:
         """The table's files in the order of its rows, as its footers show it."""
@@ -211,6 +245,33 @@ class Dataset:
         return found
 
 
+def table_statistics(spark: SparkSession, path: str, fmt: str, tables: Iterable[InputTable]) -> list[tuple[InputTable, list[FileStatistics]]]:
+    """Statistics of the files of each of many tables below `path`, by one listing and one reading of footers."""
+    trees = Files(spark).trees(path, f".{fmt}")
+    listed = [(t, trees.get(t.path.rstrip("/").rsplit("/", 1)[-1], [])) for t in tables]
+    found = iter(statistics([e for _, entries in listed for e in entries], spark))
+    return [(t, [next(found) for _ in entries]) for t, entries in listed]
+
+
+def _shareable(table: InputTable, files: list[FileStatistics]) -> bool:
+    """Whether the engine reads a single sample's files from a listing with the name in their path: no name that it decodes,
+    no file that it hides, none in a directory below."""
+    plain = table.kind == "single_sample" and "%" not in table.samples[0] and table.samples[0] != "__HIVE_DEFAULT_PARTITION__"
+    return plain and bool(files) and all(f.path.rsplit("/", 2)[-2] == table.name and not f.path.rsplit("/", 1)[-1].startswith("_") for f in files)
+
+
+@contextmanager
+def listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Long lists of files are looked up by a few tasks a core instead of a task a file."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def loaded(spark: SparkSession, fmt: str, paths: list[str]) -> DataFrame:
     """The listed files. The engine's readers pass over names that begin with an underscore; such files are read by tasks
     through Arrow, with the others' schema."""

@@ -32,11 +32,14 @@ class FileStatistics:
     rows: int
     bounds: dict[str, Bounds] = field(default_factory=dict)
     nulls: dict[str, int] = field(default_factory=dict)
+    #: Without the engine's notes; files of one schema share one.
+    schema: pa.Schema | None = field(default=None, compare=False, repr=False)
 
 
 #: Footers that are kept, the latest ones, and files from which on footers are read by tasks, not by the driver.
 MOST_KEPT, BY_TASKS = 200_000, 128
 _cache: dict[tuple, FileStatistics] = {}
+_schemas: dict[bytes, pa.Schema] = {}
 
 
 @dataclass(frozen=True)
@@ -79,8 +82,9 @@ def file_batches(path: str) -> Iterator[pa.RecordBatch]:
 
 def _read(path: str) -> FileStatistics:
     footer = open_footer(path)
+    schema = _shared(footer.schema.remove_metadata().serialize().to_pybytes())
     if footer.parquet is None:
-        return FileStatistics(path, footer.rows)
+        return FileStatistics(path, footer.rows, schema=schema)
     meta = footer.parquet
     bounds: dict[str, Bounds] = {}
     nulls: dict[str, int] = {}
@@ -94,7 +98,13 @@ def _read(path: str) -> FileStatistics:
             low, high = min(s.min for s in with_bounds), max(s.max for s in with_bounds)
             long = any(isinstance(x, (str, bytes)) and len(x.encode() if isinstance(x, str) else x) >= EXACT_STRING_BYTES for x in (low, high))
             bounds[name] = Bounds(low, high, not long)
-    return FileStatistics(path, meta.num_rows, bounds, nulls)
+    return FileStatistics(path, meta.num_rows, bounds, nulls, schema)
+
+
+def _shared(schema: bytes) -> pa.Schema:
+    if schema not in _schemas:
+        _schemas[schema] = pa.ipc.read_schema(pa.BufferReader(schema))
+    return _schemas[schema]
 
 
 def _by_tasks(spark: SparkSession, paths: list[str]) -> list[FileStatistics]:
@@ -104,14 +114,14 @@ def _by_tasks(spark: SparkSession, paths: list[str]) -> list[FileStatistics]:
         for batch in batches:
             found = [_read(p) for p in batch.column(1).to_pylist()]
             # Plain values, since executors need no copy of the package.
-            plain = [pickle.dumps((s.rows, {c: (b.low, b.high, b.exact) for c, b in s.bounds.items()}, s.nulls)) for s in found]
+            plain = [pickle.dumps((s.rows, {c: (b.low, b.high, b.exact) for c, b in s.bounds.items()}, s.nulls, s.schema.serialize().to_pybytes())) for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.binary())], names=["i", "x"])
 
     rows = spark.createDataFrame(list(enumerate(paths)), "i bigint, path string").repartition(max(2, min(len(paths) // 32, 4 * spark.sparkContext.defaultParallelism)))
     out = []
     for r in sorted(rows.mapInArrow(run, "i bigint, x binary").collect()):
-        n, bounds, nulls = pickle.loads(r.x)
-        out.append(FileStatistics(paths[r.i], n, {c: Bounds(*b) for c, b in bounds.items()}, nulls))
+        n, bounds, nulls, schema = pickle.loads(r.x)
+        out.append(FileStatistics(paths[r.i], n, {c: Bounds(*b) for c, b in bounds.items()}, nulls, _shared(schema)))
     return out
 
 
