@@ -36,3 +36,10 @@ def test_reopened_dataset_is_one_scan(spark, root):
     assert leaves(df) == 4 and not Dataset.discover(spark, root, "locus").frames()[-1].schema["s"].nullable
     assert counts(df) == {**dict.fromkeys([*NAMES, "a=b", "a%3Ab"], 8), "below": 2, "x": 2, "y": 2}
     assert leaves(df.where("s = '007'")) <= 4 and df.where("s = '007'").count() == 8
+
+
+def test_interval_is_one_scan_of_the_files_that_may_hold_it(spark, root):
+    interval = LocusInterval(Locus(3, 1), Locus(3, 9))
+    df = Dataset.discover(spark, root, "locus").read(interval)
+    assert leaves(df) == 1 and len(df.inputFiles()) <= 2 * len(NAMES) and not any(f.endswith(("w.parquet", "t.parquet")) for f in df.inputFiles())
+    assert counts(df) == dict.fromkeys(NAMES, 1)
