@@ -43,3 +43,9 @@ def test_interval_is_one_scan_of_the_files_that_may_hold_it(spark, root):
     df = Dataset.discover(spark, root, "locus").read(interval)
     assert leaves(df) == 1 and len(df.inputFiles()) <= 2 * len(NAMES) and not any(f.endswith(("w.parquet", "t.parquet")) for f in df.inputFiles())
     assert counts(df) == dict.fromkeys(NAMES, 1)
+
+
+def test_collected_run_is_one_scan(spark, root):
+    run = CombinerRun(spark, root, "locus,s", Formulation(), Collect(3))
+    assert leaves(run.formulation.plan(Dataset.discover(spark, root, "locus,s")).df) == 2
+    assert run.execute().table.select(["contig", "position", "s"]).to_pylist() == [{"contig": "chr01", "position": 10, "s": s} for s in NAMES[:3]]
