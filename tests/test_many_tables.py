@@ -49,3 +49,11 @@ def test_collected_run_is_one_scan(spark, root):
     run = CombinerRun(spark, root, "locus,s", Formulation(), Collect(3))
     assert leaves(run.formulation.plan(Dataset.discover(spark, root, "locus,s")).df) == 2
     assert run.execute().table.select(["contig", "position", "s"]).to_pylist() == [{"contig": "chr01", "position": 10, "s": s} for s in NAMES[:3]]
+
+
+def test_interval_merge_run_is_one_scan(spark, root, tmp_path):
+    how = Formulation("interval-merge", points=SplitPoints.parse("1:12,3:5"))
+    assert leaves(how.plan(Dataset.discover(spark, root, "locus,s")).df) == 2
+    out = str(tmp_path / "out")
+    assert CombinerRun(spark, root, "locus,s", how, Write(out)).execute().rows == 164
+    assert [spark.read.parquet(f"{out}/{i}.parquet").count() for i in range(3)] == [22, 82, 60]
