@@ -57,3 +57,10 @@ def test_interval_merge_run_is_one_scan(spark, root, tmp_path):
     out = str(tmp_path / "out")
     assert CombinerRun(spark, root, "locus,s", how, Write(out)).execute().rows == 164
     assert [spark.read.parquet(f"{out}/{i}.parquet").count() for i in range(3)] == [22, 82, 60]
+
+
+def test_grouped_merge_run_is_one_scan(spark, root, tmp_path):
+    how = Formulation("grouped-merge", 2)
+    assert leaves(how.plan(Dataset.discover(spark, root, "locus,s")).df) == 2
+    record = CombinerRun(spark, root, "locus,s", how, Write(str(tmp_path / "all.parquet"))).execute().record
+    assert (record["groups"], record["input_tables"], record["samples"], record["rows_written"]) == (2, 21, 22, 164)
