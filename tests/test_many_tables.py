@@ -64,3 +64,10 @@ def test_grouped_merge_run_is_one_scan(spark, root, tmp_path):
     assert leaves(how.plan(Dataset.discover(spark, root, "locus,s")).df) == 2
     record = CombinerRun(spark, root, "locus,s", how, Write(str(tmp_path / "all.parquet"))).execute().record
     assert (record["groups"], record["input_tables"], record["samples"], record["rows_written"]) == (2, 21, 22, 164)
+
+
+def test_written_run_is_one_scan(spark, root, tmp_path):
+    assert leaves(Formulation().plan(Dataset.discover(spark, root, "locus,s")).df) == 2
+    path = str(tmp_path / "all.parquet")
+    CombinerRun(spark, root, "locus,s", Formulation(), Write(path)).execute()
+    assert counts(spark.read.parquet(path)) == {**dict.fromkeys(NAMES, 8), "x": 2, "y": 2}
