@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.locus import Locus, LocusInterval, SplitPoints, contig_ordinal
+from ..functions.locus import Locus, LocusInterval, SplitPoints, contig_ordinal, interval_index, pack
 from ..operators import reports
 from ..operators.joins import interval_join
 from ..operators.replay import overview, stops_over_checks
 from ..plans.ordering import OrderedFrame, ascending, order_violations
 from ..plans.runs import Collect, CombinerRun, Explain, Formulation, MetricsDirectory, Write
-from ..session import scratch_path, table
+from ..session import partitions_for, scratch_path, table
 from ..sources import sinks
 from ..sources.annotation import annotated, read_samples
 from ..sources.conversions import normalized_contigs
@@ -25,25 +25,36 @@ LOCUS = ["contig", "position"]
 
 
 def laid_out(spark: SparkSession, d: str) -> str:
-    """refs as a dataset: samples ending in 0-4 as a directory each, in 5-6 as one file, in 7-9 as a directory of a file an interval."""
+    """refs as a dataset: samples ending in 0-4 as a directory each, in 5-6 as one file, in 7-9 (or no digit) as a directory of a file an interval."""
     root = scratch_path(spark, "dataset")
     refs = normalized_contigs(table(spark, d, "refs").select(*COLUMNS)).where("s IS NOT NULL")
     digit = F.substring("s", -1, 1)
-    single = refs.where(digit < "5").repartitionByRange(4, *LOCUS).sortWithinPartitions("s", *LOCUS)
-    single.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("s").parquet(root)
-    for name, low, high in (("g0", "5", "6"), ("g1", "7", "9")):
-        rows = refs.where(digit.between(low, high)).withColumn("s", F.coalesce("s", F.lit("")))
-        samples = [r.s for r in rows.select("s").distinct().collect()]
-        if not samples:
+    single, groups = digit < "5", {"g0": digit.between("5", "6"), "g1": digit >= "7"}
+    quarters, samples = _quarters_and_samples(refs, single, groups)
+    # A sample's rows lie in a file a quarter of the loci; the samples of a quarter are shared out among tasks.
+    spread = max(1, partitions_for(spark) // (len(quarters) + 1))
+    task = interval_index(quarters, contig=F.col("contig"), position=F.col("position")) * spread + F.pmod(F.hash("s"), F.lit(spread))
+    rows = refs.where(single).withColumn("__task", task).repartitionById((len(quarters) + 1) * spread, F.col("__task")).drop("__task").sortWithinPartitions("s", *LOCUS)
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("s").parquet(root)
+    for name, of_group in groups.items():
+        rows = refs.where(of_group).withColumn("s", F.coalesce("s", F.lit("")))
+        if not samples[name]:
             continue
         if name == "g0":
             frame = OrderedFrame(rows.orderBy(*ascending(LOCUS)), tuple(LOCUS))
-            annotated(spark, f"{root}/g0.parquet", samples, lambda f=frame: sinks.write_file(f, f"{root}/g0.parquet"))
+            annotated(spark, f"{root}/g0.parquet", samples[name], lambda f=frame: sinks.write_file(f, f"{root}/g0.parquet"))
         else:
-            annotated(spark, f"{root}/g1", samples, lambda r=rows: sinks.write_intervals(r, POINTS, LOCUS, f"{root}/g1"))
+            annotated(spark, f"{root}/g1", samples[name], lambda r=rows: sinks.write_intervals(r, POINTS, LOCUS, f"{root}/g1"))
     return root
 
 
+def _quarters_and_samples(refs: DataFrame, single: Column, groups: dict[str, Column]) -> tuple[SplitPoints, dict[str, list[str]]]:
+    """Loci that cut the rows of single samples into about four equal parts, and the samples of each group; one pass."""
+    locus = F.when(single & (F.col("position") >= 0), pack(contig_ordinal(F.col("contig")), F.col("position")))
+    found = refs.agg(F.percentile_approx(locus, [0.25, 0.5, 0.75], 1000).alias("q"), *(F.collect_set(F.when(c, F.col("s"))).alias(n) for n, c in groups.items())).first()
+    return SplitPoints(Locus.unpack(x) for x in sorted(set(found.q or []))), {n: sorted(found[n]) for n in groups}
+
+
 def _dataset(spark: SparkSession, d: str) -> Dataset:
     return Dataset.discover(spark, laid_out(spark, d), "locus")
 

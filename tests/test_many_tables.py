@@ -4,6 +4,7 @@ import pytest
 
 from lociweave.functions.locus import Locus, LocusInterval, SplitPoints
 from lociweave.plans.runs import Collect, CombinerRun, Formulation, Write
+from lociweave.queries.datasets import dataset_interval, dataset_rows, laid_out
 from lociweave.sources.dataset import Dataset
 
 from .data import FILES, arrow, samples_table, single_samples, write
@@ -71,3 +72,31 @@ def test_written_run_is_one_scan(spark, root, tmp_path):
     path = str(tmp_path / "all.parquet")
     CombinerRun(spark, root, "locus,s", Formulation(), Write(path)).execute()
     assert counts(spark.read.parquet(path)) == {**dict.fromkeys(NAMES, 8), "x": 2, "y": 2}
+
+
+@pytest.fixture
+def refs(spark, tmp_path):
+    """refs of twenty samples of a hundred rows each, one with a name that ends in no digit, one on a contig without an ordinal."""
+    samples = [f"SM{i:03d}" for i in range(18)] + ["SM00x", "SM020"]
+    rows = [("chrX" if k == 19 else f"chr{1 + i // 25}", 89_000 + 100 * i, 1, 2, 3, 2, s) for k, s in enumerate(samples) for i in range(100)]
+    spark.createDataFrame(rows, "contig string, position int, DP int, GQ int, LEN int, ploidy int, s string").coalesce(1).write.parquet(f"{tmp_path}/refs.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_samples_are_laid_out_by_more_tasks_than_files(spark, refs):
+    found = Dataset.discover(spark, laid_out(spark, refs), "locus")
+    single = {t.name: found.files(t) for t in found.tables if t.kind == "single_sample"}
+    assert len(single) == 11 and all(len(f) <= 4 for f in single.values())
+    # Each of the four parts of the loci is written by three tasks.
+    assert len({f.path.rsplit("/", 1)[-1].split("-")[1] for files in single.values() for f in files}) > 4
+    for files in single.values():
+        ends = sorted(((f.bounds["contig"].low, f.bounds["position"].low), (f.bounds["contig"].high, f.bounds["position"].high)) for f in files)
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_laid_out_samples_are_whole(spark, refs):
+    assert counts(dataset_interval(spark, refs)) == dict.fromkeys([*(f"SM{i:03d}" for i in range(18)), "SM00x"], 40)
+    assert {(r.contig, r.s) for r in dataset_rows(spark, refs).where("contig LIKE '%X' OR s = 'SM020'").distinct().collect()} == {("chrX", "SM020")}
