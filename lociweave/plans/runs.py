@@ -22,7 +22,7 @@ from ..operators.replay import Grid, replay, shadow_series
 from ..operators.throughput import ProbeSettings, Series, decide, would_stop
 from ..sources import sinks
 from ..sources.annotation import annotated
-from ..sources.dataset import Dataset
+from ..sources.dataset import Dataset, packed_scans
 from ..sources.files import Files, compression_options
 from .ordering import OrderedFrame, OrderingAssertionFailed, RowOrdering
 
@@ -287,10 +287,11 @@ class CombinerRun:
                 written: list = []
 
                 def write() -> None:
-                    if frame.layout == "file-per-interval":
-                        written.append(sinks.write_intervals(frame.df, SplitPoints(frame.points), list(frame.ordering), a.path, a.fmt, a.compression))
-                    else:
-                        written.append(sinks.write_file(frame, a.path, a.fmt, a.compression))
+                    with packed_scans(self.spark):
+                        if frame.layout == "file-per-interval":
+                            written.append(sinks.write_intervals(frame.df, SplitPoints(frame.points), list(frame.ordering), a.path, a.fmt, a.compression))
+                        else:
+                            written.append(sinks.write_file(frame, a.path, a.fmt, a.compression))
 
                 if self.formulation.name == "alleles":
                     write()

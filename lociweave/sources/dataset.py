@@ -272,6 +272,23 @@ def listing_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Bytes that opening a file counts as when small files are packed into tasks; the engine's own 4 MB puts four small files into a task of 16 MB.
+OPENING = 128 * 1024
+
+
+@contextmanager
+def packed_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside read many small files a task, so that tasks, of each of which the driver keeps what it
+    reported, grow with the bytes and not with the files."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes(), OPENING)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def loaded(spark: SparkSession, fmt: str, paths: list[str]) -> DataFrame:
     """The listed files. The engine's readers pass over names that begin with an underscore; such files are read by tasks
     through Arrow, with the others' schema."""

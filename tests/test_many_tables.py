@@ -1,5 +1,7 @@
 """Datasets of many single samples: plans and calls don't grow with them."""
 
+import uuid
+
 import pytest
 
 from lociweave.functions.locus import Locus, LocusInterval, SplitPoints
@@ -74,6 +76,35 @@ def test_written_run_is_one_scan(spark, root, tmp_path):
     assert counts(spark.read.parquet(path)) == {**dict.fromkeys(NAMES, 8), "x": 2, "y": 2}
 
 
+def most_tasks(spark, work):
+    """Tasks of the largest stage of the jobs that `work` starts, on splits of at most 16 MB."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, "counted")
+    try:
+        work()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.sparkContext.setJobGroup("rest", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds]
+    return max(x.numTasks for x in stages if x)
+
+
+@pytest.fixture
+def many(tmp_path):
+    """A hundred single samples of four files each."""
+    return single_samples(tmp_path / "many", samples=[f"{i:03d}" for i in range(100)])
+
+
+def test_tasks_of_a_grouped_merge_run_do_not_grow_with_the_files(spark, many, tmp_path):
+    run = CombinerRun(spark, many, "locus,s", Formulation("grouped-merge", 2), Write(str(tmp_path / "all.parquet")))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    # Four files a task would be a hundred tasks.
+    assert most_tasks(spark, lambda: run.execute()) <= 16 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert counts(spark.read.parquet(str(tmp_path / "all.parquet"))) == {f"{i:03d}": 8 for i in range(100)}
+
+
 @pytest.fixture
 def refs(spark, tmp_path):
     """refs of twenty samples of a hundred rows each, one with a name that ends in no digit, one on a contig without an ordinal."""
