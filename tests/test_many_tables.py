@@ -105,6 +105,12 @@ def test_tasks_of_a_grouped_merge_run_do_not_grow_with_the_files(spark, many, tm
     assert counts(spark.read.parquet(str(tmp_path / "all.parquet"))) == {f"{i:03d}": 8 for i in range(100)}
 
 
+def test_tasks_of_an_interval_merge_run_do_not_grow_with_the_files(spark, many, tmp_path):
+    run = CombinerRun(spark, many, "locus,s", Formulation("interval-merge", points=SplitPoints.parse("1:12,3:5")), Write(str(tmp_path / "out")))
+    assert most_tasks(spark, lambda: run.execute()) <= 16
+    assert [spark.read.parquet(f"{tmp_path}/out/{i}.parquet").count() for i in range(3)] == [100, 400, 300]
+
+
 @pytest.fixture
 def refs(spark, tmp_path):
     """refs of twenty samples of a hundred rows each, one with a name that ends in no digit, one on a contig without an ordinal."""
