@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cmp_to_key
+from sys import intern
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -19,14 +20,14 @@ from .files import arrow_path
 EXACT_STRING_BYTES = 64
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Bounds:
     low: object
     high: object
     exact: bool = True
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class FileStatistics:
     path: str
     rows: int
@@ -121,7 +122,7 @@ def _by_tasks(spark: SparkSession, paths: list[str]) -> list[FileStatistics]:
     out = []
     for r in sorted(rows.mapInArrow(run, "i bigint, x binary").collect()):
         n, bounds, nulls, schema = pickle.loads(r.x)
-        out.append(FileStatistics(paths[r.i], n, {c: Bounds(*b) for c, b in bounds.items()}, nulls, _shared(schema)))
+        out.append(FileStatistics(paths[r.i], n, {intern(c): Bounds(*b) for c, b in bounds.items()}, {intern(c): k for c, k in nulls.items()}, _shared(schema)))
     return out
 
 

@@ -7,6 +7,7 @@ import pytest
 from lociweave.functions.locus import Locus, LocusInterval, SplitPoints
 from lociweave.plans.runs import Collect, CombinerRun, Formulation, Write
 from lociweave.queries.datasets import dataset_interval, dataset_rows, laid_out
+from lociweave.sources import statistics
 from lociweave.sources.dataset import Dataset
 
 from .data import FILES, arrow, samples_table, single_samples, write
@@ -111,6 +112,20 @@ def test_tasks_of_an_interval_merge_run_do_not_grow_with_the_files(spark, many,
     assert [spark.read.parquet(f"{tmp_path}/out/{i}.parquet").count() for i in range(3)] == [100, 400, 300]
 
 
+def test_tasks_of_a_union_run_do_not_grow_with_the_files(spark, many, tmp_path):
+    run = CombinerRun(spark, many, "locus,s", Formulation(), Write(str(tmp_path / "all.parquet")))
+    assert most_tasks(spark, lambda: run.execute()) <= 16
+    assert counts(spark.read.parquet(str(tmp_path / "all.parquet"))) == {f"{i:03d}": 8 for i in range(100)}
+
+
+def test_kept_footers_share_their_names(spark, many, monkeypatch):
+    monkeypatch.setattr(statistics, "_cache", {})
+    ds = Dataset.discover(spark, many, "locus")
+    kept = list(statistics._cache.values())
+    assert len(kept) == 400 and len(ds.tables) == 100 and not any(hasattr(x, "__dict__") for f in kept for x in (f, *f.bounds.values()))
+    assert len({id(c) for f in kept for c in (*f.bounds, *f.nulls)}) == 3
+
+
 @pytest.fixture
 def refs(spark, tmp_path):
     """refs of twenty samples of a hundred rows each, one with a name that ends in no digit, one on a contig without an ordinal."""
